@@ -1,0 +1 @@
+"""Batch only: the operator inventory has no streaming operators."""
