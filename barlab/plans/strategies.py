@@ -105,3 +105,12 @@ def down_years(bars: DataFrame, asset: str, benchmark: str) -> DataFrame:
     a = g.where(F.col("symbol") == asset).select("year", F.col("r").alias("asset_return"))
     b = g.where(F.col("symbol") == benchmark).select("year", F.col("r").alias("base_return"))
     return a.join(b, "year")
+
+
+def split_periods(df: DataFrame, ts: str = "ts") -> DataFrame:
+    """Label train and validation rows; locked rows are dropped."""
+    d = F.to_date(ts)
+    period = F.when(d <= F.lit(I.TRAIN_END).cast("date"), "train").when(
+        d.between(F.lit(I.VALIDATION_START).cast("date"), F.lit(I.VALIDATION_END).cast("date")), "validation"
+    )
+    return df.withColumn("period", period).where("period IS NOT NULL")
