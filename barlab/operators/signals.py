@@ -27,7 +27,7 @@ def momentum(df: DataFrame, n: int, threshold: float, by=("symbol",)) -> DataFra
 
 def mean_reversion(df: DataFrame, n: int, entry: float, leave: float, by=("symbol",)) -> DataFrame:
     """In at z <= -entry, out at z >= leave."""
-    z = df.withColumn("_z", R.zscore("close", n, max(20, n // 4), by=by))
+    z = df.withColumn("_z", R.zscore("close", n, by=by))
     return z.withColumn("signal", R.hysteresis(F.col("_z") <= -entry, F.col("_z") >= leave, by)).drop("_z")
 
 
