@@ -225,16 +225,17 @@ def confusion_metrics(spark, d):
     return B.confusion(annual_scored(spark, d), ["candidate_id", "period"])
 
 
-@query("walkforward_blocks", oracle("s:candidate_id i:passes f:min_calmar i:positive_blocks b:pass", I.BARS,
+@query("walkforward_blocks", oracle("s:candidate_id f:train_block_min_calmar f:validation_block_min_calmar i:train_blocks_positive i:validation_blocks_positive i:walkforward_passes", I.BARS,
     "sp AS (SELECT *, CASE WHEN ts <= DATE '1998-12-31' THEN 'train' ELSE 'validation' END AS period FROM bars WHERE ts <= DATE '2000-12-31')",
-    "bk AS (SELECT symbol AS s0, symbol || period || ntile(6) OVER (PARTITION BY symbol, period ORDER BY ts) AS symbol, ts, close FROM sp)",
+    "bk AS (SELECT symbol AS s0, period AS p0, symbol || period || ntile(6) OVER (PARTITION BY symbol, period ORDER BY ts) AS symbol, ts, close FROM sp)",
     f"s1 AS (SELECT *, CASE WHEN {G('AVG(close) {w}', 'close', 5)} > {G('AVG(close) {w}', 'close', 20)} THEN 1 ELSE -1 END AS signal FROM bk)",
     f"s2 AS (SELECT *, CAST(coalesce(lag(signal) OVER {O}, 0) AS DOUBLE) AS position, coalesce(close / lag(close) OVER {O} - 1, 0) AS r FROM s1)",
     f"s3 AS (SELECT *, position * r - coalesce(abs(position - lag(position) OVER {O}), abs(position)) * {COST}e0 AS x FROM s2)",
     f"s4 AS (SELECT *, product(1 + x) OVER {CUM} AS nav FROM s3)", f"s5 AS (SELECT *, nav / MAX(nav) OVER {CUM} - 1 AS dd FROM s4)",
-    "g AS (SELECT s0, symbol, COUNT(*) AS n, arg_max(nav, ts) AS f, MIN(dd) AS mdd FROM s5 GROUP BY 1, 2)",
-    "h AS (SELECT s0, CASE WHEN mdd < 0 THEN (pow(f, 252e0 / n) - 1) / abs(mdd) ELSE 0 END AS calmar FROM g)",
-    "SELECT s0 AS candidate_id, COUNT(*) FILTER (calmar >= 1.25) AS passes, MIN(calmar) AS min_calmar, COUNT(*) FILTER (calmar > 0) AS positive_blocks, COUNT(*) FILTER (calmar >= 1.25) >= 4 AS pass FROM h GROUP BY 1"))
+    "g AS (SELECT s0, p0, symbol, COUNT(*) AS n, arg_max(nav, ts) AS f, MIN(dd) AS mdd FROM s5 GROUP BY 1, 2, 3)",
+    "h AS (SELECT s0, p0, CASE WHEN mdd < 0 THEN (pow(f, 252e0 / n) - 1) / abs(mdd) ELSE 0 END AS calmar FROM g)",
+    "k AS (SELECT s0 AS candidate_id, MIN(calmar) FILTER (p0 = 'train') AS train_block_min_calmar, MIN(calmar) FILTER (p0 = 'validation') AS validation_block_min_calmar, COUNT(*) FILTER (p0 = 'train' AND calmar >= 0) AS train_blocks_positive, COUNT(*) FILTER (p0 = 'validation' AND calmar >= 0) AS validation_blocks_positive FROM h GROUP BY 1)",
+    "SELECT *, (train_block_min_calmar >= 0.5)::INT + (validation_block_min_calmar >= 0.5)::INT + (train_blocks_positive = 6)::INT + (validation_blocks_positive = 6)::INT AS walkforward_passes FROM k"))
 def walkforward_blocks(spark, d):
     """Six train and six validation blocks, indicators restarting in each, all in one job."""
     by = ("symbol", "period", "block")
@@ -242,9 +243,7 @@ def walkforward_blocks(spark, d):
     x = SG.ma_crossover(x, 5, 20, by).withColumn("signal", F.when(F.col("signal") == 1, 1).otherwise(-1))
     run = B.returns_backtest(x, cost=COST, by=by)
     m = B.metrics_survival(run, B.trades_from_position(run, by), by)
-    ok = F.col("calmar") >= 1.25
-    g = m.groupBy(F.col("symbol").alias("candidate_id")).agg(F.count_if(ok).alias("passes"), F.min("calmar").alias("min_calmar"), F.count_if(F.col("calmar") > 0).alias("positive_blocks"))
-    return g.withColumn("pass", F.col("passes") >= 4)
+    return B.walkforward(m, ("symbol",)).withColumnRenamed("symbol", "candidate_id")
 
 
 @query("benchmark_corr_beta", oracle("s:candidate_id f:benchmark_corr f:benchmark_beta b:correlation_pass", UNI_SQL,

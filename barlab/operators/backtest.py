@@ -319,5 +319,13 @@ def year_counts(years: DataFrame, by) -> DataFrame:
     )
 
 
-def running_window(by, order="ts"):
-    return Window.partitionBy(*by).orderBy(order)
+def walkforward(blocks: DataFrame, by, floor: float = 0.50, n: int = 6) -> DataFrame:
+    """Worst Calmar and non-negative count over train and validation blocks; four pass marks."""
+    k = F.col("calmar")
+    aggs = []
+    for p in ("train", "validation"):
+        here = F.col("period") == p
+        aggs += [F.min(F.when(here, k)).alias(f"{p}_block_min_calmar"), F.count_if(here & (k >= 0)).alias(f"{p}_blocks_positive")]
+    marks = [F.col(f"{p}_block_min_calmar") >= floor for p in ("train", "validation")] + [F.col(f"{p}_blocks_positive") == n for p in ("train", "validation")]
+    passes = sum((F.coalesce(m, F.lit(False)).cast("int") for m in marks), F.lit(0))
+    return blocks.groupBy(*by).agg(*aggs).withColumn("walkforward_passes", passes)

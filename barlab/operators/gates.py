@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 c = F.col
 
@@ -200,13 +201,159 @@ def verified_cascade(df: DataFrame) -> DataFrame:
 
 
 def strict_years(df: DataFrame, train: int = 14, validation: int = 12, train_down: int = 3, validation_down: int = 2) -> DataFrame:
-    """Strict year counts with everything unlocked."""
-    return df.where(
-        (c("train_years_positive") >= train) & (c("validation_years_positive") >= validation)
-        & (c("train_down_years_ge_5pct") >= train_down) & (c("validation_down_years_ge_5pct") >= validation_down) & ~c("locked_opened")
+    """Verified rows whose year totals are complete; down-year totals count only outside the Sharpe branch."""
+    base = verified_cascade(df)
+    years = (c("train_years_total") == train) & (c("validation_years_total") == validation)
+    downs = (c("train_down_years_total") == train_down) & (c("validation_down_years_total") == validation_down)
+    return base.where(years & F.when(c("verified_sharpe_robust"), ~c("locked_opened")).otherwise(downs))
+
+
+def stamp_sharpe_validity(df: DataFrame, positive_years: bool = False) -> DataFrame:
+    """Verified and relaxed validity in the similarity mode or the training-years mode."""
+    ts, vs = c("train_sharpe"), c("validation_sharpe")
+    ratio = F.when(ts > 0, vs / F.nullif(ts, F.lit(0.0)))
+    open_ = ~c("locked_opened")
+    close = F.coalesce(ratio >= 0.80, F.lit(False))
+    if positive_years:
+        ok = (ts > 1.0) & (c("train_cagr") >= 0.04) & (c("train_years_positive") >= 10) & (c("average_abs_exposure") >= 0.15) & open_
+        relaxed = (ts > 0) & open_
+    else:
+        ok, relaxed = (ts > 1.0) & (vs > 1.0) & close & open_, (ts > 0) & (vs > 0) & open_
+    no = F.lit(False)
+    return df.withColumns({
+        "validation_sharpe_ratio_to_train": ratio, "train_sharpe_gt_1": F.coalesce(ts > 1.0, no), "validation_sharpe_gt_1": F.coalesce(vs > 1.0, no),
+        "validation_sharpe_ge_80pct_train": close, "verified_sharpe_robust": F.coalesce(ok, no), "relaxed_valid": F.coalesce(relaxed, no),
+    })
+
+
+def walkforward_gates(df: DataFrame) -> DataFrame:
+    """Early, soft and hard rejection of a walk-forward row."""
+    tm, vm, tp, vp = c("train_block_min_calmar"), c("validation_block_min_calmar"), c("train_blocks_positive"), c("validation_blocks_positive")
+    tpy = c("trades_per_year")
+    return df.withColumns({
+        "early_rejection": reason([("early_train_calmar", c("train_calmar") < 0.50), ("early_train_mdd", F.abs("train_mdd") > 0.45),
+                                   ("early_too_few_trades", tpy < 4.0), ("early_too_many_trades", tpy > 150.0)]),
+        "soft_rejection": reason([("soft_train_block_min_calmar", tm < 0), ("soft_validation_block_min_calmar", vm < 0),
+                                  ("soft_train_blocks_positive", tp < 5), ("soft_validation_blocks_positive", vp < 5)]),
+        "hard_rejection": reason([("train_block_min_calmar", tm < 0.5), ("validation_block_min_calmar", vm < 0.5),
+                                  ("train_blocks_positive", tp < 6), ("validation_blocks_positive", vp < 6)]),
+    })
+
+
+def shootout(df: DataFrame) -> DataFrame:
+    """Quick pass, near final and the combined score across search families."""
+    tc, vc, tm, vm = c("train_calmar"), c("validation_calmar"), F.abs("train_mdd"), F.abs("validation_mdd")
+    quick = (
+        (tc >= 0.5) & (vc >= 0.5) & (tm <= 0.45) & (vm <= 0.45) & c("trades_per_year").between(6.0, 150.0) & c("long_fraction").between(0.20, 0.90)
+        & (c("train_blocks_positive") >= 4) & (c("validation_blocks_positive") >= 4)
+    )
+    near = (tc >= 1.0) & (vc >= 1.0) & (tm <= 0.35) & (vm <= 0.35) & (c("walkforward_passes") >= 3)
+    out = df.withColumns({"quick_pass": quick, "near_final": near})
+    on = lambda n, v: F.when(c(n), v).otherwise(0.0)
+    return out.withColumn(
+        "shootout_score",
+        on("quick_pass", 100.0) + on("near_final", 250.0) + on("accepted", 500.0) + 8.0 * c("robust_passes") + 4.0 * c("walkforward_passes")
+        + 2.0 * tc + 2.0 * vc - tm * 4.0 - vm * 4.0,
     )
 
 
+def infer_method(df: DataFrame, hints=("marathon_method", "meta_method"), text="source_file") -> DataFrame:
+    """Search method from explicit hints, then from names in the file or candidate text."""
+    known = [F.nullif(F.nullif(F.col(h), F.lit("")), F.lit("nan")) for h in hints if h in df.columns]
+    t = F.concat_ws("/", text, F.col("candidate_id").cast("string"))
+    named = None
+    for m in ("adaptive", "beam", "bayesian", "bandit", "genetic"):
+        named = F.when(t.contains(m), m) if named is None else named.when(t.contains(m), m)
+    return df.withColumn("method", F.coalesce(*known, named, F.lit("adaptive")))
+
+
+def learning_gates(df: DataFrame, k: dict | None = None) -> DataFrame:
+    """Training, behaviour, validation and statistical checks; the first failure names the rejection."""
+    k = {"min_train_calmar": 1.0, "max_train_calmar": 8.0, "min_cagr": 0.03, "max_mdd": 0.30, "min_trades": 6.0, "max_trades": 120.0,
+         "min_long": 0.10, "max_long": 0.95, "min_validation_calmar": 1.0, "max_ratio": 2.5, "max_pvalue": 0.60, "min_p05": -1.0} | (k or {})
+    lf, tpy = c("long_fraction"), c("trades_per_year")
+    vc = F.greatest(c("validation_calmar"), F.lit(1e-9))
+    return df.withColumn("rejection_reason", reason([
+        ("train_calmar", c("train_calmar") < k["min_train_calmar"]),
+        ("train_total_metrics", (c("train_cagr") < k["min_cagr"]) | (c("train_mdd") < -k["max_mdd"])),
+        ("train_calmar_too_high", c("train_calmar") > k["max_train_calmar"]),
+        ("too_short_biased", lf < k["min_long"]), ("too_long_biased", lf > k["max_long"]),
+        ("always_long", lf > 0.98), ("always_short", lf < 0.02),
+        ("too_few_trades", tpy < k["min_trades"]), ("too_many_trades", tpy > k["max_trades"]),
+        ("validation_calmar", c("validation_calmar") < k["min_validation_calmar"]),
+        ("validation_total_metrics", (c("validation_cagr") < k["min_cagr"]) | (c("validation_mdd") < -k["max_mdd"])),
+        ("train_validation_calmar_ratio", (c("train_calmar") > 0) & (c("train_calmar") / vc > k["max_ratio"])),
+        ("validation_excess_pvalue", c("excess_pvalue") > k["max_pvalue"]),
+        ("validation_bootstrap_calmar_p05", c("bootstrap_calmar_p05") < k["min_p05"]),
+    ]))
+
+
+def learning_score(df: DataFrame) -> DataFrame:
+    v = F.coalesce("validation_calmar", F.lit(-10.0))
+    gap = F.greatest(F.lit(0.0), c("train_calmar") - F.greatest(v, F.lit(0.0)) * 2.0)
+    slip = F.when(c("validation_mdd") < -0.30, F.abs("validation_mdd") - 0.30).otherwise(0.0)
+    return df.withColumn(
+        "survival_score",
+        v + F.coalesce("bootstrap_calmar_p05", F.lit(0.0)) - 0.25 * gap - c("complexity_penalty") - c("repeated_failure_penalty") - slip,
+    )
+
+
+def yearly_floor(years: DataFrame, by, min_return: float, min_calmar: float) -> DataFrame:
+    """Every year at or above both floors."""
+    return years.groupBy(*by).agg(
+        F.min("annual_return").alias("min_annual_return"), F.min("annual_calmar").alias("min_annual_calmar"),
+        (F.min("annual_return") >= min_return).alias("annual_return_ok"), (F.min("annual_calmar") >= min_calmar).alias("annual_calmar_ok"),
+    )
+
+
+def single_asset_guard(df: DataFrame, rules=("spy_long_short_always", "spy_long_short_score"), asset: str = "SPY") -> DataFrame:
+    """Keep rows of the allowed rules that name no other asset."""
+    ok = c("rule").isin(*rules)
+    for k in ("risk_asset", "safe_asset", "stress_asset", "asset"):
+        if k in df.columns:
+            ok = ok & (F.coalesce(F.upper(k), F.lit(asset)) == asset)
+    return df.where(ok)
+
+
+def diversity(df: DataFrame, min_distance: float = 0.15, min_behavior: float = 0.02, by=("run",)) -> DataFrame:
+    """Greedy pick in score order: enough feature distance, a new family signature and new behaviour.
+
+    The pass is order dependent, so each run's accepted-gate survivors go through one sequential task;
+    callers reduce to survivors first (gates), and runs are independent groups.
+    """
+    import pandas as pd
+
+    schema = T.StructType([*df.schema.fields, T.StructField("verdict", T.StringType())])
+
+    def greedy(pdf: pd.DataFrame) -> pd.DataFrame:
+        import math
+
+        pdf = pdf.sort_values(["score", "candidate_id"], ascending=[False, True])
+        kept, verdicts = [], []
+        for r in pdf.itertuples():
+            feats, fam = frozenset(r.features), tuple(sorted(set(r.families)))
+            verdict = "accepted"
+            for f2, fam2, b2, s2 in kept:
+                if 1.0 - len(feats & f2) / max(1, len(feats | f2)) < min_distance:
+                    verdict = "feature_duplicate"
+                    break
+            if verdict == "accepted" and any(fam == fam2 for _, fam2, _, _ in kept):
+                verdict = "feature_family_duplicate"
+            if verdict == "accepted":
+                b = (r.long_fraction, r.trades_per_year, r.final_nav)
+                for _, _, b2, s2 in kept:
+                    nav = abs(math.log(max(b[2], 1e-9)) - math.log(max(b2[2], 1e-9))) / 5.0
+                    if r.signature == s2 or abs(b[0] - b2[0]) + abs(b[1] - b2[1]) / 150.0 + nav < min_behavior:
+                        verdict = "behavior_duplicate"
+                        break
+            if verdict == "accepted":
+                kept.append((feats, fam, (r.long_fraction, r.trades_per_year, r.final_nav), r.signature))
+            verdicts.append(verdict)
+        return pdf.assign(verdict=verdicts)
+
+    return df.groupBy(*by).applyInPandas(greedy, schema)
+
+
 def best_by(df: DataFrame, *order: str) -> DataFrame:
     """Single best row by descending columns, ties by candidate_id."""
     return df.orderBy(*[c(o).desc_nulls_last() for o in order], "candidate_id").limit(1)

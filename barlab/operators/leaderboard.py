@@ -77,14 +77,13 @@ def method_summary(df: DataFrame, score: str, flags=(), values=(), by: str = "me
     return g.select(by, "rows", *flags, F.col(f"_b.{ident}").alias("best_candidate"), F.col(f"_b.{score}").alias("best_score"), *[F.col(f"_b.{v}").alias(f"best_{v}") for v in values])
 
 
-def efficiency(df: DataFrame, minutes: str, score: str, flag: str, marks=(240, 480, 720), by: str = "method") -> DataFrame:
-    """Verified rows per hour, first hit and best score by elapsed-minute marks."""
-    m = F.col(minutes)
-    hours = F.max(m) / 60.0
+def efficiency(df: DataFrame, elapsed: str, seen: str, score: str, flag: str, marks=(240, 480, 720), by: str = "method") -> DataFrame:
+    """Verified rows per hour of the longest run, minute of the first one, best score by minute marks."""
+    hours = F.greatest(F.coalesce(F.max(elapsed), F.lit(0.0)) / 3600.0, F.lit(1e-9))
     out = [
-        F.count(F.lit(1)).alias("rows"), F.count_if(flag).alias("verified"), F.min(F.when(F.col(flag), m)).alias("minutes_to_first"),
-        (F.count_if(flag) / F.nullif(hours, F.lit(0.0))).alias("verified_per_hour"),
-        *[F.max(F.when(m <= k, F.col(score))).alias(f"best_before_{k}") for k in marks],
+        F.count(F.lit(1)).alias("rows"), F.count_if(flag).alias("verified_count"), (F.count_if(flag) / hours).alias("verified_per_hour"),
+        F.min(F.when(F.col(flag), F.col(seen))).alias("time_to_first_verified"),
+        *[F.max(F.when(F.col(seen) <= k, F.col(score))).alias(f"best_score_{k}m") for k in marks],
     ]
     return df.groupBy(by).agg(*out)
 

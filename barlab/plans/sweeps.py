@@ -277,3 +277,13 @@ def eval_sql(pos: str, ppy: float) -> list[str]:
 EVAL_OUT = ("s:candidate_id " + " ".join(f"f:{p}_{c}" for p in ("train", "validation") for c in ("cagr", "mdd", "calmar", "sharpe", "min_year_return", "down_min_return"))
             + " " + " ".join(f"i:{p}_{c}" for p in ("train", "validation") for c in ("years_positive", "years_total", "down_years_ge_5pct", "down_years_total"))
             + " f:average_exposure f:average_abs_exposure f:min_exposure f:max_exposure i:weeks_long i:weeks_cash_like i:weeks_short f:exposure_turnover s:most_used_asset i:unique_assets_used")
+
+
+def to_universal(pos: DataFrame, run_id: str = "weekly") -> DataFrame:
+    """Weekly positions in the audit layout: roles, turnover, benchmark."""
+    prev = F.coalesce(R.lag("exposure", 1, ["candidate_id"]), F.lit(0.0))
+    role = F.when(F.col("period") == "train", "is").when(F.col("period") == "validation", "oos").otherwise("locked")
+    return pos.select(
+        "candidate_id", F.col("ts").alias("timestamp"), F.lit("weekly").alias("frequency"), "strategy_return", role.alias("sample_role"),
+        F.abs(F.col("exposure") - prev).alias("turnover"), "exposure", F.col("spy_return").alias("benchmark_return"),
+    )
