@@ -54,14 +54,14 @@ def beam_select(spark, d):
 
 
 @query("unseen_candidates", oracle("s:key i:copies", BD.BOARD,
-    "c AS (SELECT method || '/' || printf('%.4f', round(average_abs_exposure, 4)) || '/' || printf('%.4f', round(exposure_turnover, 4)) AS key, stage FROM board)",
-    "SELECT key, COUNT(*) AS copies FROM c WHERE stage >= 4 AND key NOT IN (SELECT key FROM c WHERE stage < 4) GROUP BY 1"))
+    "c AS (SELECT method || '/' || printf('%.4f', round(train_calmar, 4)) || '/' || printf('%.4f', round(validation_calmar, 4)) AS key, stage FROM board)",
+    "SELECT key, COUNT(*) AS copies FROM c WHERE stage >= 8 AND key NOT IN (SELECT key FROM c WHERE stage < 8) GROUP BY 1"))
 def unseen_candidates(spark, d):
     """Candidates of later stages whose rounded key no earlier stage evaluated, with their copy count."""
     b = BD.board(spark, d).select(F.array("method").alias("specs"), F.array(F.lit("SPY")).alias("assets"), F.lit("mom").alias("selector"),
-        F.col("average_abs_exposure").alias("intercept"), F.col("exposure_turnover").alias("scale"), F.lit(0.0).alias("smoothing"), "stage", "method")
-    fresh = SE.unseen(b.where("stage >= 4"), b.where("stage < 4"))
-    copies = b.where("stage >= 4").groupBy("method", F.round("intercept", 4).alias("i"), F.round("scale", 4).alias("c")).agg(F.count(F.lit(1)).alias("copies"))
+        F.col("train_calmar").alias("intercept"), F.col("validation_calmar").alias("scale"), F.lit(0.0).alias("smoothing"), "stage", "method")
+    fresh = SE.unseen(b.where("stage >= 8"), b.where("stage < 8"))
+    copies = b.where("stage >= 8").groupBy("method", F.round("intercept", 4).alias("i"), F.round("scale", 4).alias("c")).agg(F.count(F.lit(1)).alias("copies"))
     j = fresh.select("method", F.round("intercept", 4).alias("i"), F.round("scale", 4).alias("c")).join(copies, ["method", "i", "c"])
     return j.select(F.concat_ws("/", "method", F.format_string("%.4f", "i"), F.format_string("%.4f", "c")).alias("key"), "copies")
 

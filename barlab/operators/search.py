@@ -240,3 +240,128 @@ def beam_select(rows: DataFrame, k: int, score: str = "score", signature: Column
     rest = F.max_by(F.struct(*rows.columns), F.struct(F.col(score), F.col("candidate_id")))
     one = rows.groupBy(key.alias("_sig")).agg(rest.alias("_b")).select("_b.*")
     return one.orderBy(F.col(score).desc_nulls_last(), "candidate_id").limit(k)
+
+
+def adaptive_family_weights(stats: DataFrame, min_weight: float = 0.10, scale: float = 1.0) -> DataFrame:
+    """(min weight + mean reward x scale) x penalty per family; ``stats`` has family, attempts, reward, penalty."""
+    mean = F.coalesce("reward", F.lit(0.0)) / F.greatest(F.coalesce("attempts", F.lit(0)), F.lit(1))
+    w = (max(0.01, min_weight) + F.greatest(F.lit(0.0), mean) * max(0.01, scale)) * F.greatest(F.lit(0.01), F.coalesce("penalty", F.lit(1.0)))
+    return stats.select("family", "attempts", "reward", w.alias("weight"))
+
+
+def family_reward(reason: Column, has_validation: Column, train_calmar: Column, target: float = 1.0) -> Column:
+    """Reward of one evaluated row from how far it got."""
+    early = F.when(reason.isin("train_validation_calmar_ratio", "train_subperiod_calmar"), 2.0).when(
+        reason.isin("train_total_metrics", "train_annual_return", "train_annual_calmar"), 1.0
+    ).when((reason == "train_calmar") & (train_calmar > 0), F.least(F.lit(0.9), train_calmar / max(1e-9, target))).otherwise(0.0)
+    late = F.when(reason == "", 20.0).when(reason.startswith("validation_"), 6.0).otherwise(4.0)
+    return F.when(has_validation, late).otherwise(early)
+
+
+def overfit_penalty(cands: DataFrame, ledger: DataFrame, floor: float = 0.50) -> DataFrame:
+    """Worst similarity of each candidate with a failed pattern.
+
+    Candidate and pattern must share at least one feature to overlap, so they meet by an equality join
+    on features (and a count), not as a cross product.
+    """
+    size_c = cands.select("candidate_id", "model", "family", F.array_distinct("features").alias("fs")).withColumn("nc", F.size("fs"))
+    size_l = ledger.select("pattern_id", F.col("model").alias("pm"), F.col("family").alias("pf"), "failed_locked", F.array_distinct("features").alias("ps")).withColumn("np", F.size("ps"))
+    hits = (
+        size_c.select("candidate_id", "model", "family", "nc", F.explode("fs").alias("f"))
+        .join(size_l.select("pattern_id", "pm", "pf", "failed_locked", "np", F.explode("ps").alias("f")), "f")
+        .groupBy("candidate_id", "pattern_id", "model", "family", "nc", "pm", "pf", "failed_locked", "np").agg(F.count(F.lit(1)).alias("shared"))
+    )
+    j = F.col("shared") / (F.col("nc") + F.col("np") - F.col("shared"))
+    one = lambda cond, v: F.when(cond, v).otherwise(0.0)
+    local = j + one(F.col("pm") == F.col("model"), 0.25) + one(F.col("pf") == F.col("family"), 0.25) + one(F.col("failed_locked"), 0.5)
+    worst = hits.where(j >= floor).groupBy("candidate_id").agg(F.max(local).alias("penalty"))
+    return cands.select("candidate_id").join(worst, "candidate_id", "left").fillna(0.0, ["penalty"])
+
+
+def expected_improvement(cands: DataFrame, weights: DataFrame, families: DataFrame, tried: DataFrame) -> DataFrame:
+    """Mean spec reward + 0.6 x mean family reward + 0.4 x share of untried specs."""
+    x = cands.select("candidate_id", F.explode("specs").alias("spec"))
+    x = x.join(weights, "spec", "left").join(tried.select("spec", F.lit(1).alias("_t")).distinct(), "spec", "left")
+    a = x.groupBy("candidate_id").agg(F.avg(F.coalesce("weight", F.lit(1.0))).alias("use"), F.avg(F.when(F.col("_t").isNull(), 1.0).otherwise(0.0)).alias("novel"))
+    fam = x.select("candidate_id", F.substring_index("spec", "|", 1).alias("feature")).distinct()
+    from barlab.functions.text import daily_family
+
+    fam = fam.select("candidate_id", daily_family(F.col("feature")).alias("family")).distinct().join(families, "family", "left")
+    b = fam.groupBy("candidate_id").agg(F.avg(F.coalesce("reward", F.lit(1.0))).alias("fam"))
+    return a.join(b, "candidate_id").select("candidate_id", (F.col("use") + 0.6 * F.col("fam") + 0.4 * F.col("novel")).alias("expected_improvement"))
+
+
+# Prior weight of each daily feature family (fixed values).
+FAMILY_PRIOR = {
+    "spy_price": 1.15, "rolling": 1.10, "momentum": 1.10, "volatility": 1.05, "credit": 1.00, "rates": 0.95,
+    "defensive_cyclical": 0.95, "cross_asset": 0.90, "macro": 0.85, "other": 0.70,
+}
+
+
+def choice(u: Column, values, weights) -> Column:
+    """Value chosen by cumulative weights."""
+    total, run = float(sum(weights)), 0.0
+    out = None
+    for v, w in zip(values[:-1], weights[:-1]):
+        run += w / total
+        out = F.when(u < run, F.lit(v)) if out is None else out.when(u < run, F.lit(v))
+    return out.otherwise(F.lit(values[-1])) if out is not None else F.lit(values[-1])
+
+
+def daily_candidates(catalog: DataFrame, n: int, seed: int, learned: DataFrame | None = None) -> DataFrame:
+    """Family-weighted daily rule candidates: one or two families, two to five specs, confirm and hold choices.
+
+    Every catalog row competes for a candidate with an exponential key scaled by its weight; the
+    smallest keys win. Candidates see only catalog rows of their families (an equality join).
+    """
+    spark = catalog.sparkSession
+    fams = catalog.select("family").distinct()
+    prior = F.create_map(*[x for k, v in FAMILY_PRIOR.items() for x in (F.lit(k), F.lit(v))])
+    ids = spark.range(n)
+    u = lambda *s: uniform(seed, F.col("id"), *s)
+    ids = ids.select(
+        "id", choice(u(1), (1, 2), (0.55, 0.45)).alias("n_fam"), choice(u(2), (2, 3, 4, 5), (0.20, 0.30, 0.35, 0.15)).alias("combo_size"),
+        choice(u(3), ("spy_long_short_always", "spy_long_short_score"), (0.72, 0.28)).alias("rule"),
+        choice(u(4), (1, 2, 3, 5, 8), (0.15, 0.25, 0.25, 0.25, 0.10)).alias("confirm_days"),
+        choice(u(5), (1, 3, 5, 10, 15, 20), (0.10, 0.20, 0.25, 0.25, 0.10, 0.10)).alias("min_hold_days"),
+        choice(u(6), (0.0, 0.25, 0.5, 0.75, 1.0), (1, 1, 1, 1, 1)).alias("score_threshold"), choice(u(7), (1, 2), (1, 1)).alias("votes"),
+    )
+    # the family list is a taxonomy of at most ten names: carried as one array, not joined
+    every = F.array(*[F.lit(k) for k in FAMILY_PRIOR])
+    present = fams.agg(F.array_sort(F.collect_set("family")).alias("present"), F.lit(1).alias("_k"))
+    x = ids.join(F.broadcast(present), F.lit(1) == F.col("_k")).drop("_k")
+    ranked = F.array_sort(F.transform(F.filter(every, lambda f: F.array_contains("present", f)), lambda f: F.struct((-F.ln(uniform(seed, F.col("id"), f)) / prior[f]).alias("k"), f.alias("f"))))
+    x = x.withColumn("family", F.explode(F.slice(F.transform(ranked, lambda s: s["f"]), F.lit(1), F.col("n_fam")))).drop("present")
+    cat = catalog if learned is None else catalog.join(learned, "spec", "left")
+    w = F.lit(1.0) if learned is None else F.coalesce(F.col("weight"), F.lit(1.0))
+    j = x.join(cat.select("family", "spec", w.alias("_w")), "family").withColumn("_key", -F.ln(uniform(seed, F.col("id"), 9, F.col("spec"))) / F.col("_w"))
+    g = j.groupBy("id", "rule", "combo_size", "confirm_days", "min_hold_days", "score_threshold", "votes").agg(F.array_sort(F.collect_list(F.struct("_key", "spec"))).alias("_s"))
+    specs = F.slice(F.transform("_s", lambda s: s["spec"]), F.lit(1), F.col("combo_size"))
+    g = g.withColumn("specs", specs).where(F.size("specs") >= 2)
+    half = F.greatest(F.floor(F.size("specs") / 2), F.lit(1)).cast("int")
+    score = F.col("rule") == "spy_long_short_score"
+    longs, shorts = F.array_sort(F.slice("specs", F.lit(1), half)), F.array_sort(F.slice("specs", half + 1, F.size("specs") - half))
+    out = g.select(
+        "rule", "combo_size", "confirm_days", "min_hold_days", F.when(score, F.array_join(F.array_sort("specs"), ";")).alias("feature_specs"),
+        F.when(score, F.col("score_threshold")).alias("score_threshold"), F.when(~score, F.array_join(longs, ";")).alias("long_specs"),
+        F.when(~score, F.array_join(shorts, ";")).alias("short_specs"), F.when(~score, F.least("votes", F.size(longs))).alias("long_min_votes"),
+        F.when(~score, F.least("votes", F.size(shorts))).alias("short_min_votes"),
+    )
+    return out.dropDuplicates()
+
+
+def ml_candidates(features, n: int, seed: int, spark, max_features: int = 5) -> DataFrame:
+    """Learning candidates: rotating model, hashed feature subset and hyper-parameters."""
+    u = lambda s: uniform(seed, F.col("id"), s)
+    names = F.array(*[F.lit(f) for f in features])
+    k = F.floor(u(1) * min(max_features, len(features))).cast("int") + 1
+    order = F.array_sort(F.transform(names, lambda f: F.struct(uniform(seed, F.col("id"), 2, f).alias("k"), f.alias("f"))))
+    ids = spark.range(n)
+    return ids.select(
+        F.concat(F.lit("ml_"), F.col("id").cast("string")).alias("candidate_id"),
+        F.array_sort(F.slice(F.transform(order, lambda s: s["f"]), F.lit(1), k)).alias("features"),
+        F.get(F.array(F.lit("ridge"), F.lit("random_forest"), F.lit("hist_gradient_boosting")), F.pmod("id", F.lit(3)).cast("int")).alias("model"),
+        pick(u(3), SP.floats((0.05, 0.1, 0.25, 0.5, 1.0, 2.0, 5.0))).alias("alpha"), pick(u(4), SP.ints((32, 48, 64, 96))).alias("n_estimators"),
+        pick(u(5), SP.ints((2, 3, 4, 5))).alias("max_depth"), pick(u(6), SP.floats((0.03, 0.05, 0.08, 0.12))).alias("learning_rate"),
+        (u(7) * 1.65 + 0.35).alias("scale"), (u(8) * 0.70 - 0.35).alias("intercept"), pick(u(9), F.array(*[F.lit(s) for s in SELECTORS])).alias("selector"),
+    )
