@@ -19,7 +19,8 @@ from barlab.plans import decisions as D
 from barlab.plans import inputs as I
 from barlab.plans import strategies as S
 from barlab.plans import sweeps as SW
-from barlab.registry import oracle, query
+from barlab.registry import oracle
+from barlab.registry import sharing_query as query
 
 COST = 0.0002
 SIG_SQL = [f"sg AS (SELECT symbol, ts, close, CASE WHEN {G('AVG(close) {w}', 'close', 5)} > {G('AVG(close) {w}', 'close', 20)} THEN 1 ELSE 0 END AS signal FROM bars)"]

@@ -11,7 +11,8 @@ from barlab.operators import examples as E
 from barlab.plans import decisions as D
 from barlab.plans import inputs as I
 from barlab.plans import strategies as S
-from barlab.registry import oracle, query
+from barlab.registry import oracle
+from barlab.registry import sharing_query as query
 
 DF = " ".join(f"f:{c}" for c in D.FEATURES)
 POL = " ".join(f"f:{c}" for c in D.POLITICAL_COLUMNS)

@@ -12,7 +12,8 @@ from barlab.operators import backtest as B
 from barlab.operators import gates as GT
 from barlab.plans import boards as BD
 from barlab.plans import inputs as I
-from barlab.registry import oracle, query
+from barlab.registry import oracle
+from barlab.registry import sharing_query as query
 
 G_OUT = GATE_OUT.replace("s:candidate_id", "i:row_id")
 

@@ -16,7 +16,8 @@ from barlab.plans import decisions as D
 from barlab.plans import inputs as I
 from barlab.plans import strategies as S
 from barlab.plans import sweeps as SW
-from barlab.registry import oracle, query
+from barlab.registry import oracle
+from barlab.registry import sharing_query as query
 
 COLS = D.FEATURES[:5]
 
@@ -149,9 +150,8 @@ MAT = [f"r_{k}_{n}" for n in (5, 10, 20, 60, 126) for k in ("mean", "std", "skew
 def feature_matrix_raw(spark, d):
     """Moments, lags, technical, volatility and price-action columns of every symbol."""
     raw = X.range_volatility(X.price_action(I.raw_bars(spark, d))).select("symbol", "ts", "vol_parkinson_20", "pa_gap", "pa_body", "pa_range", "pa_close_pos", "pa_overnight", (F.ln("high") - F.ln("low")).alias("hl"))
-    b = I.returns(I.bars(spark, d))
+    b = RC.technical(I.returns(I.bars(spark, d)).select("symbol", "ts", "close", "r"))
     b = X.bollinger(X.rolling_moments(b)).withColumns({f"r_lag_{n}": R.lag("r", n) for n in (1, 2, 3, 5, 10, 21)}).drop("bb_mid")
-    b = RC.ewma_vol(RC.macd(RC.rsi_wilder(b)))
     return b.join(raw, ["symbol", "ts"]).withColumn("hl_vol", R.std("hl", 20)).drop("hl")
 
 
@@ -159,7 +159,7 @@ def feature_matrix_raw(spark, d):
 def feature_matrix(spark, d):
     """Fifty-one columns standardised over 252 rows; each family has its own oracle query."""
     m = feature_matrix_raw(spark, d)
-    return m.select("symbol", "ts", *[R.zscore(c, 252, ddof=1).alias(c) for c in MAT])
+    return R.zscores(m.select("symbol", "ts", *MAT), MAT, 252, ddof=1)
 
 
 @query("standardised_block", oracle("s:symbol d:ts f:r_mean_20 f:r_lag_5", I.BARS, I.RETS,
@@ -167,7 +167,8 @@ def feature_matrix(spark, d):
     f"SELECT symbol, ts, {Z('a', 252, 252, 'stddev_samp')} AS r_mean_20, {Z('b', 252, 252, 'stddev_samp')} AS r_lag_5 FROM x"))
 def standardised_block(spark, d):
     x = I.returns(I.bars(spark, d)).withColumns({"a": R.mean("r", 20), "b": R.lag("r", 5)})
-    return x.select("symbol", "ts", R.zscore("a", 252, ddof=1).alias("r_mean_20"), R.zscore("b", 252, ddof=1).alias("r_lag_5"))
+    x = R.zscores(x.select("symbol", "ts", "a", "b"), ["a", "b"], 252, ddof=1)
+    return x.select("symbol", "ts", F.col("a").alias("r_mean_20"), F.col("b").alias("r_lag_5"))
 
 
 @query("pending_features_join", oracle("s:symbol d:ts f:pending_high f:pending_urgent", I.BARS, I.ORDERS_DAILY,

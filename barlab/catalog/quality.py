@@ -12,7 +12,8 @@ from barlab.operators import quality as Q
 from barlab.plans import decisions as D
 from barlab.plans import inputs as I
 from barlab.plans import strategies as S
-from barlab.registry import oracle, query
+from barlab.registry import oracle
+from barlab.registry import sharing_query as query
 
 
 def dirty_bars(spark, d):
@@ -67,6 +68,10 @@ def columns_guard(spark, d):
 
 def universal_returns(spark, d):
     """Strategy returns in the audit layout."""
+    return I.shared(f"universal:{d}", lambda: _universal_returns(spark, d))
+
+
+def _universal_returns(spark, d):
     r = S.strategy_returns(spark, d)
     base = I.returns(I.bars(spark, d)).where("symbol = 'N'").select("ts", F.col("r").alias("benchmark_return"))
     from barlab.functions import rolling as R

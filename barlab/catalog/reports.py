@@ -12,7 +12,8 @@ from barlab.operators import leaderboard as LB
 from barlab.plans import boards as BD
 from barlab.plans import inputs as I
 from barlab.plans import sweeps as SW
-from barlab.registry import oracle, query
+from barlab.registry import oracle
+from barlab.registry import sharing_query as query
 
 
 @query("method_summary", oracle("s:method i:rows i:accepted i:verified_sharpe_robust i:best_candidate f:best_score f:best_train_sharpe", BD.BOARD, WS,

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from barlab.catalog.quality import UNI_SQL, universal_returns
 from barlab.operators import pairs as PW
 from barlab.operators import robust as RB
-from barlab.registry import oracle, query
+from barlab.registry import oracle
+from barlab.registry import sharing_query as query
 
 WEEKS = "CAST(timestamp + INTERVAL 1 DAY * ((12 - isodow(timestamp)) % 7) AS DATE)"
 # weekly version of the strategy returns keeps bootstrap and permutation oracles small

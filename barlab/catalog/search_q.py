@@ -15,7 +15,8 @@ from barlab.plans import boards as BD
 from barlab.plans import decisions as D
 from barlab.plans import rounds as RD
 from barlab.plans import sweeps as SW
-from barlab.registry import oracle, query
+from barlab.registry import oracle
+from barlab.registry import sharing_query as query
 
 
 

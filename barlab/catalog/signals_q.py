@@ -17,7 +17,8 @@ from barlab.operators import votes as V
 from barlab.plans import decisions as D
 from barlab.plans import inputs as I
 from barlab.plans import sweeps as SW
-from barlab.registry import oracle, query
+from barlab.registry import oracle
+from barlab.registry import sharing_query as query
 
 SIG = "s:symbol d:ts i:signal"
 FEAT = [*I.BARS, *I.RETS, *DAILY_SQL]

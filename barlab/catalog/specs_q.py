@@ -12,7 +12,8 @@ from barlab.operators import specs as SP
 from barlab.plans import decisions as D
 from barlab.plans import inputs as I
 from barlab.plans import sweeps as SW
-from barlab.registry import oracle, query
+from barlab.registry import oracle
+from barlab.registry import sharing_query as query
 
 FEAT = [I.BARS, I.RETS, DAILY_SQL]
 FEAT = [c for p in FEAT for c in p]

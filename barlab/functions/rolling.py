@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SERIES = ("symbol",)
@@ -151,6 +151,49 @@ def cumulative_product(x, by=SERIES, order="ts") -> Column:
     return F.product(_c(x)).over(running(by, order))
 
 
+def prefix_sums(df: DataFrame, columns, n: int, powers=(1, 2), by=SERIES, order="ts") -> DataFrame:
+    """Rolling sums of powers over n rows in linear time, for wide frames over many columns.
+
+    A plain ROWS frame re-reads all n rows at every step; here each column keeps running sums and the
+    frame is a difference of two of them. Adds ``_n_<col>`` (non-null count) and ``_p<k>_<col>``. Values
+    are shifted by the series mean, kept in ``_c_<col>``, so the sums stay well conditioned.
+    """
+    whole = Window.partitionBy(*by)
+    x = df.withColumns({f"_c_{c}": F.coalesce(F.avg(c).over(whole), F.lit(0.0)) for c in columns})
+    run = running(by, order)
+    sums = {}
+    for c in columns:
+        v = F.col(c) - F.col(f"_c_{c}")
+        sums[f"_n_{c}"] = F.count(c).over(run)
+        for k in powers:
+            t = v
+            for _ in range(k - 1):
+                t = t * v
+            sums[f"_p{k}_{c}"] = F.coalesce(F.sum(t).over(run), F.lit(0.0))
+    x = x.withColumns(sums)
+    past = ordered(by, order)
+    return x.withColumns({k: F.col(k) - F.coalesce(F.lag(k, n).over(past), F.lit(0)) for k in sums})
+
+
+def zscores(df: DataFrame, columns, n: int, mp: int | None = None, ddof: int = 0, by=SERIES, order="ts") -> DataFrame:
+    """Replace many columns by their rolling z-scores in linear time.
+
+    Columns become rows first, so the work spreads over series x columns and one small expression
+    serves them all; the result pivots back to the wide layout.
+    """
+    keys = [c for c in df.columns if c not in columns]
+    pairs = F.array(*[F.struct(F.lit(c).alias("_f"), F.col(c).cast("double").alias("_v")) for c in columns])
+    x = prefix_sums(df.select(*keys, F.inline(pairs)), ["_v"], n, (1, 2), (*by, "_f"), order)
+    k, s1, s2 = F.col("_n__v").cast("double"), F.col("_p1__v"), F.col("_p2__v")
+    mu = s1 / F.nullif(k, F.lit(0.0))
+    var = (s2 - s1 * mu) / F.when(k > ddof, k - ddof)
+    # a variance at the level of rounding noise counts as zero
+    sd = F.when(var > F.greatest(F.lit(1e-24), 1e-13 * s2 / F.nullif(k, F.lit(0.0))), F.sqrt(var))
+    z = F.when(k >= (n if mp is None else mp), (F.col("_v") - F.col("_c__v") - mu) / sd)
+    long = x.select(*keys, "_f", z.alias("_z"))
+    return long.groupBy(*keys).agg(*[F.max(F.when(F.col("_f") == c, F.col("_z"))).alias(c) for c in columns])
+
+
 def bars_since(cond: Column, by=SERIES, order="ts", rn="rn") -> Column:
     """Rows since ``cond`` was last true (NULL before the first time); ``rn`` numbers the series' rows."""
     return _c(rn) - F.last(F.when(cond, _c(rn)), ignorenulls=True).over(running(by, order))

@@ -139,18 +139,49 @@ def spread(df: DataFrame, left: str, right: str, name: str, by=("symbol",)) -> D
     return level_change_z(df.withColumn("_spread", F.col(left) - F.col(right)), "_spread", name, by).drop("_spread")
 
 
-def rolling_moments(df: DataFrame, x: str = "r", windows=(5, 10, 20, 60, 126)) -> DataFrame:
+def rolling_moments(df: DataFrame, x: str = "r", windows=(5, 10, 20, 60, 126), wide: int = 30) -> DataFrame:
+    """Mean, deviation, bias-corrected skewness and kurtosis, minimum and maximum per window.
+
+    Short windows use plain frames. Windows longer than ``wide`` take their moments from running power
+    sums, which cost the same per row at any length.
+    """
     out = {}
     for n in windows:
-        out |= {
-            f"{x}_mean_{n}": R.mean(x, n),
-            f"{x}_std_{n}": R.std(x, n, ddof=1),
-            f"{x}_skew_{n}": R.skew(x, n),
-            f"{x}_kurt_{n}": R.kurt(x, n),
-            f"{x}_min_{n}": R.low(x, n),
-            f"{x}_max_{n}": R.high(x, n),
-        }
-    return add(df, out)
+        out |= {f"{x}_min_{n}": R.low(x, n), f"{x}_max_{n}": R.high(x, n)}
+        if n <= wide:
+            out |= {
+                f"{x}_mean_{n}": R.mean(x, n),
+                f"{x}_std_{n}": R.std(x, n, ddof=1),
+                f"{x}_skew_{n}": R.skew(x, n),
+                f"{x}_kurt_{n}": R.kurt(x, n),
+            }
+    y = add(df, out)
+    for n in windows:
+        if n > wide:
+            y = _power_moments(y, x, n)
+    return y
+
+
+def _power_moments(df: DataFrame, x: str, n: int) -> DataFrame:
+    p = R.prefix_sums(df, [x], n, (1, 2, 3, 4))
+    k = F.col(f"_n_{x}").cast("double")
+    m = F.col(f"_p1_{x}") / F.nullif(k, F.lit(0.0))
+    e2, e3, e4 = (F.col(f"_p{i}_{x}") / F.nullif(k, F.lit(0.0)) for i in (2, 3, 4))
+    v = e2 - m * m
+    c3 = e3 - 3 * m * e2 + 2 * m * m * m
+    c4 = e4 - 4 * m * e3 + 6 * m * m * e2 - 3 * m * m * m * m
+    pos = F.when(v > 1e-24, v)
+    full = F.col(f"_n_{x}") >= n
+    skew = F.sqrt(k * (k - 1)) / (k - 2) * c3 / F.pow(pos, 1.5)
+    kurt = (k - 1) / ((k - 2) * (k - 3)) * ((k + 1) * (c4 / (pos * pos) - 3) + 6)
+    out = {
+        f"{x}_mean_{n}": m + F.col(f"_c_{x}"),
+        f"{x}_std_{n}": F.sqrt(F.greatest(v, F.lit(0.0)) * k / (k - 1)),
+        f"{x}_skew_{n}": skew,
+        f"{x}_kurt_{n}": kurt,
+    }
+    cols = {c: F.when(full, e) for c, e in out.items()}
+    return add(p, cols).drop(f"_n_{x}", f"_c_{x}", *[f"_p{i}_{x}" for i in (1, 2, 3, 4)])
 
 
 def bollinger(df: DataFrame, x: str = "close", n: int = 20, width: float = 2.0) -> DataFrame:

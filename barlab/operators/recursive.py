@@ -54,49 +54,60 @@ def exposure_smoothing(df: DataFrame, x: str, alpha, by, out: str = "smoothed",
     return _spread(g, by, clipped, out, order).drop("_a")
 
 
+def _ewm(v: pd.Series, span: int):
+    return v.astype(float).ewm(span=span, adjust=False, min_periods=span)
+
+
+def _macd(close: pd.Series, fast: int = 12, slow: int = 26, signal: int = 9) -> dict:
+    line = _ewm(close, fast).mean() - _ewm(close, slow).mean()
+    sig = _ewm(line, signal).mean()
+    return {"macd_line": line, "macd_signal": sig, "macd_hist": line - sig}
+
+
+def _rsi(close: pd.Series, n: int) -> np.ndarray:
+    move = close.astype(float).diff().to_numpy()
+    out = np.full(len(close), np.nan)
+    if len(close) > n:
+        up, down = np.clip(move[1:], 0.0, None), np.clip(-move[1:], 0.0, None)
+        seeded = lambda v: pd.Series(np.concatenate([[v[:n].mean()], v[n:]])).ewm(alpha=1.0 / n, adjust=False).mean().to_numpy()
+        gain, loss = seeded(up), seeded(down)
+        out[n:] = np.where(loss > 0, 100.0 - 100.0 / (1.0 + gain / np.where(loss > 0, loss, 1.0)), 100.0)
+    return out
+
+
+def _doubles(*names: str) -> dict[str, T.DataType]:
+    return {n: T.DoubleType() for n in names}
+
+
 def ema(df: DataFrame, x: str, span: int, by=("symbol",), out: str | None = None) -> DataFrame:
     """Exponential mean (no bias adjustment), NULL before ``span`` observations."""
     name = out or f"ema_{span}"
-    return per_series(
-        df, by, lambda p: {name: p[x].astype(float).ewm(span=span, adjust=False, min_periods=span).mean()}, {name: T.DoubleType()}
-    )
+    return per_series(df, by, lambda p: {name: _ewm(p[x], span).mean()}, _doubles(name))
 
 
 def macd(df: DataFrame, x: str = "close", fast: int = 12, slow: int = 26, signal: int = 9, by=("symbol",)) -> DataFrame:
     """Fast minus slow exponential mean, its signal line and their difference."""
-
-    def run(p: pd.DataFrame) -> dict:
-        mean = lambda v, n: v.ewm(span=n, adjust=False, min_periods=n).mean()
-        line = mean(p[x].astype(float), fast) - mean(p[x].astype(float), slow)
-        sig = mean(line, signal)
-        return {"macd_line": line, "macd_signal": sig, "macd_hist": line - sig}
-
-    return per_series(df, by, run, {k: T.DoubleType() for k in ("macd_line", "macd_signal", "macd_hist")})
+    return per_series(df, by, lambda p: _macd(p[x], fast, slow, signal), _doubles("macd_line", "macd_signal", "macd_hist"))
 
 
 def rsi_wilder(df: DataFrame, x: str = "close", n: int = 14, by=("symbol",)) -> DataFrame:
     """Wilder's index: plain mean of the first n moves, then the 1/n recursion; 100 without losses."""
-
-    def run(p: pd.DataFrame) -> dict:
-        move = p[x].astype(float).diff().to_numpy()
-        out = np.full(len(p), np.nan)
-        if len(p) > n:
-            up, down = np.clip(move[1:], 0.0, None), np.clip(-move[1:], 0.0, None)
-            seeded = lambda v: pd.Series(np.concatenate([[v[:n].mean()], v[n:]])).ewm(alpha=1.0 / n, adjust=False).mean().to_numpy()
-            gain, loss = seeded(up), seeded(down)
-            safe = np.where(loss > 0, loss, 1.0)
-            out[n:] = np.where(loss > 0, 100.0 - 100.0 / (1.0 + gain / safe), 100.0)
-        return {f"rsi_{n}": out}
-
-    return per_series(df, by, run, {f"rsi_{n}": T.DoubleType()})
+    return per_series(df, by, lambda p: {f"rsi_{n}": _rsi(p[x], n)}, _doubles(f"rsi_{n}"))
 
 
 def ewma_vol(df: DataFrame, x: str = "r", span: int = 20, by=("symbol",)) -> DataFrame:
     """Exponentially weighted standard deviation, NULL before ``span`` observations."""
     name = f"ewma_vol_{span}"
-    return per_series(
-        df, by, lambda p: {name: p[x].astype(float).ewm(span=span, adjust=False, min_periods=span).std()}, {name: T.DoubleType()}
-    )
+    return per_series(df, by, lambda p: {name: _ewm(p[x], span).std()}, _doubles(name))
+
+
+def technical(df: DataFrame, by=("symbol",)) -> DataFrame:
+    """Wilder index, convergence lines and exponential volatility in one pass over each series."""
+
+    def run(p: pd.DataFrame) -> dict:
+        return {"rsi_14": _rsi(p["close"], 14), **_macd(p["close"]), "ewma_vol_20": _ewm(p["r"], 20).std()}
+
+    return per_series(df, by, run, _doubles("rsi_14", "macd_line", "macd_signal", "macd_hist", "ewma_vol_20"))
 
 
 def remember(want: np.ndarray, confirm: int, hold: int) -> np.ndarray:

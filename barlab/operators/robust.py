@@ -297,7 +297,10 @@ def year_table(r: DataFrame) -> DataFrame:
 def verdict(r: DataFrame, samples: int = 1000, max_drawdown: float = 0.35) -> DataFrame:
     """All checks of every candidate with the verdict and the joined reasons."""
     from barlab.operators import quality as Q
+    from barlab.session import checkpoint
 
+    # ten checks read the same return table: materialise it once instead of deriving it ten times
+    r = checkpoint(r)
     q = Q.returns_quality(r.withColumn("seq", F.col("timestamp"))).select("candidate_id", "data_quality_pass", F.col("fail_reasons").alias("quality_reasons"))
     x = r.groupBy("candidate_id").agg(F.max("source_method").alias("source_method"))
     parts = [
@@ -444,8 +447,10 @@ def validation_summary(df: DataFrame, paths: int = 300, shuffles: int = 300, spl
 
     ``df``: candidate_id, timestamp, position, next_return, n_trials, source_method.
     """
+    from barlab.session import checkpoint
+
     x = df.withColumns({"strategy_return": F.col("position") * F.col("next_return"), "frequency": F.lit("daily")})
-    x = x.withColumn("excess", F.col("strategy_return") - F.col("next_return"))
+    x = checkpoint(x.withColumn("excess", F.col("strategy_return") - F.col("next_return")))
     b = bootstrap_samples(x, paths).groupBy("candidate_id").agg(F.percentile("calmar", 0.05).alias("bootstrap_calmar_p05"), F.percentile("calmar", 0.5).alias("bootstrap_calmar_p50"))
     e = bootstrap_samples(x, paths, x="excess").groupBy("candidate_id").agg(F.percentile("calmar", 0.05).alias("bootstrap_excess_calmar_p05"), F.percentile("calmar", 0.5).alias("bootstrap_excess_calmar_p50"))
     reg = regime_calmar(x).groupBy("candidate_id").agg(F.min("calmar").alias("regime_min_calmar"))

@@ -21,13 +21,19 @@ SPEC_FEATURES = (*FEATURES, "month_number", "presidential_cycle_year")
 
 
 def featured(spark: SparkSession, sf_dir: str, symbol: str | None = I.BENCHMARK) -> DataFrame:
-    f = X.daily_features(I.bars(spark, sf_dir))
-    f = f.select("symbol", "ts", "close", *FEATURES)
+    def build() -> DataFrame:
+        return X.daily_features(I.bars(spark, sf_dir)).select("symbol", "ts", "close", *FEATURES)
+
+    f = I.shared(f"featured:{sf_dir}", build)
     return f if symbol is None else f.where(F.col("symbol") == symbol)
 
 
 def weekly(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Weekly examples of the benchmark, with locked and down-year flags."""
+    return I.shared(f"weekly:{sf_dir}", lambda: _weekly(spark, sf_dir))
+
+
+def _weekly(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = I.bars(spark, sf_dir)
     from barlab.plans.strategies import down_years
 
@@ -48,6 +54,10 @@ def weekly(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def monthly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return I.shared(f"monthly:{sf_dir}", lambda: _monthly(spark, sf_dir))
+
+
+def _monthly(spark: SparkSession, sf_dir: str) -> DataFrame:
     ex = E.decision_examples(featured(spark, sf_dir), E.month_end("ts"), FEATURES)
     ex = E.political(E.target_parts(ex))
     return ex.withColumn("period", E.period_label(F.col("target_end"), I.TRAIN_END, I.VALIDATION_END))
@@ -55,12 +65,20 @@ def monthly(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def annual(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Annual examples of every symbol."""
+    return I.shared(f"annual:{sf_dir}", lambda: _annual(spark, sf_dir))
+
+
+def _annual(spark: SparkSession, sf_dir: str) -> DataFrame:
     ex = E.annual_examples(featured(spark, sf_dir, None), FEATURES)
     return E.political(ex)
 
 
 def weekly_assets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(symbol, period_end, close, next_return, mom_4, mom_13, mom_26, mom_52, vol) per calendar week."""
+    return I.shared(f"weekly_assets:{sf_dir}", lambda: _weekly_assets(spark, sf_dir))
+
+
+def _weekly_assets(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = E.resample_last(I.bars(spark, sf_dir), E.week_end("ts"), ["close"])
     return E.asset_momentum(E.spine(w, "week"), (4, 13, 26, 52), 13, 52.0)
 

@@ -6,10 +6,14 @@ a symbol that holds a third of all raw rows shuffles only one partial row per ma
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from contextlib import contextmanager
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barlab.functions import rolling as R
+from barlab.session import checkpoint
 
 BENCHMARK = "N"
 UNIT = 997.31  # price unit; an uneven divisor keeps averages off rounding ties
@@ -19,6 +23,32 @@ VALIDATION_END = "2000-12-31"
 LOCKED_START = "2001-01-01"
 
 
+_SCOPES: list[dict[str, DataFrame]] = []
+
+
+@contextmanager
+def sharing():
+    """Within the block, derived base tables are materialised once and reused by every branch of a query.
+
+    They are daily or weekly aggregates - tiny beside the raw tables - so a query that needs them in
+    many places scans and shuffles the raw data once. The files live in the checkpoint folder.
+    """
+    _SCOPES.append({})
+    try:
+        yield
+    finally:
+        _SCOPES.pop()
+
+
+def shared(key: str, build: Callable[[], DataFrame]) -> DataFrame:
+    if not _SCOPES:
+        return build()
+    memo = _SCOPES[-1]
+    if key not in memo:
+        memo[key] = checkpoint(build())
+    return memo[key]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -28,6 +58,10 @@ def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     Sums run over integer hundredths, so the result does not depend on the order of addition.
     """
+    return shared(f"bars:{sf_dir}", lambda: _bars(spark, sf_dir))
+
+
+def _bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     daily = (
         table(spark, sf_dir, "lineitem")
         .groupBy(F.col("l_returnflag").alias("symbol"), F.to_date("l_shipdate").alias("ts"))
@@ -53,6 +87,10 @@ ROW_KEY = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity",
 
 def raw_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(symbol, ts, open, high, low, close, volume) straight from unit prices."""
+    return shared(f"raw_bars:{sf_dir}", lambda: _raw_bars(spark, sf_dir))
+
+
+def _raw_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.struct(*ROW_KEY)
     px = F.col("l_extendedprice")
     return (

@@ -32,13 +32,20 @@ def publish(df: DataFrame) -> DataFrame:
     return df.select(cols)
 
 
-def query(name: str, sql: str | None = None):
+def query(name: str, sql: str | None = None, share: bool = False):
+    """Register ``fn`` as a query; ``share`` materialises the derived base tables it uses in several places."""
+
     def register(fn):
         if name in QUERIES:
             raise ValueError(f"query registered twice: {name}")
 
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            return publish(fn(spark, sf_dir))
+            if not share:
+                return publish(fn(spark, sf_dir))
+            from barlab.plans.inputs import sharing
+
+            with sharing():
+                return publish(fn(spark, sf_dir))
 
         run.__name__ = name
         run.__doc__ = fn.__doc__
@@ -75,3 +82,7 @@ def oracle(out: str, *parts: str) -> str:
         cols.append(f"{_FORMS[form].format(c=name)} AS {name}")
     head = "WITH " + ",\n".join(flat) + "\n" if flat else ""
     return f"{head}SELECT {', '.join(cols)} FROM (\n{final}\n) AS final_rows"
+
+
+def sharing_query(name: str, sql: str | None = None):
+    return query(name, sql, share=True)
