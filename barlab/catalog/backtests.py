@@ -355,7 +355,7 @@ def grid_sweep(spark, d):
     j = S.on_series(cands, ind).select("candidate_id", "ts", "close", SG.on(F.col("sma")[F.col("fast_window")] > F.col("sma")[F.col("slow_window")]).alias("signal"))
     by = ("candidate_id",)
     run = B.long_cash(j, "signal", COST, by)
-    return B.metrics_basic(run, B.long_cash_trades(run, by), by).select("candidate_id", "total_return_pct", "max_drawdown_pct", "sharpe", "score")
+    return B.metrics_equity(run, by).select("candidate_id", "total_return_pct", "max_drawdown_pct", "sharpe", "score")
 
 
 ANN_EV = ["acm AS (" + CONF_AGG + ")",

@@ -11,7 +11,7 @@ from barlab.operators import align as A
 from barlab.operators import features as X
 from barlab.plans import inputs as I
 from barlab.plans import panels as P
-from barlab.registry import oracle, query
+from barlab.registry import oracle, query, sharing_query
 
 O = "(PARTITION BY symbol ORDER BY ts)"
 CUM = "(PARTITION BY symbol ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
@@ -444,7 +444,7 @@ def _mp_asset(a):
     return ", ".join(cols)
 
 
-@query("market_panel", oracle("d:ts " + " ".join(f"f:{c}" for c in MP_COLS), I.BARS, I.RAW_BARS,
+@sharing_query("market_panel", oracle("d:ts " + " ".join(f"f:{c}" for c in MP_COLS), I.BARS, I.RAW_BARS,
     """px AS (SELECT b.symbol, b.ts, q.open, q.high, q.low, q.close AS rc, b.close AS n, a.close AS a0, r.close AS r0
        FROM bars AS b JOIN raw_bars AS q ON q.symbol = b.symbol AND q.ts = b.ts
        LEFT JOIN bars AS a ON a.symbol = 'A' AND a.ts = b.ts LEFT JOIN bars AS r ON r.symbol = 'R' AND r.ts = b.ts WHERE b.symbol = 'N')""",
@@ -462,7 +462,7 @@ def market_panel(spark, d):
 AP = "ret_252 rel_ret_252 macro_value hy_minus_ig ten_minus_two cap_to_gdp issuance_yield".split()
 
 
-@query("annual_panel", oracle("d:ts " + " ".join(f"f:{c}" for c in AP), I.BARS, I.ORDERS_DAILY, I.MACRO, RATE_SQL,
+@sharing_query("annual_panel", oracle("d:ts " + " ".join(f"f:{c}" for c in AP), I.BARS, I.ORDERS_DAILY, I.MACRO, RATE_SQL,
     """lagged AS (SELECT CAST(ts + INTERVAL 1 DAY * (CASE isodow(ts) WHEN 6 THEN 6 WHEN 7 THEN 5 ELSE 7 END) AS DATE) AS ts, value FROM macro)""",
     "lag1 AS (SELECT ts, AVG(value) AS value FROM lagged GROUP BY 1)",
     f"""j AS (SELECT r.*, a.close AS small0, l.value AS mv FROM rate_named AS r LEFT JOIN (SELECT ts, close FROM bars WHERE symbol = 'A') AS a ON r.ts = a.ts

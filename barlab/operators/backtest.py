@@ -144,30 +144,35 @@ def curve(df: DataFrame, x: str, by, order: str = "ts") -> DataFrame:
     return y.withColumn("drawdown", R.ratio("nav", F.max("nav").over(R.running(by, order))) - 1.0)
 
 
-def metrics_basic(run: DataFrame, trades: DataFrame, by=("symbol",), cash: float = CASH) -> DataFrame:
-    """Total return, drawdown, Sharpe (population deviation, 252) and trade statistics."""
+def metrics_equity(run: DataFrame, by=("symbol",), cash: float = CASH) -> DataFrame:
+    """Total return, drawdown, Sharpe (population deviation, 252) and score of an equity curve."""
     x = run.withColumns({"_ret": R.pct_change("equity", 1, by), "_dd": R.drawdown("equity", by=by)})
     e = x.groupBy(*by).agg(
         F.max_by("equity", "ts").alias("final_equity"), (F.min("_dd") * 100.0).alias("max_drawdown_pct"),
         F.avg("_ret").alias("_m"), F.stddev_pop("_ret").alias("_s"),
     )
+    e = e.withColumns({
+        "initial_cash": F.lit(cash),
+        "total_return_pct": (F.col("final_equity") / cash - 1.0) * 100.0,
+        "sharpe": sharpe(F.col("_m"), F.col("_s"), 252.0, 1e-15),
+    })
+    return e.withColumn("score", F.col("total_return_pct") + F.col("max_drawdown_pct") + F.col("sharpe")).drop("_m", "_s")
+
+
+def metrics_basic(run: DataFrame, trades: DataFrame, by=("symbol",), cash: float = CASH) -> DataFrame:
+    """Equity metrics together with trade count, win rate and profit factor."""
     pnl = F.col("pnl")
     t = trades.groupBy(*by).agg(
         F.count(F.lit(1)).alias("trade_count"), F.avg((pnl > 0).cast("double")).alias("_w"),
         F.sum(F.when(pnl > 0, pnl)).alias("_win"), F.sum(F.when(pnl < 0, -pnl)).alias("_loss"),
     )
-    j = e.join(t, list(by), "left")
+    j = metrics_equity(run, by, cash).join(t, list(by), "left")
     win = F.coalesce("_win", F.lit(0.0))
-    j = j.withColumns({
-        "initial_cash": F.lit(cash),
-        "total_return_pct": (F.col("final_equity") / cash - 1.0) * 100.0,
-        "sharpe": sharpe(F.col("_m"), F.col("_s"), 252.0, 1e-15),
+    return j.withColumns({
         "trade_count": F.coalesce("trade_count", F.lit(0)).cast("double"),
         "win_rate_pct": F.coalesce(F.col("_w") * 100.0, F.lit(0.0)),
         "profit_factor": F.when(F.col("_loss").isNull(), win).otherwise(win / F.nullif("_loss", F.lit(0.0))),
-    })
-    score = F.col("total_return_pct") + F.col("max_drawdown_pct") + F.col("sharpe")
-    return j.withColumn("score", score).drop("_m", "_s", "_w", "_win", "_loss")
+    }).drop("_w", "_win", "_loss")
 
 
 def metrics_survival(run: DataFrame, trades: DataFrame, by=("symbol",), cash: float = CASH) -> DataFrame:

@@ -179,19 +179,39 @@ def evaluate_rules(bars: DataFrame, cands: DataFrame, cost: float = 0.0002) -> D
     from barlab.operators import gates as GT
 
     rows = rule_signal_rows(bars, cands, *rule_windows())
+    run = B.returns_backtest(rows, cost=cost, by=("candidate_id", "period"))
+    m = rule_metrics(run).join(cands.select("candidate_id", "rule"), "candidate_id")
+    m = m.withColumn("feature_count", F.when(F.col("rule") == "ma_crossover", 2).otherwise(1))
+    return GT.survival_gate(m)
+
+
+def rule_metrics(run: DataFrame, cash: float = B.CASH) -> DataFrame:
+    """Train and validation metrics per candidate in one pass over the candidate-bar rows.
+
+    Grouping sets give period and year aggregates together; trades are counted as entries, so no trade
+    table is built for the sweep.
+    """
     by = ("candidate_id", "period")
-    run = B.returns_backtest(rows, cost=cost, by=by)
-    # only run-boundary rows matter for trades: price at entry, price at exit
-    t = B.trades_from_position(run, by)
-    m = B.metrics_survival(run, t, by)
-    neg = B.negative_years(run.where("period = 'validation'"), ("candidate_id",)).withColumnRenamed("negative_years", "validation_negative_years")
-    wide = period_wide(m, "candidate_id", ["calmar", "cagr", "mdd", "trades_per_year", "active_fraction"])
-    wide = wide.join(neg, "candidate_id", "left").fillna(0, ["validation_negative_years"])
-    wide = wide.join(cands.select("candidate_id", "rule"), "candidate_id").withColumns({
-        "trades_per_year": F.col("train_trades_per_year"), "long_fraction": F.col("train_active_fraction"),
-        "feature_count": F.when(F.col("rule") == "ma_crossover", 2).otherwise(1),
+    side = F.signum("position")
+    x = run.withColumns({
+        "_ret": R.pct_change("equity", 1, by), "_dd": R.drawdown("equity", by=by),
+        "_in": F.when((side != 0) & ~F.coalesce(R.lag(side, 1, by), F.lit(0.0)).eqNullSafe(side), 1).otherwise(0),
+        "_year": F.year("ts"),
     })
-    return GT.survival_gate(wide.drop("train_trades_per_year", "validation_trades_per_year", "train_active_fraction", "validation_active_fraction"))
+    g = x.groupingSets([["candidate_id", "period", "_year"], ["candidate_id", "period"]], "candidate_id", "period", "_year").agg(
+        F.grouping_id().alias("gid"), F.count(F.lit(1)).alias("n"), F.min_by("equity", "ts").alias("first"), F.max_by("equity", "ts").alias("last"),
+        F.min("_dd").alias("mdd"), F.avg((F.coalesce("_ret", F.lit(0.0)) != 0).cast("double")).alias("active"), F.sum("_in").alias("trades"),
+    )
+    years = F.col("n") / 252.0
+    g = g.withColumn("cagr", F.when(F.col("last") > 0, F.pow(F.col("last") / cash, 1.0 / years) - 1.0).otherwise(-1.0))
+    g = g.withColumn("calmar", B.calmar(F.col("cagr"), F.col("mdd"), 0.0))
+    whole = F.col("gid") == 1
+    at = lambda p, c: F.max(F.when(whole & (F.col("period") == p), c if not isinstance(c, str) else F.col(c)))
+    return g.groupBy("candidate_id").agg(
+        *[at(p, c).alias(f"{p}_{c}") for p in ("train", "validation") for c in ("calmar", "cagr", "mdd")],
+        at("train", F.col("trades") / years).alias("trades_per_year"), at("train", "active").alias("long_fraction"),
+        F.count_if(~whole & (F.col("period") == "validation") & (F.col("last") < F.col("first"))).alias("validation_negative_years"),
+    )
 
 
 # --- annual votes -----------------------------------------------------------------------------
