@@ -40,8 +40,10 @@ def asof_feature_row(spark, d):
 def asof_join(spark, d):
     """True as-of fill, offered next to the exact-timestamp alignment."""
     cal = I.bars(spark, d).select("symbol", "ts")
-    obs = cal.select("symbol").distinct().join(I.macro_monthly(spark, d).withColumn("k", F.lit(1)), F.lit(True), "inner")
-    return A.asof_bucket(cal, obs, ["value"])
+    # the observations belong to every symbol, so resolve each calendar day once and join it back
+    day = cal.select(F.lit("all").alias("feed"), "ts").distinct()
+    obs = I.macro_monthly(spark, d).withColumn("feed", F.lit("all"))
+    return cal.join(A.asof_bucket(day, obs, ["value"], ("feed",)).drop("feed"), "ts", "left").select("symbol", "ts", "value")
 
 
 @query("publication_lag", oracle("d:ts d:lag_1 d:lag_5", """

@@ -107,7 +107,7 @@ def ml_candidate_eval(spark, d):
 
 
 def linear_specs(spark, n):
-    c = SE.ml_candidates(COLS, n, 61, spark)
+    c = SE.ml_candidates(COLS, spark.range(n), 61)
     return c.select(F.col("candidate_id").alias("spec_id"), F.when(F.col("model") == "ridge", "ridge").otherwise("corr").alias("model"), "alpha", "features")
 
 

@@ -13,6 +13,7 @@ from barlab.operators import search as SE
 from barlab.operators import specs as SP
 from barlab.plans import boards as BD
 from barlab.plans import decisions as D
+from barlab.plans import inputs as I
 from barlab.plans import rounds as RD
 from barlab.plans import sweeps as SW
 from barlab.registry import oracle
@@ -205,7 +206,10 @@ def two_wave_adaptive(spark, d):
 
 @query("ml_candidate_grid")
 def ml_candidate_grid(spark, d):
-    names = Q.numeric_columns(D.featured(spark, d))
-    return SE.ml_candidates(names, 96, 53, spark).withColumn("features", F.array_join("features", ","))
+    """One candidate per customer key, over the features usable in training."""
+    long = SW.period_long(D.weekly(spark, d)).where("period = 'train'")
+    names = sorted(r["feature"] for r in Q.usable_features(long, 52, 2, 0.20).where("usable").select("feature").collect())
+    ids = I.table(spark, d, "customer").select(F.col("c_custkey").alias("id"))
+    return SE.ml_candidates(names, ids, 53).withColumn("features", F.array_join("features", ","))
 
 

@@ -23,7 +23,7 @@ def similar_pairs(
     min_jaccard: float = 0.90,
     min_share: float = 0.5,
     min_obs: int = 10,
-    tile: int = 1024,
+    tile: int = 512,
     candidate: str = "candidate_id",
     value: str = "strategy_return",
     exposure: str | None = None,

@@ -350,13 +350,12 @@ def daily_candidates(catalog: DataFrame, n: int, seed: int, learned: DataFrame |
     return out.dropDuplicates()
 
 
-def ml_candidates(features, n: int, seed: int, spark, max_features: int = 5) -> DataFrame:
-    """Learning candidates: rotating model, hashed feature subset and hyper-parameters."""
+def ml_candidates(features, ids: DataFrame, seed: int, max_features: int = 5) -> DataFrame:
+    """Learning candidates, one per id: rotating model, hashed feature subset and hyper-parameters."""
     u = lambda s: uniform(seed, F.col("id"), s)
     names = F.array(*[F.lit(f) for f in features])
     k = F.floor(u(1) * min(max_features, len(features))).cast("int") + 1
     order = F.array_sort(F.transform(names, lambda f: F.struct(uniform(seed, F.col("id"), 2, f).alias("k"), f.alias("f"))))
-    ids = spark.range(n)
     return ids.select(
         F.concat(F.lit("ml_"), F.col("id").cast("string")).alias("candidate_id"),
         F.array_sort(F.slice(F.transform(order, lambda s: s["f"]), F.lit(1), k)).alias("features"),
