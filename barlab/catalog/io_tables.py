@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from barlab.catalog.quality import manifest
+from barlab.catalog.quality import MANIFEST_SQL, manifest
 from barlab.functions import rolling as R
 from barlab.operators import features as X
 from barlab.operators import quality as Q
@@ -100,11 +100,11 @@ def seed_json_load(spark, d):
     return FS.first_seed_per_spec(seeds, known).select("spec", "feature", "position", "score")
 
 
-@query("manifest_load")
+@query("manifest_load", oracle("s:feature s:source s:free", MANIFEST_SQL, "SELECT * FROM manifest"))
 def manifest_load(spark, d):
     path = FS.scratch(spark, "manifest")
     manifest(spark, d).write.option("header", True).option("sep", ";").csv(path)
-    return FS.read_manifest(spark, path)
+    return FS.read_manifest(spark, path).select("feature", "source", "free")
 
 
 @query("leaderboard_files_read", oracle("s:stage i:rows f:best", "SELECT CAST(o_orderkey % 16 AS VARCHAR) AS stage, COUNT(*) AS rows, MAX(o_totalprice) AS best FROM orders GROUP BY 1"))

@@ -58,9 +58,9 @@ def bars_adjust(spark, d):
     return Q.adjust(x, ["copy"])
 
 
-@query("columns_guard")
+@query("columns_guard", oracle("s:symbol i:rows", I.RAW_BARS, "SELECT symbol, COUNT(*) AS rows FROM raw_bars GROUP BY 1"))
 def columns_guard(spark, d):
-    """Schema guard over raw bars; rows-only because the check itself is about column names."""
+    """Schema guard over raw bars; the guard itself fails on column names before any job runs."""
     b = I.raw_bars(spark, d)
     Q.require_columns(b, Q.BAR_COLUMNS, (*Q.BAR_COLUMNS, "symbol", "ts", "adj_close"), ("locked", "future"))
     return b.groupBy("symbol").agg(F.count(F.lit(1)).alias("rows"))
@@ -163,7 +163,7 @@ def feature_usable(spark, d):
     return Q.usable_features(Q.melt(w, ["decision_date"], FEATS), 52, 2, 0.20)
 
 
-@query("feature_columns")
+@query("feature_columns", oracle("s:feature i:n", I.BARS, I.RETS, DAILY_SQL, " UNION ALL ".join(f"SELECT '{c}' AS feature, COUNT({c}) AS n FROM daily_features WHERE symbol = 'N'" for c in D.FEATURES)))
 def feature_columns(spark, d):
     """Numeric columns outside the bar contract, with their value counts."""
     x = D.featured(spark, d)
@@ -266,7 +266,7 @@ def without_locked(spark, d):
     return E.without_locked(D.weekly(spark, d), "target_end", I.LOCKED_START).select("decision_date", "target_end", "period")
 
 
-@query("result_nonempty")
+@query("result_nonempty", oracle("s:symbol i:rows", I.BARS, "SELECT symbol, COUNT(*) AS rows FROM bars GROUP BY 1"))
 def result_nonempty(spark, d):
     return Q.nonempty(I.bars(spark, d).groupBy("symbol").agg(F.count(F.lit(1)).alias("rows")), "bars")
 

@@ -83,7 +83,9 @@ def rsi_wilder(spark, d):
     return RC.rsi_wilder(I.bars(spark, d)).select("symbol", "ts", "rsi_14")
 
 
-@query("ewma_vol")
+@query("ewma_vol", recursive("s:symbol d:ts f:ewma_vol_20", I.BARS, I.RETS, "x AS (SELECT symbol, ts, r FROM rets WHERE r IS NOT NULL)",
+    fold("", "n.r AS m, 0e0 AS v, 1e0 AS w", f"p.m + {_ema(20)} * (n.r - p.m) AS m, (1 - {_ema(20)}) * (p.v + {_ema(20)} * (n.r - p.m) * (n.r - p.m)) AS v, (1 - {_ema(20)}) * (1 - {_ema(20)}) * p.w + {_ema(20)} * {_ema(20)} AS w"),
+    "SELECT rets.symbol, rets.ts, CASE WHEN rn >= 20 THEN sqrt(v / (1 - w)) END AS ewma_vol_20 FROM rets LEFT JOIN walk ON walk.symbol = rets.symbol AND walk.ts = rets.ts"))
 def ewma_vol(spark, d):
     return RC.ewma_vol(I.returns(I.bars(spark, d))).select("symbol", "ts", "ewma_vol_20")
 

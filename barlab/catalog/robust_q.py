@@ -40,23 +40,36 @@ def return_metrics(spark, d):
 BOOT_N = 40
 
 
-@query("block_bootstrap")
-def block_bootstrap(spark, d):
-    """Bootstrap summary per candidate (checked path by path against a plain loop in the tests)."""
-    return RB.bootstrap_summary(RB.bootstrap_samples(weekly_universal(spark, d), 200))
+def boot_sql(n):
+    """Paths of n samples per candidate; block starts hash a numeric candidate key."""
+    return [*WU_SQL,
+        "bc AS (SELECT candidate_id, COUNT(*) AS n, list(strategy_return ORDER BY timestamp) AS v FROM wu GROUP BY 1)",
+        "bk AS (SELECT *, (ascii(candidate_id) * 1000 + CAST(split_part(candidate_id, '_', 2) AS BIGINT) * 200 + CAST(split_part(candidate_id, '_', 3) AS BIGINT)) % 1000003 AS key FROM bc)",
+        f"bs AS (SELECT candidate_id, n, v, sample, i, ((((((key * 7919 + sample * 104729 + (i // 13) * 1299709 + 42 * 15485863) % 2147483647) * 48271) % 2147483647) * 48271) % 2147483647) % n AS st FROM bk, range({n}) AS s(sample), range(2000) AS r(i) WHERE i < n)",
+        "bp AS (SELECT candidate_id || '/' || sample AS pk, candidate_id, sample, i, v[(st + i % 13) % n + 1] AS x FROM bs)",
+        *metric_sql("bp", "pk", 52, "i", "x"), "bm AS (SELECT split_part(pk, '/', 1) AS candidate_id, CAST(split_part(pk, '/', 2) AS BIGINT) AS sample, cagr, mdd, sharpe, calmar FROM m5)"]
 
 
-@query("bootstrap_paths", oracle("s:candidate_id i:sample f:cagr f:mdd f:sharpe f:calmar", WU_SQL,
-    "bc AS (SELECT candidate_id, COUNT(*) AS n, list(strategy_return ORDER BY timestamp) AS v, substring(candidate_id, 3) AS tail FROM wu GROUP BY 1)",
-    "bk AS (SELECT *, (ascii(candidate_id) * 1000 + CAST(split_part(candidate_id, '_', 2) AS BIGINT) * 200 + CAST(split_part(candidate_id, '_', 3) AS BIGINT)) % 1000003 AS key FROM bc)",
-    f"bs AS (SELECT candidate_id, n, v, sample, i, ((((((key * 7919 + sample * 104729 + (i // 13) * 1299709 + 42 * 15485863) % 2147483647) * 48271) % 2147483647) * 48271) % 2147483647) % n AS st FROM bk, range({BOOT_N}) AS s(sample), range(2000) AS r(i) WHERE i < n)",
-    "bp AS (SELECT candidate_id || '/' || sample AS pk, candidate_id, sample, i, v[(st + i % 13) % n + 1] AS x FROM bs)",
-    metric_sql("bp", "pk", 52, "i", "x"), "SELECT split_part(pk, '/', 1) AS candidate_id, CAST(split_part(pk, '/', 2) AS BIGINT) AS sample, cagr, mdd, sharpe, calmar FROM m5"))
-def bootstrap_paths(spark, d):
-    """Metrics of every resampled path; block starts hash a numeric candidate key."""
+def boot_input(spark, d):
     p = F.split("candidate_id", "_")
     key = (F.ascii("candidate_id") * 1000 + p[1].cast("bigint") * 200 + p[2].cast("bigint")) % 1000003
-    return RB.bootstrap_samples(weekly_universal(spark, d).withColumn("key", key), BOOT_N, batch=10, key="key")
+    return weekly_universal(spark, d).withColumn("key", key)
+
+
+BOOT_OUT = "s:candidate_id " + " ".join(f"f:bootstrap_{m}_{q}" for m in ("cagr", "sharpe") for q in ("p05", "p50", "p95")) + " f:bootstrap_calmar_p05 f:bootstrap_prob_cagr_positive"
+
+
+@query("block_bootstrap", oracle(BOOT_OUT, boot_sql(200), "SELECT candidate_id, " + ", ".join(f"quantile_cont({m}, {q}) AS bootstrap_{m}_p{str(q)[2:].ljust(2, '0')}" for m in ("cagr", "sharpe") for q in (0.05, 0.5, 0.95))
+    + ", quantile_cont(calmar, 0.05) AS bootstrap_calmar_p05, AVG((cagr > 0)::INT::DOUBLE) AS bootstrap_prob_cagr_positive FROM bm GROUP BY 1"))
+def block_bootstrap(spark, d):
+    """Bootstrap summary of 200 samples per candidate."""
+    return RB.bootstrap_summary(RB.bootstrap_samples(boot_input(spark, d), 200, key="key"))
+
+
+@query("bootstrap_paths", oracle("s:candidate_id i:sample f:cagr f:mdd f:sharpe f:calmar", boot_sql(BOOT_N), "SELECT * FROM bm"))
+def bootstrap_paths(spark, d):
+    """Metrics of every resampled path."""
+    return RB.bootstrap_samples(boot_input(spark, d), BOOT_N, batch=10, key="key")
 
 
 @query("split_half", oracle("s:candidate_id f:half_1_cagr f:half_2_cagr b:split_pass", UNI_SQL,

@@ -158,10 +158,15 @@ def beam_round(spark, d):
 
 @query("search_rounds")
 def search_rounds(spark, d):
-    """Two rounds of learned-weight and expected-improvement proposals over one study."""
+    """A random start, then learned-weight, bandit and expected-improvement proposals evaluated in one job."""
     s = study(spark, d)
-    boards = [RD.search(s, m, 2, 32, 31 + i) for i, m in enumerate(("weights", "expected_improvement"))]
-    return top_rows(boards[0].unionByName(boards[1]))
+    start = RD.search(s, "random_broad", 1, 32, 31)
+    fresh = None
+    for i, m in enumerate(("weights", "ucb", "expected_improvement")):
+        p = RD.propose(s, start, m, 24, 131 + i)
+        fresh = p if fresh is None else fresh.unionByName(p)
+    nxt = s.evaluate(SE.with_id(SE.unseen(fresh, start)).dropDuplicates(["candidate_id"]), "learned", 2)
+    return top_rows(start.unionByName(nxt))
 
 
 @query("lite_proposals")

@@ -57,6 +57,8 @@ class Study:
 
     def evaluate(self, cands: DataFrame, method: str, wave: int = 1) -> DataFrame:
         """Scored leaderboard rows with the candidate's own fields."""
+        # several branches read the proposals; write the (compact) candidate table once
+        cands = checkpoint(cands)
         rows = SW.evaluate_positions(self.positions(cands), 52.0)
         scored = GT.weekly_scores(rows.join(cands.withColumn("feature_count", F.size("specs")), "candidate_id").withColumn("locked_opened", F.lit(False)))
         keep = ["train_sharpe", "validation_sharpe", "train_cagr", "train_mdd", "train_min_year_return", "reason_sharpe", "verified_sharpe_robust"]
