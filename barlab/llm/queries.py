@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barlab.llm import decontaminate, shard, sql
+from barlab.llm import decontaminate, pii, shard, sql
 from barlab.llm.common import read
 
 
@@ -14,11 +14,18 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leak_digest(decontaminate.find_leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")))
 
 
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every document; the counts and base_sha256 cover the base spans, ``spans`` all of them."""
+    found = pii.find_pii(read(spark, sf_dir, "documents"))
+    counts = [F.col(f"base.{kind}").alias(f"n_{kind}") for kind in pii.KINDS]
+    return found.select("doc_id", *counts, F.sha2(F.col("base_spans").cast("binary"), 256).alias("base_sha256"), "spans", "n_added")
+
+
 def op10_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shard and slot of every document under the law of equal row counts."""
     placed = shard.shard(read(spark, sf_dir, "documents"))
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op10_shard)}
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_pii, op10_shard)}
 ORACLES = {k: v for k, v in sql.ORACLES.items() if k in QUERIES}
