@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barlab.llm import decontaminate, pii, quality, shard, sql, toxicity
+from barlab.llm import decontaminate, html, pii, quality, shard, sql, toxicity
 from barlab.llm.common import read
 
 
@@ -21,6 +21,11 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(F.col("base_spans").cast("binary"), 256).alias("base_sha256"), "spans", "n_added")
 
 
+def op6_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return html.extract(read(spark, sf_dir, "pages"))
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity score of every document."""
     return toxicity.classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
@@ -37,5 +42,5 @@ def op10_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_pii, op7_toxicity, op9_quality, op10_shard)}
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_pii, op6_html, op7_toxicity, op9_quality, op10_shard)}
 ORACLES = {k: v for k, v in sql.ORACLES.items() if k in QUERIES}
