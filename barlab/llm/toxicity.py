@@ -1,8 +1,8 @@
 """Toxicity: a linear classifier over character n-grams whose features are scaled by naive Bayes log-count ratios.
 
-Presence of hashed character n-grams is counted by class over the training rows; r = log((pos + a) / (P + 2a)) -
-log((neg + a) / (N + 2a)). N-grams whose ratio stands clear of its sampling error become features, a document's
-feature value is the ratio itself, and logistic regression with a ridge penalty weighs them.
+Features say that a hashed character n-gram occurs at least once, twice or three times. Documents that hold a feature are
+counted by class over the training rows; r = log((pos + a) / (P + 2a)) - log((neg + a) / (N + 2a)). Those whose ratio stands clear of its sampling error are kept, a
+document's feature value is the ratio itself, and logistic regression with a ridge penalty weighs them.
 """
 
 from __future__ import annotations
@@ -15,17 +15,20 @@ from pyspark.sql import functions as F
 
 from barlab.llm.common import hold_out, map_rows
 
-GRAMS = (3, 4, 5)
-HASH_BITS = 18
+GRAMS = (3, 4, 5, 6, 7)
+HASH_BITS = 19
+#: A feature is an n-gram bucket and one of these least numbers of occurrences.
+LEVELS = (1, 2, 3)
 #: Bound of the labelled sample that the classifier is fitted on, and of its features.
-MAX_LABELLED = 20_000
-MAX_FEATURES = 20_000
+MAX_LABELLED = 8_000
+MAX_FEATURES = 4_000
 MIN_Z = 3.0
 SMOOTH = 1.0
 RIDGE = 2e-4
-STEPS = 300
+STEPS = 200
 THRESHOLD = 0.3
 FOLDS, HELD_FOLD = 4, 2
+WIDTH = len(LEVELS) << HASH_BITS
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -45,17 +48,24 @@ def grams(text: str | None) -> np.ndarray:
     return np.concatenate(out).astype(np.int64) if out else np.zeros(0, np.int64)
 
 
+def features(buckets: np.ndarray) -> np.ndarray:
+    """Distinct features of a document: bucket + level << HASH_BITS."""
+    at, n = np.unique(buckets, return_counts=True)
+    return np.concatenate([at[n >= least] + (k << HASH_BITS) for k, least in enumerate(LEVELS)])
+
+
 @dataclass
 class Model:
-    """Weight of each n-gram bucket (ratio times coefficient), 0 where it is no feature, and the intercept."""
+    """Weight of each feature (ratio times coefficient), 0 where it is not kept, and the intercept."""
 
     weights: np.ndarray
+    used: np.ndarray
     bias: float
 
     def score(self, text: str | None) -> float:
         at = grams(text)
-        at = np.unique(at[self.weights[at] != 0])
-        z = float(self.weights[at].sum(dtype=np.float64)) + self.bias
+        at = features(at[self.used[at]])
+        z = float(self.weights[at].sum()) + self.bias
         return float(1 / (1 + np.exp(-min(max(z, -30.0), 30.0))))
 
 
@@ -67,33 +77,39 @@ def labelled_sample(labels: DataFrame, most: int = MAX_LABELLED) -> DataFrame:
 
 
 def ratios(train: DataFrame) -> DataFrame:
-    """(bucket, pos, neg): training documents of each class that hold the n-gram bucket."""
+    """(feature, pos, neg): training documents of each class that hold the feature."""
 
     def count(batches):
-        pos, neg = np.zeros(1 << HASH_BITS, np.int64), np.zeros(1 << HASH_BITS, np.int64)
+        pos, neg = np.zeros(WIDTH, np.int64), np.zeros(WIDTH, np.int64)
         for b in batches:
             for text, label in zip(b["text"].to_pylist(), b["label"].to_pylist(), strict=True):
-                (pos if label else neg)[np.unique(grams(text))] += 1
+                (pos if label else neg)[features(grams(text))] += 1
         at = np.flatnonzero(pos + neg)
-        yield {"bucket": at, "pos": pos[at], "neg": neg[at]}
+        yield {"feature": at, "pos": pos[at], "neg": neg[at]}
 
-    return map_rows(train, count, "bucket long, pos long, neg long").groupBy("bucket").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    return map_rows(train, count, "feature long, pos long, neg long").groupBy("feature").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
 
 
 def logistic(rows: np.ndarray, cols: np.ndarray, values: np.ndarray, y: np.ndarray, width: int) -> tuple[np.ndarray, float]:
-    """Accelerated gradient descent on the mean log-loss with a ridge penalty; the intercept is free."""
-    n, w, bias = len(y), np.zeros(width), 0.0
-    rate = 4.0 / (1.0 + np.bincount(rows, weights=values * values, minlength=n).max(initial=0.0))
-    last_w, last_b = w, bias
+    """Accelerated gradient descent on the mean log-loss with a ridge penalty.
+
+    The intercept is the last coordinate and not penalised. Steps are scaled by coordinate: the curvature of the loss
+    is at most the diagonal matrix of mean(|x_ij| * sum_k |x_ik|) / 4, whatever the lengths of the documents.
+    """
+    n = len(y)
+    rows, cols, values = np.append(rows, np.arange(n)), np.append(cols, np.full(n, width)), np.append(values, np.ones(n))
+    penalty = np.append(np.full(width, RIDGE), 0.0)
+    size = np.bincount(rows, weights=np.abs(values), minlength=n)
+    curve = np.bincount(cols, weights=np.abs(values) * size[rows], minlength=width + 1) / (4 * n) + penalty + 1e-12
+    rate = np.clip(y.mean(), 1 / (n + 1), n / (n + 1))
+    w = np.append(np.zeros(width), np.log(rate / (1 - rate)))
+    last = w
     for step in range(STEPS):
-        push = step / (step + 3)
-        vw, vb = w + push * (w - last_w), bias + push * (bias - last_b)
-        z = np.bincount(rows, weights=values * vw[cols], minlength=n) + vb
+        at = w + step / (step + 3) * (w - last)
+        z = np.bincount(rows, weights=values * at[cols], minlength=n)
         g = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) / n
-        last_w, last_b = w, bias
-        w = vw - rate * (np.bincount(cols, weights=values * g[rows], minlength=width) + RIDGE * vw)
-        bias = vb - rate * g.sum()
-    return w, bias
+        last, w = w, at - (np.bincount(cols, weights=values * g[rows], minlength=width + 1) + penalty * at) / curve
+    return w[:-1], float(w[-1])
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> Model:
@@ -109,23 +125,23 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) ->
     train = docs.join(known, "doc_id")
     totals = {r["label"]: r["n"] for r in train.groupBy("label").agg(F.count("*").alias("n")).collect()}
     p, n = sum(v for k, v in totals.items() if k), totals.get(0, 0)
-    weights = np.zeros(1 << HASH_BITS)
+    weights, unused = np.zeros(WIDTH), np.zeros(1 << HASH_BITS, bool)
     if not p or not n:
         rate = (p + 0.5) / (p + n + 1)
-        return Model(weights, float(np.log(rate / (1 - rate))))
+        return Model(weights, unused, float(np.log(rate / (1 - rate))))
     a = F.lit(SMOOTH)
     r = F.log((F.col("pos") + a) / F.lit(p + 2 * SMOOTH)) - F.log((F.col("neg") + a) / F.lit(n + 2 * SMOOTH))
     counted = ratios(train).withColumn("r", r).withColumn("z", F.abs("r") / F.sqrt(1 / (F.col("pos") + a) + 1 / (F.col("neg") + a)))
-    chosen = counted.filter(F.col("z") >= MIN_Z).orderBy(F.desc("z"), "bucket").limit(MAX_FEATURES).select("bucket", "r").collect()
+    chosen = counted.filter(F.col("z") >= MIN_Z).orderBy(F.desc("z"), "feature").limit(MAX_FEATURES).select("feature", "r").collect()
     if not chosen:
-        return Model(weights, float(np.log(p / n)))
-    column = np.full(1 << HASH_BITS, -1, np.int32)
-    column[[c["bucket"] for c in chosen]] = np.arange(len(chosen), dtype=np.int32)
+        return Model(weights, unused, float(np.log(p / n)))
+    column = np.full(WIDTH, -1, np.int32)
+    column[[c["feature"] for c in chosen]] = np.arange(len(chosen), dtype=np.int32)
     shared = spark.sparkContext.broadcast(column)
 
     def held(batches):
         for b in batches:
-            found = [np.unique(c[c >= 0]).astype("<i4").tobytes() for c in (shared.value[grams(t)] for t in b["text"].to_pylist())]
+            found = [np.unique(c[c >= 0]).astype("<i4").tobytes() for c in (shared.value[features(grams(t))] for t in b["text"].to_pylist())]
             yield {"label": b["label"].to_pylist(), "features": found}
 
     rows = map_rows(train, held, "label int, features binary").collect()
@@ -134,8 +150,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) ->
     cols = np.concatenate(each)
     at = np.repeat(np.arange(len(rows)), [len(e) for e in each])
     w, bias = logistic(at, cols, ratio[cols], np.array([float(bool(x["label"])) for x in rows]), len(chosen))
-    weights[[c["bucket"] for c in chosen]] = w * ratio
-    return Model(weights, float(bias))
+    weights[[c["feature"] for c in chosen]] = w * ratio
+    return Model(weights, (weights.reshape(len(LEVELS), -1) != 0).any(axis=0), float(bias))
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
