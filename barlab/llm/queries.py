@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barlab.llm import decontaminate, html, pii, quality, shard, sql, toxicity
+from barlab.llm import decontaminate, html, pii, quality, rules, shard, sql, toxicity
 from barlab.llm.common import read
 
 
@@ -31,6 +31,11 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op8_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base counts and verdict of the rule cascade for every document."""
+    return rules.judge(read(spark, sf_dir, "documents")).drop("rejected_by")
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality score of every document."""
     return quality.classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
@@ -42,5 +47,5 @@ def op10_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_pii, op6_html, op7_toxicity, op9_quality, op10_shard)}
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_pii, op6_html, op7_toxicity, op8_rules, op9_quality, op10_shard)}
 ORACLES = {k: v for k, v in sql.ORACLES.items() if k in QUERIES}

@@ -24,4 +24,29 @@ FROM docs LEFT JOIN covered USING (rid) LEFT JOIN found USING (rid)
 """
 
 
-ORACLES = {"op1_decontaminate": DECONTAMINATE}
+RULES = """
+WITH docs AS (
+  SELECT row_number() OVER () AS rid, doc_id, text, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS ws,
+         list_filter(string_split(text, chr(10)), lambda x: length(translate(x, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13), '')) > 0) AS ls
+  FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents)
+),
+grams AS (SELECT rid, i, array_to_string(ws[i:i + 4], ' ') AS gram FROM docs, unnest(range(1, len(ws) - 3)) AS t(i)),
+again AS (SELECT rid, gram FROM grams GROUP BY rid, gram HAVING count(*) > 1),
+covered AS (SELECT rid, count(DISTINCT p) AS n FROM (SELECT rid, unnest(range(i, i + 5)) AS p FROM grams JOIN again USING (rid, gram)) AS g GROUP BY rid),
+counted AS (
+  SELECT doc_id, len(ws) AS n_words, length(translate(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13), '')) AS word_chars,
+         length(text) - length(translate(text, '#*$%&|<>', '')) AS n_symbols, len(ls) - len(list_distinct(ls)) AS n_dup_lines, coalesce(n, 0) AS n_repeat_words,
+         len(ls) AS n_lines, length(text) - length(translate(text, '!', '')) AS n_exclaim, length(text) - length(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', '')) AS n_capitals,
+         len(list_distinct(ws)) AS n_distinct
+  FROM docs LEFT JOIN covered USING (rid)
+)
+SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols,
+       CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words,
+       n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
+       NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words OR 10 * n_symbols > 3 * n_words OR (n_dup_lines >= 3 AND 100 * n_dup_lines > 30 * n_lines)
+            OR 10 * n_exclaim > 5 * n_words OR 2 * n_capitals > word_chars OR word_chars < 2 * n_words OR word_chars > 20 * n_words
+            OR (n_words >= 50 AND 10 * n_distinct < n_words)) AS kept
+FROM counted
+"""
+
+ORACLES = {"op1_decontaminate": DECONTAMINATE, "op8_rules": RULES}
