@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from uuid import uuid4
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barlab.session import checkpoint
+from barlab.session import checkpoint, shared_dir
 
 #: Rows per Arrow batch between the JVM and Python: bounds a worker's memory when texts are very long.
 BATCH_ROWS = 256
@@ -41,6 +42,13 @@ def map_rows(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[di
     return df.mapInArrow(run, schema)
 
 
+def written(df: DataFrame) -> DataFrame:
+    """``df`` as a Parquet table in the shared folder: cuts lineage, survives lost executors and is compressed."""
+    path = f"{shared_dir(df.sparkSession)}/table-{uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def hold_out(doc_id: Column, folds: int, fold: int) -> Column:
     """True for rows whose crc32 of doc_id as text leaves ``fold``; a null doc_id counts as empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % folds == fold

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barlab.llm import decontaminate, html, lines, pii, quality, rules, shard, sql, toxicity
+from barlab.llm import decontaminate, html, lines, pack, pii, quality, rules, shard, sql, toxicity
 from barlab.llm.common import read
 
 
@@ -21,6 +21,17 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(F.col("base_spans").cast("binary"), 256).alias("base_sha256"), "spans", "n_added")
 
 
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op3_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of all documents packed into sequences of 2048 tokens."""
+    return pack.pack_documents(read(spark, sf_dir, "documents"), tokenizer_path())
+
+
 def op4_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without the lines whose templates recur in others."""
     return lines.drop_templates(read(spark, sf_dir, "documents")).select("doc_id", "text", F.length("text").cast("long").alias("n_chars"), "n_lines", "n_dropped")
@@ -52,5 +63,5 @@ def op10_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_pii, op4_lines, op6_html, op7_toxicity, op8_rules, op9_quality, op10_shard)}
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_pii, op3_pack, op4_lines, op6_html, op7_toxicity, op8_rules, op9_quality, op10_shard)}
 ORACLES = {k: v for k, v in sql.ORACLES.items() if k in QUERIES}
