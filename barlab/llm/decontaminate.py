@@ -157,3 +157,10 @@ def leak_digest(leaks: DataFrame) -> DataFrame:
         "doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"),
         F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"),
     )
+
+
+def drop_leaks(docs: DataFrame, bench: DataFrame) -> DataFrame:
+    """``docs`` without the documents that hold a benchmark passage. All columns stay; see ``find_leaks`` for odd rows."""
+    bad = find_leaks(docs, bench).filter(F.size("spans") > 0).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
+    whole = docs.select(F.struct("*").alias("_row"), F.col("doc_id").cast("long").alias("_key"), F.xxhash64(F.col("text").cast("string")).alias("_text"))
+    return whole.join(bad, F.col("_key").eqNullSafe(F.col("_id")) & (F.col("_text") == F.col("_hash")), "left_anti").select("_row.*")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barlab.llm import decontaminate, html, lines, pack, pii, quality, rules, shard, sql, toxicity
+from barlab.llm import decontaminate, html, lines, near, pack, pii, quality, rules, shard, sql, toxicity
 from barlab.llm.common import read
 
 
@@ -37,6 +37,11 @@ def op4_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.drop_templates(read(spark, sf_dir, "documents")).select("doc_id", "text", F.length("text").cast("long").alias("n_chars"), "n_lines", "n_dropped")
 
 
+def op5_near(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Class of near copies and number of links of every document."""
+    return near.join_near(read(spark, sf_dir, "documents")).drop("component", "text_hash")
+
+
 def op6_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main text of every page."""
     return html.extract(read(spark, sf_dir, "pages"))
@@ -63,5 +68,5 @@ def op10_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_pii, op3_pack, op4_lines, op6_html, op7_toxicity, op8_rules, op9_quality, op10_shard)}
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_pii, op3_pack, op4_lines, op5_near, op6_html, op7_toxicity, op8_rules, op9_quality, op10_shard)}
 ORACLES = {k: v for k, v in sql.ORACLES.items() if k in QUERIES}

@@ -10,10 +10,11 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from barlab.llm.common import hold_out, map_rows
+from barlab.llm.common import BATCH_ROWS, hold_out, map_rows
 
 GRAMS = (3, 4, 5, 6, 7)
 HASH_BITS = 19
@@ -154,24 +155,30 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) ->
     return Model(weights, (weights.reshape(len(LEVELS), -1) != 0).any(axis=0), float(bias))
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """(doc_id, held_out, score, predicted) of every document from its whole text."""
+def scorer(docs: DataFrame, model: Model) -> Column:
+    """Score of the text column, as an Arrow-batched column of ``docs``."""
+    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    def run(batches):
-        for b in batches:
-            yield {"doc_id": b["doc_id"].to_pylist(), "score": [shared.value.score(t) for t in b["text"].to_pylist()]}
+    @F.pandas_udf("double")
+    def score(texts: pd.Series) -> pd.Series:
+        return pd.Series([shared.value.score(t) for t in texts], dtype="float64")
+
+    return score(F.col("text").cast("string"))
 
-    out = map_rows(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), run, "doc_id long, score double")
-    return out.select("doc_id", hold_out(F.col("doc_id"), FOLDS, HELD_FOLD).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+
+def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """``docs`` without the rows that score THRESHOLD or more. All columns stay; see ``classify`` for odd rows."""
+    return docs.filter(scorer(docs, fit(docs, labels)) < THRESHOLD)
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Toxicity of every document.
+    """(doc_id, held_out, score, predicted) of every document from its whole text.
 
     Only doc_id and text of ``docs`` and doc_id and toxic of ``labels`` are read, so extra columns never clash. Null and
     empty texts are scored like a text without features. Labels with nulls are left out; several labels of a document
     count as their greatest. Repeated documents get equal scores. Empty documents give an empty table. Very long texts
     are scored whole: a repeated n-gram counts once.
     """
-    return score(docs, fit(docs, labels))
+    out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), scorer(docs, fit(docs, labels)).alias("score"))
+    return out.select("doc_id", hold_out(F.col("doc_id"), FOLDS, HELD_FOLD).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
