@@ -228,37 +228,38 @@ def feature_groups(spark, d):
 
 def _topic_sql():
     parts = []
-    for i, (a, toks) in enumerate(TX.IDEA_TOPICS):
-        hit = " OR ".join(f"contains(t, '{w}')" for w in TX.triggers(a))
-        for tok in toks.split():
+    for a, toks in TX.IDEA_TOPICS:
+        hit = " OR ".join(f"contains(t, '{w}')" for w in a)
+        for tok in toks:
             parts.append(f"SELECT doc_id, '{tok}' AS tok FROM ideas WHERE {hit}")
-    none = " AND ".join(f"NOT contains(t, '{w}')" for a, _ in TX.IDEA_TOPICS for w in TX.triggers(a))
+    none = " AND ".join(f"NOT contains(t, '{w}')" for a, _ in TX.IDEA_TOPICS for w in a)
     parts += [f"SELECT doc_id, '{tok}' FROM ideas WHERE {none}" for tok in TX.DEFAULT_IDEA_TOKENS]
     return "tk AS (" + " UNION ".join(parts) + ")"
 
 
-@query("literature_groups", oracle("i:doc_id i:features", "ideas AS (SELECT doc_id, lower(text) AS t FROM documents)", FN, "d AS (SELECT DISTINCT name FROM fp)", _topic_sql(),
-    "f AS (SELECT DISTINCT k.doc_id, d.name FROM (SELECT DISTINCT tok FROM tk) AS u JOIN d ON contains(d.name, u.tok) JOIN tk AS k ON k.tok = u.tok)", "SELECT doc_id, least(COUNT(*), 80) AS features FROM f GROUP BY 1"))
+@query("literature_groups", oracle("i:doc_id i:features s:names", "ideas AS (SELECT doc_id, lower(text) AS t FROM documents)", FN, "d AS (SELECT DISTINCT name FROM fp)", _topic_sql(),
+    "f AS (SELECT DISTINCT k.doc_id, d.name FROM (SELECT DISTINCT tok FROM tk) AS u JOIN d ON contains(d.name, u.tok) JOIN tk AS k ON k.tok = u.tok)", "SELECT doc_id, COUNT(*) AS features, string_agg(name, ',' ORDER BY name) AS names FROM f GROUP BY 1"))
 def literature_groups(spark, d):
-    """Features each idea text points to: topic words to tokens, tokens to names; at most 80 per idea."""
+    """Features each idea text points to: topic words to tokens, tokens to names."""
     t = F.lower("text")
     sets, hits = [], []
     for a, toks in TX.IDEA_TOPICS:
         hit = F.lit(False)
-        for w in TX.triggers(a):
+        for w in a:
             hit = hit | t.contains(w)
         hits.append(hit)
-        sets.append(F.when(hit, F.array(*[F.lit(x) for x in toks.split()])).otherwise(F.array().cast("array<string>")))
+        sets.append(F.when(hit, F.array(*[F.lit(x) for x in toks])).otherwise(F.array().cast("array<string>")))
     toks = F.array_distinct(F.flatten(F.array(*sets)))
     toks = F.when(F.size(toks) == 0, F.array(*[F.lit(x) for x in TX.DEFAULT_IDEA_TOKENS])).otherwise(toks)
     ideas = I.table(spark, d, "documents").select("doc_id", F.array_sort(toks).alias("toks"))
     # names resolve once per distinct token set, of which there are at most 2^8
-    every = sorted({x for _, s in TX.IDEA_TOPICS for x in s.split()} | set(TX.DEFAULT_IDEA_TOKENS))
+    every = sorted({x for _, s in TX.IDEA_TOPICS for x in s} | set(TX.DEFAULT_IDEA_TOKENS))
     n = F.col("name")
     tagged = names(spark, d).select("name", F.array_compact(F.array(*[F.when(n.contains(x), F.lit(x)) for x in every])).alias("have"))
     kinds = ideas.select("toks").distinct().withColumn("tok", F.explode("toks"))
     per = kinds.join(tagged.select("name", F.explode("have").alias("tok")), "tok").groupBy("toks").agg(F.array_sort(F.collect_set("name")).alias("names"))
-    return ideas.join(per, "toks").select("doc_id", F.size(F.slice("names", 1, 80)).alias("features")).where("features > 0")
+    # at most 2^8 token sets exist, so the side with the names is bounded by the feature list and never meets a hot key in a shuffle
+    return ideas.join(F.broadcast(per), "toks").select("doc_id", F.size("names").alias("features"), F.array_join("names", ",").alias("names")).where("features > 0")
 
 
 @query("rate_to_decimal", oracle("d:ts s:series f:rate", "o AS (SELECT CAST(o_orderdate AS DATE) AS ts, o_orderpriority AS series, MAX(o_totalprice) / 100 AS rate FROM orders GROUP BY 1, 2)", "SELECT * FROM o"))

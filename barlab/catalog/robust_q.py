@@ -9,6 +9,7 @@ from barlab.operators import pairs as PW
 from barlab.operators import robust as RB
 from barlab.registry import oracle
 from barlab.registry import sharing_query as query
+from barlab.sources.files import scratch
 
 WEEKS = "CAST(timestamp + INTERVAL 1 DAY * ((12 - isodow(timestamp)) % 7) AS DATE)"
 # weekly version of the strategy returns keeps bootstrap and permutation oracles small
@@ -59,11 +60,11 @@ def boot_input(spark, d):
 BOOT_OUT = "s:candidate_id " + " ".join(f"f:bootstrap_{m}_{q}" for m in ("cagr", "sharpe") for q in ("p05", "p50", "p95")) + " f:bootstrap_calmar_p05 f:bootstrap_prob_cagr_positive"
 
 
-@query("block_bootstrap", oracle(BOOT_OUT, boot_sql(200), "SELECT candidate_id, " + ", ".join(f"quantile_cont({m}, {q}) AS bootstrap_{m}_p{str(q)[2:].ljust(2, '0')}" for m in ("cagr", "sharpe") for q in (0.05, 0.5, 0.95))
+@query("block_bootstrap", oracle(BOOT_OUT, boot_sql(1000), "SELECT candidate_id, " + ", ".join(f"quantile_cont({m}, {q}) AS bootstrap_{m}_p{str(q)[2:].ljust(2, '0')}" for m in ("cagr", "sharpe") for q in (0.05, 0.5, 0.95))
     + ", quantile_cont(calmar, 0.05) AS bootstrap_calmar_p05, AVG((cagr > 0)::INT::DOUBLE) AS bootstrap_prob_cagr_positive FROM bm GROUP BY 1"))
 def block_bootstrap(spark, d):
-    """Bootstrap summary of 200 samples per candidate."""
-    return RB.bootstrap_summary(RB.bootstrap_samples(boot_input(spark, d), 200, key="key"))
+    """Bootstrap summary of 1000 samples per candidate."""
+    return RB.bootstrap_summary(RB.bootstrap_samples(boot_input(spark, d), 1000, key="key"))
 
 
 @query("bootstrap_paths", oracle("s:candidate_id i:sample f:cagr f:mdd f:sharpe f:calmar", boot_sql(BOOT_N), "SELECT * FROM bm"))
@@ -166,7 +167,7 @@ def duplicate_components(spark, d):
     return RB.duplicate_groups(res, edges).select("candidate_id", "duplicate_group_id", "duplicate_group_size", "duplicate_representative")
 
 
-def verdicts(spark, d, samples=60):
+def verdicts(spark, d, samples=1000):
     return RB.verdict(universal_returns(spark, d), samples)
 
 
@@ -181,13 +182,20 @@ def robust_verdict(spark, d):
 def chunks_merge(spark, d):
     """Audit results of candidate chunks put together; a missing chunk marks the table partial."""
     u = universal_returns(spark, d)
-    parts = [u.where(F.pmod(F.xxhash64("candidate_id"), F.lit(4)) == k) for k in range(4)]
-    done = [RB.return_metrics(p).join(p.groupBy("candidate_id").agg(F.max("source_method").alias("source_method")), "candidate_id") for p in parts]
-    allp = done[0]
-    for p in done[1:]:
-        allp = allp.unionByName(p)
+    chunk = lambda df: df.withColumn("chunk", F.pmod(F.xxhash64("candidate_id"), F.lit(4)))
+    wanted = chunk(u.select("candidate_id", "source_method").distinct())
+    allp = None
+    for k in range(4):
+        part = chunk(u).where(F.col("chunk") == k)
+        done = RB.return_metrics(part).join(part.groupBy("candidate_id").agg(F.max("source_method").alias("source_method")), "candidate_id")
+        path = scratch(spark, f"audit_chunk_{k}")
+        done.write.mode("overwrite").parquet(path)
+        done = spark.read.parquet(path)
+        allp = done if allp is None else allp.unionByName(done)
     g = allp.groupBy("source_method").agg(F.count(F.lit(1)).alias("candidates"), F.count_if(F.col("cagr") > 0).alias("robust_pass"), F.max("cagr").alias("best_cagr"))
-    return g.withColumn("partial", F.lit(len(done) < 4))
+    # a candidate without an audit row belongs to a chunk that is missing or was cut short
+    open_rows = wanted.join(allp.select("candidate_id"), "candidate_id", "left_anti").groupBy("source_method").agg(F.count(F.lit(1)).alias("missing"))
+    return g.join(open_rows, "source_method", "left").withColumn("partial", F.coalesce(F.col("missing") > 0, F.lit(False))).drop("missing")
 
 
 LCGROW = "(((((({rn} * 7919 + k * 104729 + {s} * 1299709) % 2147483647) * 48271) % 2147483647) * 48271) % 2147483647)"
@@ -206,10 +214,10 @@ def calmar_sql(src, key, order, out):
         f"{out} AS (SELECT *, CASE WHEN abs(mdd) > 1e-12 THEN (CASE WHEN f > 0 THEN pow(f, 252e0 / n) - 1 ELSE -1 END) / abs(mdd) WHEN f > 1 THEN 999 ELSE 0 END AS calmar FROM {out}3)"]
 
 
-@query("permutation_pvalue", oracle("s:candidate_id f:pvalue f:calmar", WU_SQL, shuffle_sql(20, 101), calmar_sql("ps", "candidate_id, k", "rn", "pc"),
+@query("permutation_pvalue", oracle("s:candidate_id f:pvalue f:calmar", WU_SQL, shuffle_sql(300, 101), calmar_sql("ps", "candidate_id, k", "rn", "pc"),
     "b AS (SELECT candidate_id, calmar FROM pc WHERE k = 0)", "SELECT p.candidate_id, (COUNT(*) FILTER (round(p.calmar, 9) >= round(b.calmar, 9)) + 1e0) / (COUNT(*) + 1) AS pvalue, MAX(b.calmar) AS calmar FROM pc AS p JOIN b USING (candidate_id) WHERE k > 0 GROUP BY 1"))
 def permutation_pvalue(spark, d):
-    return RB.permutation_pvalue(weekly_universal(spark, d), 20, 101)
+    return RB.permutation_pvalue(weekly_universal(spark, d), 300, 101)
 
 
 @query("pbo", oracle("s:candidate_id f:pbo", WU_SQL, shuffle_sql(10, 202), "pt AS (SELECT *, ntile(8) OVER (PARTITION BY candidate_id, k ORDER BY rn) - 1 AS blk FROM ps)",
@@ -244,8 +252,11 @@ def trade_concentration_top5(spark, d):
 
 @query("robustness_summary")
 def robustness_summary(spark, d):
-    w = weekly_universal(spark, d).withColumns({"n_trials": F.lit(50), "source_method": F.lit("machine_learning")})
-    return RB.validation_summary(w, 30, 10, 8)
+    """Daily series, as the summary annualises them."""
+    u = universal_returns(spark, d).select(
+        "candidate_id", "timestamp", F.col("exposure").alias("position"), F.coalesce("benchmark_return", F.lit(0.0)).alias("next_return"),
+        F.lit(50).alias("n_trials"), F.lit("machine_learning").alias("source_method"))
+    return RB.validation_summary(u, 300, 300, 8)
 
 
 @query("year_table", oracle("s:candidate_id i:year s:sample_role i:periods f:strategy_return", UNI_SQL, "SELECT candidate_id, year(timestamp) AS year, sample_role, COUNT(*) AS periods, product(1 + strategy_return) - 1 AS strategy_return FROM uni GROUP BY 1, 2, 3"))

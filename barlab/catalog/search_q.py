@@ -65,12 +65,13 @@ def beam(spark, d):
 
 @query("mutate")
 def mutate(spark, d):
-    return SE.with_id(SE.mutate(beam(spark, d), catalog(spark, d), 6, 13)).select("candidate_id", F.array_join("specs", ";").alias("specs"), "selector", "intercept", "scale", "smoothing")
+    return SE.with_id(SE.mutate(beam(spark, d), catalog(spark, d), 6, 13, universes=[["A", "N", "R"], ["A", "N"], ["A", "R"], ["N", "R"], ["A"], ["N"], ["R"]])).select("candidate_id", F.array_join("specs", ";").alias("specs"), "selector", "intercept", "scale", "smoothing")
 
 
 @query("crossover")
 def crossover(spark, d):
-    kids = SE.crossover(SP.numbered(beam(spark, d), [F.col("candidate_id")]), 4, 17)
+    parents = SP.numbered(beam(spark, d), [F.col("candidate_id")])
+    kids = SE.crossover(SE.cycled(parents, 128), parents, 17)
     return SE.with_id(kids).select("candidate_id", F.array_join("specs", ";").alias("specs"), "selector", "intercept", "scale", "smoothing")
 
 
@@ -86,7 +87,7 @@ def spec_reward_weights(spark, d):
     "top AS (SELECT * FROM sb ORDER BY points DESC, candidate_id LIMIT 300)", "x AS (SELECT unnest(specs) AS spec, points FROM top)",
     "g AS (SELECT split_part(spec, '_', 1) AS grp, SUM(1 + greatest(points, 0) / 1500) AS g, COUNT(*) AS pulls FROM x WHERE spec IN (SELECT spec FROM scat) GROUP BY 1)",
     "h AS (SELECT k.grp, 1 + coalesce(g, 0) AS reward, coalesce(pulls, 0) AS pulls FROM (SELECT DISTINCT split_part(spec, '_', 1) AS grp FROM scat) AS k LEFT JOIN g ON g.grp = k.grp)",
-    "SELECT grp AS group_name, reward, pulls, reward / greatest(pulls, 1) + sqrt(2 * ln((SELECT SUM(pulls) FROM h) + 1e0) / greatest(pulls, 1)) AS ucb FROM h"))
+    "SELECT grp AS group_name, reward, pulls, CASE WHEN pulls = 0 THEN 1e6 ELSE reward / greatest(pulls, 1) + sqrt(2 * ln((SELECT SUM(pulls) FROM h) + 1e0) / greatest(pulls, 1)) END AS ucb FROM h"))
 def group_rewards(spark, d):
     b = spec_board(spark, d)
     return SE.group_rewards(b, spec_catalog(b), "points").withColumnRenamed("group", "group_name")
@@ -146,14 +147,15 @@ def expected_improvement(spark, d):
     return SE.expected_improvement(b, w, fams, tried)
 
 
-def top_rows(board, n=50):
-    return board.orderBy(F.col("score").desc(), "candidate_id").limit(n).select("candidate_id", "method", "wave", F.array_join("specs", ";").alias("specs"), "selector", "score", "train_sharpe", "validation_sharpe")
+def board_rows(board):
+    """Every evaluated row."""
+    return board.select("candidate_id", "method", "wave", F.array_join("specs", ";").alias("specs"), "selector", "score", "train_sharpe", "validation_sharpe")
 
 
 @query("beam_round")
 def beam_round(spark, d):
     """Random start, then beam mutations of the best, each round one job."""
-    return top_rows(RD.search(study(spark, d), "beam", 2, 48, 101))
+    return board_rows(RD.search(study(spark, d), "beam", 2, 48, 101))
 
 
 @query("search_rounds")
@@ -166,7 +168,7 @@ def search_rounds(spark, d):
         p = RD.propose(s, start, m, 24, 131 + i)
         fresh = p if fresh is None else fresh.unionByName(p)
     nxt = s.evaluate(SE.with_id(SE.unseen(fresh, start)).dropDuplicates(["candidate_id"]), "learned", 2)
-    return top_rows(start.unionByName(nxt))
+    return board_rows(start.unionByName(nxt))
 
 
 @query("lite_proposals")
@@ -187,7 +189,7 @@ def wave_resume(spark, d):
     s = study(spark, d)
     first = RD.search(s, "random_broad", 1, 40, 5)
     state = LB.state_merge(first.withColumn("seq", F.lit(1)), "train_sharpe", 10)
-    return top_rows(RD.search(s, "beam", 1, 24, 77, prior=state, wave=2))
+    return board_rows(RD.search(s, "beam", 1, 24, 77, prior=state, wave=2))
 
 
 @query("candidate_stream")

@@ -400,7 +400,10 @@ def pbo(df: DataFrame, shuffles: int = 300, splits: int = 8, seed: int = 202, by
     best = w.groupBy(*by, "rotation").agg(F.max_by("o", F.struct("i", (-F.col("shuffle")).alias("s"))).alias("ob"))
     j = w.join(best, [*by, "rotation"])
     rank = j.groupBy(*by, "rotation").agg(F.avg((F.col("o") <= F.col("ob")).cast("double")).alias("rank"))
-    return rank.groupBy(*by).agg(F.avg((F.col("rank") <= 0.5).cast("double")).alias("pbo"))
+    out = rank.groupBy(*by).agg(F.avg((F.col("rank") <= 0.5).cast("double")).alias("pbo"))
+    # a series of fewer than twenty rows says nothing: it counts as overfitted
+    rows = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
+    return out.join(rows, list(by)).select(*by, F.when(F.col("_n") < 20, 1.0).otherwise(F.col("pbo")).alias("pbo"))
 
 
 @F.pandas_udf(T.DoubleType())

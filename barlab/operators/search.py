@@ -148,14 +148,29 @@ def weighted_ranges(catalog: DataFrame, weight: str) -> DataFrame:
     return x.select("spec", ((run - F.col(weight)) / F.col("_t")).alias("lo"), (run / F.col("_t")).alias("hi"))
 
 
-def mutate(beam: DataFrame, catalog: DataFrame, n: int, seed: int, max_features: int = 5) -> DataFrame:
-    """``n`` children per parent: add, replace, drop, reweight, new selector; knobs jitter and clip."""
+def cycled(parents: DataFrame, n: int) -> DataFrame:
+    """``n`` rows that take the parents (dense ``index``) in turn, so that no proposal is lost to an uneven division."""
+    spark = parents.sparkSession
+    size = max(1, int(parents.agg(F.count(F.lit(1))).head()[0]))
+    turns = spark.range(n).select(F.col("id").alias("turn"), (F.col("id") % size).alias("index"))
+    return turns.join(parents, "index")
+
+
+def mutate(beam: DataFrame, catalog: DataFrame, n: int, seed: int, max_features: int = 5, universes: list[list[str]] | None = None) -> DataFrame:
+    """``n`` children per row: add, replace, drop or reweight a spec, another selector, or another asset universe.
+
+    An "add" at the limit and a "drop" of the only spec reweight instead. A new selector or universe leaves the knobs as
+    they are; the other actions jitter and clip them. ``turn`` tells rows of one parent apart.
+    """
     size = int(catalog.agg(F.count(F.lit(1))).head()[0])
     kids = beam.withColumn("_m", F.explode(F.sequence(F.lit(1), F.lit(n))))
-    u = lambda s: uniform(seed, F.col("candidate_id"), F.col("_m"), s)
+    turn = F.col("turn") if "turn" in beam.columns else F.lit(0)
+    u = lambda s: uniform(seed, F.col("candidate_id"), turn, F.col("_m"), s)
+    actions = ["add", "replace", "drop", "weight", "selector"] + (["assets"] if universes else [])
     kids = kids.withColumns({
-        "_act": pick(u(1), F.array(*[F.lit(a) for a in ("add", "replace", "drop", "weight", "selector")])),
+        "_act": pick(u(1), F.array(*[F.lit(a) for a in actions])),
         "index": F.floor(u(2) * size), "_at": F.floor(u(3) * F.size("specs")).cast("int") + 1,
+        "_u4": u(4), "_u5": u(5), "_i": gauss(u(6), u(7), 0.15), "_s": gauss(u(8), u(9), 0.20), "_h": gauss(u(10), u(11), 0.10), "_u12": u(12),
     })
     kids = kids.join(catalog.select("index", F.col("spec").alias("_new")), "index", "left")
     s = F.col("specs")
@@ -165,37 +180,51 @@ def mutate(beam: DataFrame, catalog: DataFrame, n: int, seed: int, max_features:
         F.when((act == "add") & (F.size(s) < max_features), F.array_append(s, F.col("_new")))
         .when(act == "replace", F.array_append(without, F.col("_new")))
         .when((act == "drop") & (F.size(s) > 1), without)
-        .when(act == "weight", F.array_append(without, SP.with_weight(F.element_at("specs", F.col("_at")), pick(u(4), SP.ints((1, 2, 3))))))
+        .when(act.isin("add", "drop", "weight"), F.array_append(without, SP.with_weight(F.element_at("specs", F.col("_at")), pick(F.col("_u4"), SP.ints((1, 2, 3))))))
         .otherwise(s)
     )
+    other = F.when(act == "assets", pick(F.col("_u12"), F.array(*[F.array(*[F.lit(x) for x in v]) for v in universes]))).otherwise(F.col("assets")) if universes else F.col("assets")
+    still = act.isin("selector", "assets")
+    knob = lambda name, step, low, high: F.when(still, F.col(name)).otherwise(clip(F.col(name) + F.col(step), low, high)).alias(name)
     return kids.select(
-        F.array_sort(F.array_distinct(changed)).alias("specs"), "assets",
-        F.when(act == "selector", pick(u(5), F.array(*[F.lit(x) for x in SELECTORS]))).otherwise(F.col("selector")).alias("selector"),
-        clip(F.col("intercept") + gauss(u(6), u(7), 0.15), -0.95, 0.95).alias("intercept"),
-        clip(F.col("scale") + gauss(u(8), u(9), 0.20), 0.05, 1.75).alias("scale"),
-        clip(F.col("smoothing") + gauss(u(10), u(11), 0.10), 0.0, 0.80).alias("smoothing"),
+        F.array_sort(F.array_distinct(changed)).alias("specs"), other.alias("assets"),
+        F.when(act == "selector", pick(F.col("_u5"), F.array(*[F.lit(x) for x in SELECTORS]))).otherwise(F.col("selector")).alias("selector"),
+        knob("intercept", "_i", -0.95, 0.95), knob("scale", "_s", 0.05, 1.75), knob("smoothing", "_h", 0.0, 0.80),
     )
 
 
-def crossover(parents: DataFrame, n: int, seed: int) -> DataFrame:
-    """``n`` children per parent with a hash-chosen mate: half the specs of each, averaged knobs.
-
-    ``parents`` carries a dense ``index``, so a mate is found by equality.
-    """
+def mated(left: DataFrame, parents: DataFrame, seed: int) -> DataFrame:
+    """Every row with a hash-chosen mate (``r_`` columns) among ``parents``, whose dense ``index`` makes it an equality join."""
     size = int(parents.agg(F.count(F.lit(1))).head()[0])
-    left = parents.withColumn("_m", F.explode(F.sequence(F.lit(1), F.lit(n))))
-    u = lambda s: uniform(seed, F.col("index"), F.col("_m"), s)
-    left = left.withColumn("_mate", F.floor(u(1) * size))
+    turn = F.col("turn") if "turn" in left.columns else F.lit(0)
     right = parents.select(F.col("index").alias("_mate"), *[F.col(x).alias(f"r_{x}") for x in ("specs", "assets", "selector", "intercept", "scale", "smoothing")])
-    j = left.join(right, "_mate")
+    rows = left.withColumns({f"_u{k}": uniform(seed, F.col("index"), turn, k) for k in (2, 3)}).withColumn("_mate", F.floor(uniform(seed, F.col("index"), turn, 1) * size))
+    return rows.withColumn("turn", turn).join(right, "_mate")
+
+
+def crossover(left: DataFrame, parents: DataFrame, seed: int) -> DataFrame:
+    """One child per row of ``left``: half the specs of the row and of its mate, averaged knobs."""
+    j = mated(left, parents, seed)
     half = lambda c: F.greatest(F.floor(F.size(c) / 2), F.lit(1)).cast("int")
     a = F.slice("specs", F.lit(1), half("specs"))
     start = F.floor(F.size("r_specs") / 2).cast("int")
     b = F.slice("r_specs", start + 1, F.size("r_specs") - start)
     mid = lambda x: ((F.col(x) + F.col(f"r_{x}")) / 2.0).alias(x)
     return j.select(
-        F.array_sort(F.array_union(a, b)).alias("specs"), F.when(u(2) < 0.5, F.col("assets")).otherwise(F.col("r_assets")).alias("assets"),
-        F.when(u(3) < 0.5, F.col("selector")).otherwise(F.col("r_selector")).alias("selector"), mid("intercept"), mid("scale"), mid("smoothing"),
+        "turn", F.array_sort(F.array_union(a, b)).alias("specs"), F.when(F.col("_u2") < 0.5, F.col("assets")).otherwise(F.col("r_assets")).alias("assets"),
+        F.when(F.col("_u3") < 0.5, F.col("selector")).otherwise(F.col("r_selector")).alias("selector"), mid("intercept"), mid("scale"), mid("smoothing"),
+    )
+
+
+def midpoint(left: DataFrame, parents: DataFrame, seed: int, max_features: int = 5) -> DataFrame:
+    """Differential step: all specs of base and donor up to the limit, universe and selector by turn, knobs half way."""
+    j = mated(left, parents, seed)
+    way = lambda x, low, high: clip(F.col(x) + 0.5 * (F.col(f"r_{x}") - F.col(x)), low, high).alias(x)
+    return j.select(
+        "turn", F.slice(F.array_sort(F.array_union("specs", "r_specs")), 1, max_features).alias("specs"),
+        F.when(F.col("turn") % 2 != 0, F.col("assets")).otherwise(F.col("r_assets")).alias("assets"),
+        F.when(F.col("turn") % 3 != 0, F.col("selector")).otherwise(F.col("r_selector")).alias("selector"),
+        way("intercept", -0.95, 0.95), way("scale", 0.05, 1.75), way("smoothing", 0.0, 0.80),
     )
 
 
@@ -209,13 +238,17 @@ def spec_rewards(rows: DataFrame, catalog: DataFrame, score: str = "score", top:
     return w.join(F.broadcast(total), F.lit(1) == F.col("_k")).select("spec", (F.col("w") / F.col("t")).alias("weight"))
 
 
-def group_rewards(rows: DataFrame, catalog: DataFrame, score: str = "score", top: int = 300, unit: float = 1500.0) -> DataFrame:
-    """Rewards per feature-prefix group of the catalog, with an upper confidence score.
+UNPULLED = 1e6
+
+
+def group_rewards(rows: DataFrame, catalog: DataFrame, score: str = "score", top: int = 300, unit: float = 1500.0, group: Column | None = None) -> DataFrame:
+    """Rewards per group of the catalog (feature prefixes by default), with an upper confidence score.
 
-    Specs outside the catalog earn nothing.
+    Specs outside the catalog earn nothing. A group that was never pulled comes first: it gets the
+    score UNPULLED.
     """
     known = catalog.select("spec").distinct()
-    group = F.substring_index(F.substring_index("spec", "|", 1), "_", 1)
+    group = F.substring_index(F.substring_index("spec", "|", 1), "_", 1) if group is None else group
     best = rows.orderBy(F.col(score).desc(), "candidate_id").limit(top)
     r = best.select(F.explode("specs").alias("spec"), (1.0 + F.greatest(F.coalesce(score, F.lit(0.0)), F.lit(0.0)) / unit).alias("g"))
     got = r.join(known, "spec", "left_semi").groupBy(group.alias("group")).agg(F.sum("g").alias("g"), F.count(F.lit(1)).alias("pulls"))
@@ -224,7 +257,8 @@ def group_rewards(rows: DataFrame, catalog: DataFrame, score: str = "score", top
     total = g.agg(F.sum("pulls").alias("n"), F.lit(1).alias("_k"))
     g = g.join(F.broadcast(total), F.lit(1) == F.col("_k"))
     bonus = F.sqrt(2.0 * F.ln(F.col("n") + 1.0) / F.greatest("pulls", F.lit(1)))
-    return g.select("group", "reward", "pulls", (F.col("reward") / F.greatest("pulls", F.lit(1)) + bonus).alias("ucb"))
+    score_of = F.when(F.col("pulls") == 0, F.lit(UNPULLED)).otherwise(F.col("reward") / F.greatest("pulls", F.lit(1)) + bonus)
+    return g.select("group", "reward", "pulls", score_of.alias("ucb"))
 
 
 def weighted_sample(items: DataFrame, weight: Column, k: int, seed: int, by: str, name: str = "spec") -> DataFrame:

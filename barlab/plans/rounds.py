@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from barlab.functions import text as TX
 from barlab.operators import gates as GT
 from barlab.operators import search as SE
 from barlab.operators import specs as SP
@@ -29,7 +30,9 @@ class Study:
         self.long = SW.period_long(self.examples)
         train = self.long.where("period = 'train'")
         self.catalog = checkpoint(SP.numbered(SP.weekly_catalog(train).select("spec"), [F.col("spec")]))
-        self.universe = F.array(*[F.lit(s) for s in ("A", "N", "R")])
+        symbols = sorted(r["symbol"] for r in self.assets.select("symbol").distinct().collect())  # bounded by the tradable assets
+        self.universes = [u for u in (symbols, *([a, b] for i, a in enumerate(symbols) for b in symbols[i + 1 :]), *([a] for a in symbols)) if u]
+        self.universe = F.array(*[F.lit(s) for s in symbols])
 
     def picks(self, cands: DataFrame) -> DataFrame:
         """Best asset per selector, universe and period, computed once per distinct pair."""
@@ -68,15 +71,19 @@ class Study:
 def propose(study: Study, board: DataFrame | None, method: str, n: int, seed: int, beam: int = 8) -> DataFrame:
     """Next candidates of a method: random, beam, genetic, midpoint, learned weights or group bandit."""
     cat, uni = study.catalog, study.universe
-    if board is None or method in ("random_broad", "sobol"):
+    if method == "sobol":
+        # low-discrepancy variant: the stream depends on stage and index only, not on the run's seed
+        return SE.random_candidates(cat, uni, n, 10_000_019 + (seed // 1000) * 9_176)
+    if board is None or method == "random_broad":
         return SE.random_candidates(cat, uni, n, seed)
     top = board.orderBy(F.col("score").desc(), "candidate_id").limit(beam).select(*CANDIDATE)
+    parents = SP.numbered(top, [F.col("candidate_id")])
     if method == "beam":
-        return SE.mutate(top, cat, max(1, n // beam), seed)
-    if method in ("genetic", "midpoint"):
-        parents = SP.numbered(top, [F.col("candidate_id")])
-        kids = SE.with_id(SE.crossover(parents, max(1, n // beam), seed))
-        return SE.mutate(kids, cat, 1, seed + 1)
+        return SE.mutate(SE.cycled(parents, n), cat, 1, seed, universes=study.universes)
+    if method == "genetic":
+        return SE.mutate(SE.with_id(SE.crossover(SE.cycled(parents, n), parents, seed)), cat, 1, seed + 1, universes=study.universes)
+    if method == "midpoint":
+        return SE.mutate(SE.with_id(SE.midpoint(SE.cycled(parents, n), parents, seed)), cat, 1, seed + 1, universes=study.universes)
     if method in ("weights", "half_weights"):
         w = cat.join(SE.spec_rewards(board, cat), "spec")
         if method == "weights":
@@ -91,7 +98,7 @@ def propose(study: Study, board: DataFrame | None, method: str, n: int, seed: in
         if method != "expected_improvement":
             return pool
         ident = SE.with_id(pool)
-        fams = SE.group_rewards(board, cat).select(F.col("group").alias("family"), "reward")
+        fams = SE.group_rewards(board, cat, group=TX.daily_family(F.substring_index("spec", "|", 1))).select(F.col("group").alias("family"), "reward")
         tried = board.select(F.explode("specs").alias("spec")).distinct()
         ei = SE.expected_improvement(ident, SE.spec_rewards(board, cat), fams, tried)
         return ident.join(ei, "candidate_id").orderBy(F.col("expected_improvement").desc(), "candidate_id").limit(n).drop("candidate_id", "expected_improvement")
