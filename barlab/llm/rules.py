@@ -14,6 +14,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from barlab.llm.common import let
 from barlab.session import checkpoint
 
 #: Documents (about) in the sample that orders the rules.
@@ -25,11 +26,6 @@ CAPITALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 BASE_COLUMNS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body(value)`` with the value computed once per row, however often the body names it."""
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
 def count_of(text: Column, chars: str) -> Column:
     """How many characters of the text are among ``chars``."""
     return F.length(text) - F.length(F.translate(text, chars, ""))

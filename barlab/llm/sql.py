@@ -57,19 +57,19 @@ split AS (
 ),
 lines AS (SELECT *, len(toks) AS n, array_to_string(toks[1:3], ' ') AS head, array_to_string(toks, ' ') AS line, len(list_filter(toks, lambda t: t = '<*>')) AS fields FROM split WHERE len(toks) >= 3),
 dist AS (SELECT n, head, line, any_value(fields) AS fields, any_value(toks) AS toks, min(doc) AS low, max(doc) AS high, min(ord) AS first FROM lines GROUP BY n, head, line),
-cells AS (SELECT dist.*, unnest(range(1, n + 1)) AS pos FROM dist WHERE n >= 8),
-const AS (SELECT n, head, pos, toks[pos] AS token FROM cells WHERE toks[pos] <> '<*>' GROUP BY ALL HAVING min(low) <> max(high)),
-told AS (
-  SELECT c.n, c.head, c.line, any_value(c.fields) AS fields, min(c.low) AS low, max(c.high) AS high, min(c.first) AS first, count(k.token) AS kept,
-         string_agg(coalesce(k.token, '<*>'), ' ' ORDER BY c.pos) AS template
-  FROM cells AS c LEFT JOIN const AS k ON c.n = k.n AND c.head = k.head AND c.pos = k.pos AND c.toks[c.pos] = k.token GROUP BY c.n, c.head, c.line
+leaves AS (SELECT n, head, count(*) AS m FROM dist WHERE n >= 8 GROUP BY n, head HAVING count(*) > 1 AND min(low) <> max(high)),
+cells AS (SELECT dist.*, m, unnest(range(1, n + 1)) AS pos FROM dist JOIN leaves USING (n, head)),
+const AS (SELECT n, head, pos, toks[pos] AS token FROM cells WHERE toks[pos] <> '<*>' GROUP BY n, head, pos, toks[pos] HAVING 2 * count(*) > max(m)),
+shaped AS (
+  SELECT c.n, c.head, c.line, min(c.low) AS low, max(c.high) AS high, min(c.first) AS first
+  FROM cells AS c LEFT JOIN const AS k ON c.n = k.n AND c.head = k.head AND c.pos = k.pos AND c.toks[c.pos] = k.token
+  GROUP BY c.n, c.head, c.line HAVING 100 * count(k.token) >= 80 * (c.n - max(c.fields)) AND 2 * count(k.token) >= c.n
 ),
-shaped AS (SELECT * FROM told WHERE 100 * kept >= 80 * (n - fields) AND 2 * kept >= n),
-shared AS (SELECT n, head, template, min(first) AS first FROM shaped GROUP BY n, head, template HAVING min(low) <> max(high)),
+shared AS (SELECT n, head, min(first) AS first FROM shaped GROUP BY n, head HAVING min(low) <> max(high)),
 gone AS (
   SELECT n, head, line, min(first) AS first FROM (
     SELECT n, head, line, first FROM dist WHERE low <> high AND 2 * (n - fields) >= n
-    UNION ALL SELECT s.n, s.head, s.line, h.first FROM shaped AS s JOIN shared AS h ON s.n = h.n AND s.head = h.head AND s.template = h.template
+    UNION ALL SELECT s.n, s.head, s.line, h.first FROM shaped AS s JOIN shared AS h ON s.n = h.n AND s.head = h.head
   ) AS u GROUP BY n, head, line
 ),
 lost AS (SELECT l.rid, list(l.i) AS nos FROM lines AS l JOIN gone AS g ON l.n = g.n AND l.head = g.head AND l.line = g.line WHERE l.ord <> g.first GROUP BY l.rid)
