@@ -220,13 +220,13 @@ def permutation_pvalue(spark, d):
     return RB.permutation_pvalue(weekly_universal(spark, d), 300, 101)
 
 
-@query("pbo", oracle("s:candidate_id f:pbo", WU_SQL, shuffle_sql(10, 202), "pt AS (SELECT *, ntile(8) OVER (PARTITION BY candidate_id, k ORDER BY rn) - 1 AS blk FROM ps)",
+@query("pbo", oracle("s:candidate_id f:pbo", WU_SQL, shuffle_sql(300, 202), "pt AS (SELECT *, ntile(8) OVER (PARTITION BY candidate_id, k ORDER BY rn) - 1 AS blk FROM ps)",
     "pq AS (SELECT candidate_id, k, rot, CASE WHEN (blk - rot + 8) % 8 < 4 THEN 'is' ELSE 'oos' END AS side, (blk - rot + 8) % 8 AS o, rn, x FROM pt, range(8) AS r(rot))",
     calmar_sql("pq", "candidate_id, k, rot, side", "o, rn", "pz"), "pw AS (SELECT candidate_id, rot, k, round(MAX(calmar) FILTER (side = 'is'), 9) AS i, round(MAX(calmar) FILTER (side = 'oos'), 9) AS o FROM pz GROUP BY 1, 2, 3)",
     "pb AS (SELECT candidate_id, rot, arg_max(o, (i, -k)) AS ob FROM pw GROUP BY 1, 2)", "pk AS (SELECT w.candidate_id, w.rot, AVG((o <= ob)::INT::DOUBLE) AS r FROM pw AS w JOIN pb AS b ON b.candidate_id = w.candidate_id AND b.rot = w.rot GROUP BY 1, 2)",
     "SELECT candidate_id, AVG((r <= 0.5)::INT::DOUBLE) AS pbo FROM pk GROUP BY 1"))
 def pbo(spark, d):
-    return RB.pbo(weekly_universal(spark, d), 10, 8, 202)
+    return RB.pbo(weekly_universal(spark, d), 300, 8, 202)
 
 
 @query("mean_pvalue")

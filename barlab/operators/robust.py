@@ -345,36 +345,55 @@ def grouped_calmar(df: DataFrame, x: str, by, order: str) -> DataFrame:
     return g.select(*by, series_calmar(F.col("_f"), F.col("_n"), F.col("_d")).alias("calmar"))
 
 
-def shuffle_key(seed: int, *parts) -> Column:
-    """Integer mixing of a row number and a shuffle number; the order of keys is the permutation."""
-    rn, k = parts
-    x = (rn.cast("bigint") * 7919 + k.cast("bigint") * 104729 + F.lit(seed * 1299709)) % 2147483647
+def shuffle_order(seed: int, shuffle: int, n: int) -> np.ndarray:
+    """Permutation of n rows: the order of integer keys mixed from row and shuffle number; shuffle 0 changes nothing."""
+    if shuffle == 0:
+        return np.arange(n)
+    x = (np.arange(1, n + 1, dtype=np.int64) * 7919 + shuffle * 104729 + seed * 1299709) % 2147483647
     x = (x * 48271) % 2147483647
-    return (x * 48271) % 2147483647
+    return np.argsort((x * 48271) % 2147483647, kind="stable")
 
 
-def shuffled_positions(df: DataFrame, k: int, seed: int, by=("candidate_id",), order: str = "timestamp", include: bool = False) -> DataFrame:
-    """Each series with its positions permuted k times (column ``shuffle``; 0 is the original).
+def row_calmar(paths: np.ndarray) -> np.ndarray:
+    """Calmar of each row of a matrix of daily return paths, by the rule of ``series_calmar``."""
+    equity = np.cumprod(1.0 + paths, axis=1)
+    final, n = equity[:, -1], paths.shape[1]
+    worst = np.minimum((equity / np.maximum.accumulate(equity, axis=1) - 1.0).min(axis=1), 0.0)
+    cagr = np.where(final > 0, np.power(np.where(final > 0, final, 1.0), 252.0 / n) - 1.0, -1.0)
+    deep = np.abs(worst) > 1e-12
+    return np.where(deep, cagr / np.where(deep, np.abs(worst), 1.0), np.where(final > 1, 999.0, 0.0))
+
+
+def shuffled(df: DataFrame, shuffles: int, by, order: str, score, schema: str, batch: int = 50) -> DataFrame:
+    """``score(shuffle, positions, returns)`` for each series and shuffle number 0..shuffles.
 
-    Row i of shuffle s takes the position whose hash rank is i: one window per (series, shuffle) and an
-    equality join on that rank.
+    A series (one row per period, bounded by the calendar) travels once per batch of shuffles; permuting is matrix work
+    inside the task, so nothing of size series x shuffles x rows is shuffled.
     """
-    base = df.withColumn("_rn", F.row_number().over(R.ordered(by, order)))
-    key = [*by, "shuffle"]
-    reps = base.withColumn("shuffle", F.explode(F.sequence(F.lit(1), F.lit(k))))
-    w = Window.partitionBy(*key).orderBy("_h", "_rn")
-    perm = reps.withColumn("_h", shuffle_key(seed, F.col("_rn"), F.col("shuffle"))).withColumn("_to", F.row_number().over(w))
-    perm = perm.select(*key, F.col("_to").alias("_rn"), F.col("position").alias("_p"))
-    out = reps.drop("position").join(perm, [*key, "_rn"]).withColumnRenamed("_p", "position")
-    if include:
-        out = out.unionByName(base.withColumn("shuffle", F.lit(0)))
-    return out
+    row = F.struct(order, F.coalesce("position", F.lit(0.0)).cast("double").alias("p"), F.coalesce("next_return", F.lit(0.0)).cast("double").alias("r"))
+    s = df.groupBy(*by).agg(F.array_sort(F.collect_list(row)).alias("s"))
+    jobs = s.select(F.struct(*by).alias("key"), F.col("s.p").alias("p"), F.col("s.r").alias("r"), F.explode(F.sequence(F.lit(0), F.lit(shuffles), F.lit(batch))).alias("b0"))
+    fields = ", ".join(f"{c} {df.schema[c].dataType.simpleString()}" for c in by)
+
+    def run(frames):
+        for pdf in frames:
+            for job in pdf.itertuples():
+                p, r = np.asarray(job.p, dtype=float), np.asarray(job.r, dtype=float)
+                out = pd.concat([score(k, p, r) for k in range(job.b0, min(job.b0 + batch, shuffles + 1))])
+                for c in by:
+                    out[c] = job.key[c]
+                yield out
+
+    return jobs.repartition("key", "b0").mapInPandas(run, f"{fields}, {schema}")
 
 
 def permutation_pvalue(df: DataFrame, k: int = 300, seed: int = 101, by=("candidate_id",), order: str = "timestamp") -> DataFrame:
     """(shuffles at least as good + 1) / (k + 1) on Calmar."""
-    s = shuffled_positions(df, k, seed, by, order, include=True).withColumn("_x", F.col("position") * F.col("next_return"))
-    c = grouped_calmar(s, "_x", [*by, "shuffle"], order)
+
+    def score(shuffle: int, p: np.ndarray, r: np.ndarray) -> pd.DataFrame:
+        return pd.DataFrame({"shuffle": [shuffle], "calmar": row_calmar((p[shuffle_order(seed, shuffle, len(p))] * r)[None, :])})
+
+    c = shuffled(df, k, by, order, score, "shuffle int, calmar double")
     base = c.where("shuffle = 0").select(*by, F.col("calmar").alias("base"))
     j = c.where("shuffle > 0").join(base, list(by))
     # equality up to the last digit counts as at least as good
@@ -384,24 +403,25 @@ def permutation_pvalue(df: DataFrame, k: int = 300, seed: int = 101, by=("candid
 def pbo(df: DataFrame, shuffles: int = 300, splits: int = 8, seed: int = 202, by=("candidate_id",), order: str = "timestamp") -> DataFrame:
     """Share of rotations in which the in-sample best ranks at or below the middle out of sample.
 
-    Blocks are contiguous; each adjacent half is in-sample once. Every block repeats in the rotations
-    by an explode, so there is one shuffle by (series, shuffle, rotation, side).
+    Blocks are contiguous; each adjacent half is in-sample once. A series of fewer than twenty rows says nothing and
+    counts as overfitted.
     """
     splits += splits % 2
-    s = shuffled_positions(df, shuffles, seed, by, order, include=True).withColumn("_x", F.col("position") * F.col("next_return"))
-    s = s.withColumn("block", F.ntile(splits).over(R.ordered([*by, "shuffle"], order)) - 1)
-    x = s.withColumn("rotation", F.explode(F.sequence(F.lit(0), F.lit(splits - 1))))
-    off = F.pmod(F.col("block") - F.col("rotation"), F.lit(splits))
-    x = x.withColumns({"side": F.when(off < splits // 2, "is").otherwise("oos"), "_o": F.struct(off.alias("o"), F.col(order).alias("t"))})
-    key = [*by, "rotation", "shuffle", "side"]
-    c = grouped_calmar(x, "_x", key, "_o")
+
+    def score(shuffle: int, p: np.ndarray, r: np.ndarray) -> pd.DataFrame:
+        blocks = np.array_split(p[shuffle_order(seed, shuffle, len(p))] * r, splits)
+        turned = [blocks[t:] + blocks[:t] for t in range(splits)]
+        side = lambda parts: row_calmar(np.concatenate(parts)[None, :])[0] if sum(map(len, parts)) else np.nan
+        half = splits // 2
+        return pd.DataFrame({"shuffle": shuffle, "rotation": range(splits), "i": [side(b[:half]) for b in turned], "o": [side(b[half:]) for b in turned]})
+
+    w = shuffled(df, shuffles, by, order, score, "shuffle int, rotation int, i double, o double")
+    w = w.withColumns({c: F.round(F.when(~F.isnan(c), F.col(c)), 9) for c in ("i", "o")})
     # the smallest shuffle number wins ties; values compare at nine digits
-    w = c.groupBy(*by, "rotation", "shuffle").agg(F.round(F.max(F.when(F.col("side") == "is", F.col("calmar"))), 9).alias("i"), F.round(F.max(F.when(F.col("side") == "oos", F.col("calmar"))), 9).alias("o"))
     best = w.groupBy(*by, "rotation").agg(F.max_by("o", F.struct("i", (-F.col("shuffle")).alias("s"))).alias("ob"))
     j = w.join(best, [*by, "rotation"])
     rank = j.groupBy(*by, "rotation").agg(F.avg((F.col("o") <= F.col("ob")).cast("double")).alias("rank"))
     out = rank.groupBy(*by).agg(F.avg((F.col("rank") <= 0.5).cast("double")).alias("pbo"))
-    # a series of fewer than twenty rows says nothing: it counts as overfitted
     rows = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
     return out.join(rows, list(by)).select(*by, F.when(F.col("_n") < 20, 1.0).otherwise(F.col("pbo")).alias("pbo"))
 
