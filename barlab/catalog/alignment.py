@@ -81,13 +81,13 @@ def selected_asset_return(spark, d):
 
 @query("feature_name_semijoin", oracle("s:spec s:feature",
     "s AS (SELECT DISTINCT p_brand || '|threshold|' || p_size || '|1|1' AS spec, p_brand AS feature FROM part)",
-    "f AS (SELECT p_brand AS feature FROM part GROUP BY 1 HAVING COUNT(*) >= 80)",
+    "f AS (SELECT p_brand AS feature FROM part GROUP BY 1 HAVING 2 * SUM(p_size) >= 51 * COUNT(*))",
     "SELECT spec, feature FROM s WHERE feature IN (SELECT feature FROM f)"))
 def feature_name_semijoin(spark, d):
     part = I.table(spark, d, "part")
     specs = part.select(F.concat_ws("|", "p_brand", F.lit("threshold"), F.col("p_size").cast("string"), F.lit("1"), F.lit("1")).alias("spec"),
                         F.col("p_brand").alias("feature")).distinct()
-    known = part.groupBy(F.col("p_brand").alias("feature")).count().where("count >= 80")
+    known = part.groupBy(F.col("p_brand").alias("feature")).agg(F.sum("p_size").alias("sizes"), F.count(F.lit(1)).alias("rows")).where("2 * sizes >= 51 * rows").select("feature")
     return A.keep_known_features(specs, known).select("spec", "feature")
 
 

@@ -88,7 +88,7 @@ def valuation_build(spark, d):
 
 @query("seed_json_load", oracle("s:spec s:feature i:position f:score",
     "s AS (SELECT p_brand || '|threshold|' || p_size AS spec, p_brand AS feature, p_partkey AS position, p_retailprice AS score FROM part)",
-    "k AS (SELECT p_brand AS feature FROM part GROUP BY 1 HAVING COUNT(*) >= 75)",
+    "k AS (SELECT p_brand AS feature FROM part GROUP BY 1 HAVING 2 * SUM(p_size) >= 51 * COUNT(*))",
     "SELECT * FROM s WHERE feature IN (SELECT feature FROM k) QUALIFY row_number() OVER (PARTITION BY spec ORDER BY position) = 1"))
 def seed_json_load(spark, d):
     part = I.table(spark, d, "part")
@@ -96,7 +96,7 @@ def seed_json_load(spark, d):
     part.select(F.concat_ws("|", "p_brand", F.lit("threshold"), F.col("p_size").cast("string")).alias("spec"),
                 F.col("p_partkey").alias("position"), F.col("p_retailprice").alias("score")).write.json(path)
     seeds = spark.read.schema("spec string, position bigint, score double").json(path)
-    known = part.groupBy(F.col("p_brand").alias("feature")).count().where("count >= 75")
+    known = part.groupBy(F.col("p_brand").alias("feature")).agg(F.sum("p_size").alias("sizes"), F.count(F.lit(1)).alias("rows")).where("2 * sizes >= 51 * rows").select("feature")
     return FS.first_seed_per_spec(seeds, known).select("spec", "feature", "position", "score")
 
 

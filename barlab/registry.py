@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from barlab.session import ship_package
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -40,6 +42,7 @@ def query(name: str, sql: str | None = None, share: bool = False):
             raise ValueError(f"query registered twice: {name}")
 
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            ship_package(spark)
             if not share:
                 return publish(fn(spark, sf_dir))
             from barlab.plans.inputs import sharing
