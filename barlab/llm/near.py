@@ -1,11 +1,10 @@
 """N-gram Jaccard join with Bayesian candidate pruning over MinHash values.
 
 Documents are sets of hashed five-word shingles; equal sets are one class and count once. MinHash bands put classes that
-may be alike into common buckets. A bucket is dealt into groups of bounded size and the groups meet pairwise in tiles,
-so no task ever holds a whole hot bucket and no row is written for a pair. In a tile, pairs compare their MinHash values
+may be alike into common buckets. Buckets with the same least class are put together, dealt into groups of bounded size, and
+the groups meet pairwise in tiles, so no task ever holds a whole hot bucket and no row is written for a pair. In a tile, pairs compare their MinHash values
 a few at a time; with a uniform prior, m matches in n values put the posterior of a similarity of at least t at
-P(Binomial(n + 1, t) <= m), and a pair leaves as soon as this falls below the tolerance. Pairs that share an earlier
-bucket were looked at there. The survivors of a tile travel as one bit matrix, and only they are verified exactly on
+P(Binomial(n + 1, t) <= m), and a pair leaves as soon as this falls below the tolerance. The survivors of a tile travel as one bit matrix, and only they are verified exactly on
 their shingle sets. A tile hands on link counts and a spanning forest of its links, from which connected components
 follow in rounds of small joins.
 """
@@ -143,7 +142,12 @@ def dealt(rows: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def tiles(classes: DataFrame) -> DataFrame:
-    """(bucket, i, j, node, n, sig): members of every bucket of two classes or more, in every tile of their group."""
+    """(head, i, j, node, g, n, heads, sig): the members of every head, in every tile of their group.
+
+    A bucket of two classes or more is named by its least node, its head. The bands of a group of near copies mostly share
+    their head, so the buckets of one head are looked at together and a class travels once for all of them. ``heads`` are
+    the heads of a class by band.
+    """
 
     def keys(batches):
         for b in batches:
@@ -154,37 +158,44 @@ def tiles(classes: DataFrame) -> DataFrame:
 
     some = classes.filter(F.col("n") > 0)
     members = map_rows(some.select("node", "n", "sig"), keys, "bucket long, node long, n int")
-    sizes = members.groupBy("bucket").agg(F.count("*").alias("members"), F.sum("n").alias("weight")).filter(F.col("members") > 1)
+    heads = members.groupBy("bucket").agg(F.count("*").alias("members"), F.min("node").alias("head")).filter("members > 1").select("bucket", "head")
+    found = members.join(heads, "bucket").withColumn("band", F.shiftright("bucket", 48).cast("int"))
+    own = found.groupBy("node").agg(F.max("n").alias("n"), F.collect_list(F.struct("band", "head")).alias("heads"))  # BANDS entries at most
+    own = written(own.select("node", "n", F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda k: F.element_at(F.map_from_entries("heads"), k.cast("int"))).alias("heads")))
+    pairs = own.select("node", "n", F.explode(F.array_distinct(F.array_compact("heads"))).alias("head"))
+    sizes = pairs.groupBy("head").agg(F.count("*").alias("members"), F.sum("n").alias("weight"))
     groups = F.greatest(F.ceil(F.col("members") / SIDE), F.ceil(F.col("weight") / SIDE_SHINGLES)).cast("int")
-    found = members.join(sizes.select("bucket", groups.alias("groups")), "bucket")
-    found = found.withColumn("g", F.pmod(F.xxhash64("node", "bucket"), F.col("groups")).cast("int"))
-    found = written(found.select("bucket", "node", "groups", "g"))
+    dealt_out = pairs.join(sizes.select("head", groups.alias("groups")), "head").withColumn("g", F.pmod(F.xxhash64("node", "head"), F.col("groups")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("o")
-    spread = found.select("bucket", "node", "g", other).select("bucket", F.least("g", "o").alias("i"), F.greatest("g", "o").alias("j"), "node", "g")
-    return spread.join(some.select("node", "n", "sig"), "node")
+    spread = dealt_out.select("head", "node", "g", other).select("head", F.least("g", "o").alias("i"), F.greatest("g", "o").alias("j"), "node", "g")
+    return spread.join(own.select("node", "n", "heads").join(some.select("node", "sig"), "node"), "node")
 
 
 def pruned(tile_rows: DataFrame, threshold: float) -> DataFrame:
-    """(bucket, i, j, nodes, bits): for every tile with survivors, their nodes and the bit matrix of the pairs to verify."""
+    """(head, i, j, nodes, bits): for every tile with survivors, their nodes and the bit matrix of the pairs to verify.
+
+    A pair belongs to the least head of the buckets that it shares, so it is verified once.
+    """
     least = least_matches(threshold)
 
     def run(batches):
-        for (bucket, i, j), t in runs(batches, ["bucket", "i", "j"]):
+        for (head, i, j), t in runs(batches, ["head", "i", "j"]):
             sig = np.frombuffer(b"".join(t["sig"].to_pylist()), "<u2").reshape(-1, HASHES)
             node, n, g = np.asarray(t["node"]), np.asarray(t["n"]).astype(float), np.asarray(t["g"])
             a = np.flatnonzero(g == i)
             b = a if i == j else np.flatnonzero(g == j)
             left, right = [], []
             keys = band_keys(sig)
-            band = bucket >> 48
+            none = np.iinfo(np.int64).max
+            heads = np.array([[none if h is None else h for h in hs] for hs in t["heads"].to_pylist()], np.int64)
             for x in a:
                 y = b[b > x] if i == j else b
                 y = y[np.minimum(n[y], n[x]) >= threshold * np.maximum(n[y], n[x]) - 1e-9]
-                y = y[~(keys[y, :band] == keys[x, :band]).any(axis=1)]
                 matches = np.zeros(len(y), np.int64)
                 for k, enough in enumerate(least):
                     matches += (sig[y, k * LOOK : (k + 1) * LOOK] == sig[x, k * LOOK : (k + 1) * LOOK]).sum(axis=1)
                     y, matches = y[matches >= enough], matches[matches >= enough]
+                y = y[np.where(keys[y] == keys[x], heads[x], none).min(axis=1, initial=none) == head] if len(y) else y
                 left.append(np.full(len(y), x))
                 right.append(y)
             x, y = np.concatenate(left or [np.zeros(0, int)]), np.concatenate(right or [np.zeros(0, int)])
@@ -195,17 +206,17 @@ def pruned(tile_rows: DataFrame, threshold: float) -> DataFrame:
                 order = np.argsort(node[used])
                 bits = bits | bits.T
                 bits = bits[np.ix_(order, order)]
-                yield {"bucket": [bucket], "i": [i], "j": [j], "nodes": [np.sort(node[used])], "bits": [np.packbits(np.triu(bits, 1)).tobytes()]}
+                yield {"head": [head], "i": [i], "j": [j], "nodes": [np.sort(node[used])], "bits": [np.packbits(np.triu(bits, 1)).tobytes()]}
 
-    return map_rows(dealt(tile_rows, ["bucket", "i", "j"]), run, "bucket long, i int, j int, nodes array<long>, bits binary")
+    return map_rows(dealt(tile_rows, ["head", "i", "j"]), run, "head long, i int, j int, nodes array<long>, bits binary")
 
 
 def verified(tile_rows: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     """(node, other, links): exact link counts of a tile (other null) and a spanning forest of its links (links 0)."""
-    members = tile_rows.select("bucket", "i", "j", F.posexplode("nodes").alias("at", "node"), "bits").withColumn("bits", F.when(F.col("at") == 0, F.col("bits")))
+    members = tile_rows.select("head", "i", "j", F.posexplode("nodes").alias("at", "node"), "bits").withColumn("bits", F.when(F.col("at") == 0, F.col("bits")))
 
     def run(batches):
-        for _, t in runs(batches, ["bucket", "i", "j"]):
+        for _, t in runs(batches, ["head", "i", "j"]):
             node = np.asarray(t["node"])
             each = [np.frombuffer(x, _U) for x in t["shingles"].to_pylist()]
             sizes = np.array([len(x) for x in each])
@@ -246,7 +257,7 @@ def verified(tile_rows: DataFrame, sets: DataFrame, threshold: float) -> DataFra
                 pairs = forest
                 yield {"node": [*node[hit].tolist(), *(p for p, _ in pairs)], "other": [*[None] * len(hit), *(q for _, q in pairs)], "links": [*links[hit].tolist(), *[0] * len(pairs)]}
 
-    return map_rows(dealt(members.join(sets, "node"), ["bucket", "i", "j"]), run, "node long, other long, links long")
+    return map_rows(dealt(members.join(sets, "node"), ["head", "i", "j"]), run, "node long, other long, links long")
 
 
 def components(edges: DataFrame) -> DataFrame:
