@@ -215,6 +215,15 @@ def test_templates_with_fields_recur(spark):
     assert lines.drop_templates(frame(spark, [])).count() == 0
 
 
+def test_a_leaf_holds_several_templates(spark):
+    names = ["anna", "anna", "bert", "bert", "carl", "dora", "emil", "fred"]
+    one, two = "we are pleased to tell you that {} has now joined the board", "we are pleased that all of {}'s old records were moved here"
+    rows = [(10 * j + k, t.format(w)) for j, t in enumerate((one, two)) for k, w in enumerate(names)]
+    rows += [(30 + k, "we are pleased " + " ".join(f"{c}{chr(97 + k)}" for c in "abcdefghi")) for k in range(4)]
+    got = {r.doc_id: r for r in lines.drop_templates(frame(spark, rows), every=True).collect()}
+    assert {i for i, r in got.items() if r.text} == {0, 10, 30, 31, 32, 33}
+
+
 # ---- op5 ----
 
 
