@@ -215,6 +215,14 @@ def test_templates_with_fields_recur(spark):
     assert lines.drop_templates(frame(spark, [])).count() == 0
 
 
+def test_every_exact_line_recurs(spark):
+    rows = [(k, f"Read more\n555 0100 2200\n\nown {chr(97 + k)}") for k in range(3)] + [(3, "555 0100 2201\nown d\n"), (4, "x x\nx x"), (None, "Read more"), (5, None)]
+    got = {r.doc_id: r for r in lines.drop_templates(frame(spark, rows), every=True).collect()}
+    assert got[0].text == rows[0][1] and got[1].text == "\nown b" and got[2].n_dropped == 2 and got[None].text == ""
+    assert [got[k].text for k in (3, 4, 5)] == [rows[3][1], "x x\nx x", None]
+    assert lines.drop_templates(frame(spark, []), every=True).count() == 0
+
+
 def test_a_leaf_holds_several_templates(spark):
     names = ["anna", "anna", "bert", "bert", "carl", "dora", "emil", "fred"]
     one, two = "we are pleased to tell you that {} has now joined the board", "we are pleased that all of {}'s old records were moved here"
