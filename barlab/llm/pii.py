@@ -192,8 +192,9 @@ _SPACED_AT = re.compile(r"(?<=[A-Za-z0-9])(?:\x20{1,2}@\x20{0,2}|@\x20{1,2})(?=(
 _IDENTIFIER = re.compile(r"[0-9._%+-]")
 _HINT_AT = re.compile(r"@\s|\s@")
 _HINT_BRACKET = re.compile(rf"[(\[{{<]\s{{0,3}}(?:{_AT_WORD}|{_DOT_WORD}|@|\.)\s{{0,3}}[)\]}}>]", re.I)
-_HINT_HOST = re.compile(r"at\s{1,3}[A-Za-z0-9-]{1,63}\.[A-Za-z0-9]|AT\s{1,3}[A-Za-z0-9-]{1,63}\.[A-Za-z0-9]")
+_HINT_HOST = re.compile(rf"\s{_AT_WORD}\s{{1,3}}[A-Za-z0-9-]{{1,63}}\.[A-Za-z0-9-]", re.I)
 _HINT_DIGITS = re.compile(rf"(?<!\w){_DIGIT_WORD}{_SEP}{_NUMBER_ITEM}{_SEP}{_NUMBER_ITEM}", re.I)
+_FOLDED_WORD = re.compile(r"[^\W_]+")
 _DOT_SET, _DIGIT_SET = frozenset(w.encode() for w in DOT_WORDS), frozenset(w.encode() for w in DIGIT_OF)
 
 
@@ -264,7 +265,8 @@ def disguised(text: str) -> bool:
         return True
     if ("@" in text and _HINT_AT.search(text)) or (any(c in text for c in "([{<") and _HINT_BRACKET.search(text)) or _HINT_HOST.search(text):
         return True
-    ws = words(text)
+    # Beyond ASCII, capitals, blanks and quotes are to be told apart from letters as the transducers do.
+    ws = words(text) if text.isascii() else [w.encode() for w in _FOLDED_WORD.findall(text.replace("İ", "i").casefold())]
     if not _DOT_SET.isdisjoint(ws) or (sum(map(_DIGIT_SET.__contains__, ws)) >= 2 and _HINT_DIGITS.search(text)):
         return True
     return bool(_DIGIT.search(text) and _LOOKALIKE.search(text))

@@ -122,6 +122,24 @@ def test_prose_gets_no_spans(text):
     assert all(not v for part in pii.spans_of(text) for v in part.values())
 
 
+@pytest.mark.parametrize("at", ["arroba", "At", "AROBASE", "aT", "at"])
+def test_spelled_at_before_a_written_host(at):
+    text = f"escribe a juan.perez {at} correo.example.com hoy"
+    assert [text[a:b] for a, b in pii.spans_of(text)[1]["email"]] == [f"juan.perez {at} correo.example.com"]
+
+
+def test_every_edit_has_a_hint():
+    rng, seen = random.Random(6), 0
+    parts = ["juan.perez", "j_1", "x", "mail.example.com", "ex.co", "a-b", "+", "(", ")", "[", "]", "@", ".", " ", "  ", "\n", "4111", "1l11", "O0", "é", "о", "​", ",", "-", "plus", "\xa0", "«", "»", "İ"]
+    parts += [c(w) for w in (*pii.AT_WORDS, *pii.DOT_WORDS, "one", "dos", "zéro", "oh", "fünf") for c in (str.lower, str.upper, str.title)]
+    for _ in range(100_000):
+        text = "".join(rng.choice(parts) + rng.choice(("", " ", " ")) for _ in range(rng.randrange(2, 10)))
+        if any(pii.Edited(text, f(text)).pieces for f in (pii.plain_characters, pii.at_signs, pii.dots, pii.digits)):
+            seen += 1
+            assert pii.disguised(text), text
+    assert seen > 1000
+
+
 def test_edits_map_back_exactly():
     rng = random.Random(4)
     for _ in range(500):
