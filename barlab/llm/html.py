@@ -7,9 +7,10 @@ damped by a logarithm that grows with the share of link text:
 
 with LCb and Cb of the body, and zeros counted as one. The density sum of a node adds the densities of its children. The
 node with the greatest sum is the core of the article; the least density on the path from the body to it is the
-threshold. The text is that of an article element on this path, or else of the highest node that the core can be widened
-to without a dense neighbour; there, nodes below the threshold that consist of links are left out. Elements that are no
-article by their tag or name are set aside before anything is measured.
+threshold. The text is that of an article element on this path, or else of the highest node in which a part that holds the
+core has a dense neighbour; there, nodes below the threshold that consist of links are left out. Elements that are no
+article by their tag or name are set aside before anything is measured; a name counts for nothing on an element with most
+of the page's text outside links, unless an article element stands elsewhere.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 from barlab.llm.common import map_rows
 
 #: Element names with a meaning in this operator.
-SKIPPED = frozenset("script style noscript template head title iframe object embed svg canvas math audio video select textarea button input option datalist".split())
+SKIPPED = frozenset("script style noscript template title iframe object embed svg canvas math audio video select textarea button input option datalist".split())
 CHROME = frozenset("nav header footer aside form menu dialog".split())
 BLOCKS = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul caption br".split()
@@ -45,17 +46,17 @@ _SPACE = re.compile(r"\s+")
 
 
 class Node:
-    __slots__ = ("tag", "chrome", "children", "parent", "chars", "tags", "link_chars", "link_tags", "density", "total")
+    __slots__ = ("tag", "chrome", "named", "children", "parent", "chars", "tags", "link_chars", "link_tags", "density", "total")
 
-    def __init__(self, tag: str, chrome: bool, parent: Node | None):
-        self.tag, self.chrome, self.parent = tag, chrome, parent
+    def __init__(self, tag: str, chrome: bool, parent: Node | None, named: bool = False):
+        self.tag, self.chrome, self.parent, self.named = tag, chrome or named, parent, named
         self.children: list[Node | str] = []
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.total = 0.0
 
 
 def is_chrome(tag: str, attrs: list[tuple[str, str | None]]) -> bool:
-    """Whether an element is no part of an article by its tag, or by a word of its class, id or role."""
+    """Whether an element is no part of an article by its tag, or hidden."""
     if tag in CHROME:
         return True
     if tag in ARTICLE_TAGS:
@@ -63,13 +64,18 @@ def is_chrome(tag: str, attrs: list[tuple[str, str | None]]) -> bool:
     for key, value in attrs:
         if key == "hidden" or (key == "aria-hidden" and value == "true"):
             return True
-        if key in ("class", "id", "role") and value and not CHROME_WORDS.isdisjoint(_NAME.split(value.lower())):
-            return True
         if key == "style" and value and "display:none" in value.replace(" ", "").lower():
             return True
     return False
 
 
+def is_named_chrome(tag: str, attrs: list[tuple[str, str | None]]) -> bool:
+    """Whether a word of its class, id or role says that an element is no part of an article."""
+    if tag in ARTICLE_TAGS:
+        return False
+    return any(key in ("class", "id", "role") and value and not CHROME_WORDS.isdisjoint(_NAME.split(value.lower())) for key, value in attrs)
+
+
 class Tree(HTMLParser):
     """Builds the tree of one page; closes what HTML lets authors leave open."""
 
@@ -78,6 +84,7 @@ class Tree(HTMLParser):
         self.root = self.at = Node("html", False, None)
         self.skip: str | None = None
         self.depth = 0
+        self.any_named = False
         self.opened: Counter[str] = Counter()
 
     def handle_starttag(self, tag: str, attrs) -> None:
@@ -88,7 +95,7 @@ class Tree(HTMLParser):
             if tag not in VOID:
                 self.skip, self.depth = tag, 1
             return
-        if tag in ("html", "body"):
+        if tag in ("html", "head", "body"):
             if tag == "body" and self.at is self.root:
                 self.open(tag, attrs)
             return
@@ -103,7 +110,9 @@ class Tree(HTMLParser):
             self.open(tag, attrs)
 
     def open(self, tag: str, attrs) -> None:
-        node = Node(tag, is_chrome(tag, attrs), self.at)
+        chrome = is_chrome(tag, attrs)
+        node = Node(tag, chrome, self.at, not chrome and is_named_chrome(tag, attrs))
+        self.any_named |= node.named
         self.at.children.append(node)
         self.at = node
         self.opened[tag] += 1
@@ -132,7 +141,7 @@ class Tree(HTMLParser):
                 self.depth -= 1
                 self.skip = self.skip if self.depth else None
             return
-        if tag in VOID or tag in ("html", "body"):
+        if tag in VOID or tag in ("html", "head", "body"):
             return
         self.end(tag, frozenset() if tag in BLOCKS else BLOCKS)
 
@@ -151,6 +160,23 @@ def in_order(root: Node) -> list[Node]:
     return out
 
 
+def spare(root: Node) -> None:
+    """Named chrome with most of the text outside links is none, unless an article element with text stands elsewhere."""
+    if any(n.tag in ("article", "main") and any(isinstance(c, Node) or c.strip() for c in n.children) for n in in_order(root)):
+        return
+    nodes, todo = [], [root]
+    while todo:
+        node = todo.pop()
+        nodes.append(node)
+        todo += [c for c in node.children if isinstance(c, Node) and c.tag != "a" and (c.named or not c.chrome)]
+    size: dict[int, int] = {}
+    for node in reversed(nodes):
+        size[id(node)] = sum(sum(map(len, c.split())) if isinstance(c, str) else size.get(id(c), 0) for c in node.children)
+    for node in nodes:
+        if node.named and 2 * size[id(node)] > size[id(root)]:
+            node.chrome = False
+
+
 def measure(root: Node) -> list[Node]:
     """Counts, densities and density sums of the nodes that are left once chrome is set aside."""
     nodes = in_order(root)
@@ -180,16 +206,15 @@ def main_node(root: Node) -> tuple[Node, float]:
     while path[-1].parent is not None:
         path.append(path[-1].parent)
     least = min(n.density for n in path)
-    # From the body down: the first node whose own tag says article, else the highest one whose siblings hold no dense text.
+    # From the body down: the first node whose own tag says article, else the highest one in which dense text stands beside the core's part.
     for node in reversed(path):
         if node.tag in ("article", "main"):
             return node, 0.0
     top = core
-    while top.parent is not None:
-        peers = [c for c in top.parent.children if isinstance(c, Node) and not c.chrome and c is not top]
-        if not any(p.link_chars * 2 < p.chars and (p.density >= least or p.tag in HEADINGS) for p in peers) and not any(isinstance(c, str) and c.strip() for c in top.parent.children):
-            break
-        top = top.parent
+    for part in path[:-1]:
+        peers = [c for c in part.parent.children if isinstance(c, Node) and not c.chrome and c is not part]
+        if any(p.link_chars * 2 < p.chars and (p.density >= least or p.tag in HEADINGS) for p in peers) or any(isinstance(c, str) and c.strip() for c in part.parent.children):
+            top = part.parent
     return top, least
 
 
@@ -217,6 +242,8 @@ def main_text(html: str | None) -> str:
     cut = _OPEN_TAG.search(html, html.rfind(">") + 1)  # a tag that never ends is none, and the parser would try it again and again
     tree.feed(html[: cut.start()] if cut else html)
     tree.close()
+    if tree.any_named:
+        spare(tree.root)
     node, least = main_node(tree.root)
     return text_of(node, least)
 

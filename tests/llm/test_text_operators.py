@@ -344,6 +344,24 @@ def test_main_text(page, text):
     assert html.main_text(page) == text
 
 
+PART = "{} part of the text, long enough to be dense."
+SECTIONS = [[PART.format(w)] * n for w, n in (("First", 8), ("Second", 2), ("Third", 2))]
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ("<body><ul>" + "<li><a href=x>Some other page</a>" * 20 + "</ul>" + "".join("<div><div class=in><p>" + "</p><p>".join(x) + "</p></div></div>" for x in SECTIONS), " ".join(y for x in SECTIONS for y in x)),
+        ("<html><head><title>T</title><meta charset=utf-8><body><p>All of the text.</p>", "All of the text."),
+        ("<head><title>T</title><p>All of the text.</p>", "All of the text."),
+        ("<div class='page widget'><h1>Head</h1><p>All of the text of this page, long enough.</p><p>More of it.</p></div><p>Imprint</p>", "Head All of the text of this page, long enough. More of it."),
+        ("<article><p>Short text.</p></article><div class=comments><p>A comment that is far longer than the article is.</p></div>", "Short text."),
+    ],
+)
+def test_no_article_text_is_lost(page, text):
+    assert html.main_text(page) == text
+
+
 def test_pages_of_the_corpus(spark):
     import html as entities
 
