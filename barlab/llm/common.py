@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from barlab.session import checkpoint, shared_dir
 
-#: Rows per Arrow batch between the JVM and Python: bounds a worker's memory when texts are very long.
-BATCH_ROWS = 256
+#: Rows and bytes per Arrow batch between the JVM and Python: bound a worker's memory when rows are very long.
+BATCH_ROWS, BATCH_BYTES = 256, 16 << 20
 
 #: Lower-cases A-Z, keeps digits, a-z and every byte of a non-ASCII character, and turns all other bytes into spaces.
 WORD_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -33,6 +33,7 @@ def map_rows(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[di
     from pyspark.sql.types import _parse_datatype_string
 
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     target = to_arrow_schema(_parse_datatype_string(schema))
 
     def run(batches):
@@ -51,6 +52,11 @@ def written(df: DataFrame) -> DataFrame:
     """``df`` as a Parquet table in the shared folder: cuts lineage, survives lost executors and is compressed."""
     path = f"{shared_dir(df.sparkSession)}/table-{uuid4().hex}"
     df.write.parquet(path)
+    return read_back(df, path)
+
+
+def read_back(df: DataFrame, path: str) -> DataFrame:
+    """The table at ``path``, to which ``df`` has been written."""
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barlab.llm import decontaminate, html, lines, near, pack, pii, quality, rules, shard, sql, toxicity
+from barlab.llm import decontaminate, html, lines, near, negatives, pack, pii, quality, ranked, rules, shard, sql, toxicity, vectors
 from barlab.llm.common import read
 
 
@@ -68,5 +68,20 @@ def op10_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_pii, op3_pack, op4_lines, op5_near, op6_html, op7_toxicity, op8_rules, op9_quality, op10_shard)}
+def op11_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every hundredth vector, by positives."""
+    return negatives.mine(read(spark, sf_dir, "embeddings"))
+
+
+def op12_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links, component and survivors of near-duplicate vectors."""
+    return vectors.link(read(spark, sf_dir, "embeddings"))
+
+
+def op13_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 best documents of every benchmark item."""
+    return ranked.rank(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_pii, op3_pack, op4_lines, op5_near, op6_html, op7_toxicity, op8_rules, op9_quality, op10_shard, op11_negatives, op12_vectors, op13_ranked)}
 ORACLES = {k: v for k, v in sql.ORACLES.items() if k in QUERIES}

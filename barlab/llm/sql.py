@@ -80,4 +80,49 @@ SELECT doc_id, new AS text, CAST(length(new) AS BIGINT) AS n_chars, n_lines, n_d
 ) AS r
 """
 
-ORACLES = {"op1_decontaminate": DECONTAMINATE, "op4_lines": LINES, "op8_rules": RULES}
+NEGATIVES = """
+WITH v AS (
+  SELECT DISTINCT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS q
+  FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+),
+scores AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id AS other, a.label = b.label AS same, CAST(list_inner_product(a.q, b.q) AS BIGINT) AS score
+  FROM v AS a JOIN v AS b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id
+),
+positives AS (SELECT anchor_id, other AS positive_id, score AS positive_score FROM scores WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other) <= 5)
+SELECT p.anchor_id, positive_id, CAST(row_number() OVER w AS INT) AS rank, other AS negative_id, positive_score, score AS negative_score
+FROM positives AS p JOIN scores AS s ON p.anchor_id = s.anchor_id AND NOT s.same AND 80 * positive_score <= 100 * score AND 100 * score <= 100 * positive_score
+WINDOW w AS (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, other)
+QUALIFY row_number() OVER w <= 5
+"""
+
+VECTORS = """
+WITH RECURSIVE v AS (
+  SELECT row_number() OVER () AS rid, vec_id, CASE WHEN embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0 THEN label END AS label,
+         list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e
+  FROM embeddings
+),
+links AS (SELECT a.rid, b.rid AS other FROM v AS a JOIN v AS b ON a.label = b.label AND a.rid <> b.rid WHERE list_cosine_similarity(a.e, b.e) >= 0.93),
+reach AS (SELECT rid, rid AS other FROM v UNION SELECT r.rid, l.other FROM reach AS r JOIN links AS l ON r.other = l.rid),
+least AS (SELECT r.rid, min(v.vec_id) AS component_id FROM reach AS r JOIN v ON r.other = v.rid GROUP BY r.rid),
+counts AS (SELECT rid, count(*) AS n FROM links GROUP BY rid)
+SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id IS NOT DISTINCT FROM component_id AS kept FROM v JOIN least USING (rid) LEFT JOIN counts USING (rid)
+"""
+
+RANKED = f"""
+WITH docs AS (SELECT row_number() OVER () AS rid, doc_id, {WORDS} AS ws FROM documents),
+items AS (SELECT row_number() OVER () AS iid, item_id, ws FROM (SELECT DISTINCT item_id, {WORDS} AS ws FROM benchmark) AS b),
+stats AS (SELECT count(*) AS total, CAST(sum(len(ws)) AS BIGINT) AS length FROM docs WHERE len(ws) > 0),
+tfs AS (SELECT rid, term, count(*) AS tf FROM (SELECT rid, unnest(ws) AS term FROM docs) AS d GROUP BY rid, term),
+wanted AS (SELECT iid, term, count(*) AS c FROM (SELECT iid, unnest(ws) AS term FROM items) AS i GROUP BY iid, term),
+weights AS (SELECT term, CAST(floor(1000 * ln((2 * total + 2) / CAST(2 * count(*) + 1 AS DOUBLE))) AS BIGINT) AS w FROM tfs, stats WHERE term IN (SELECT term FROM wanted) GROUP BY term, total),
+scored AS (
+  SELECT iid, d.rid, CAST(sum(c * w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + ((25 * len(d.ws) * total) // length))))) AS BIGINT) AS score
+  FROM wanted JOIN weights USING (term) JOIN tfs USING (term) JOIN docs AS d ON d.rid = tfs.rid, stats GROUP BY iid, d.rid
+)
+SELECT item_id, CAST(row_number() OVER w AS INT) AS rank, doc_id, score FROM scored JOIN items USING (iid) JOIN docs USING (rid) WHERE score > 0
+WINDOW w AS (PARTITION BY iid ORDER BY score DESC, doc_id NULLS LAST)
+QUALIFY row_number() OVER w <= 20
+"""
+
+ORACLES = {"op1_decontaminate": DECONTAMINATE, "op4_lines": LINES, "op8_rules": RULES, "op11_negatives": NEGATIVES, "op12_vectors": VECTORS, "op13_ranked": RANKED}
