@@ -17,6 +17,7 @@ from barlab.operators import signals as SG
 from barlab.operators import specs as SP
 from barlab.plans import decisions as D
 from barlab.plans import inputs as I
+from barlab.plans import rulebook as RB
 from barlab.plans import strategies as S
 from barlab.plans import sweeps as SW
 from barlab.registry import oracle
@@ -281,31 +282,19 @@ def year_counts(spark, d):
     return B.year_counts(B.year_by_year(weekly_positions(spark, d), by, down="sp500_down_year"), by)
 
 
-RULE_SQL = [*I.BARS,
-    "rsym AS (SELECT DISTINCT symbol FROM bars)",
-    """rc AS (SELECT symbol || '_ma_' || f || '_' || s AS candidate_id, symbol, 'ma_crossover' AS rule, f, s, CAST(NULL AS INTEGER) AS m, CAST(NULL AS DOUBLE) AS thr FROM rsym, (SELECT unnest([3, 5, 8, 10, 12, 15, 18, 20]) AS f), (SELECT unnest([10, 20, 30, 40, 60, 90, 120, 150]) AS s) WHERE f < s
-      UNION ALL SELECT symbol || '_mom_' || m || '_' || CAST(round(t * 100) AS INTEGER), symbol, 'momentum_threshold', NULL, NULL, m, t FROM rsym, (SELECT unnest([5, 10, 20, 60]) AS m), (SELECT unnest([-0.02e0, 0e0, 0.02e0, 0.05e0]) AS t))""",
-    "rsp AS (SELECT symbol AS s0, symbol || CASE WHEN ts <= DATE '1998-12-31' THEN 'train' ELSE 'validation' END AS symbol, CASE WHEN ts <= DATE '1998-12-31' THEN 'train' ELSE 'validation' END AS period, ts, close FROM bars WHERE ts <= DATE '2000-12-31')",
-    "rin AS (SELECT *, " + ", ".join(f"{G('AVG(close) {w}', 'close', n)} AS s{n}" for n in SW.rule_windows()[0]) + ", " + ", ".join(f"{PCT('close', n)} AS m{n}" for n in SW.rule_windows()[1]) + " FROM rsp)",
-    "rlong AS (" + " UNION ALL ".join(f"SELECT s0, period, ts, {n} AS n, s{n} AS v FROM rin" for n in SW.rule_windows()[0]) + ")",
-    "rmlong AS (" + " UNION ALL ".join(f"SELECT s0, period, ts, close, {n} AS n, m{n} AS v FROM rin" for n in SW.rule_windows()[1]) + ")",
-    """rsig AS (SELECT c.candidate_id, c.rule, a.period, a.ts, x.close, CASE WHEN a.v > b.v THEN 1 ELSE 0 END AS signal FROM rc AS c JOIN rlong AS a ON a.s0 = c.symbol AND a.n = c.f JOIN rlong AS b ON b.s0 = c.symbol AND b.n = c.s AND b.ts = a.ts JOIN rin AS x ON x.s0 = c.symbol AND x.ts = a.ts
-       UNION ALL SELECT c.candidate_id, c.rule, a.period, a.ts, a.close, CASE WHEN a.v > c.thr THEN 1 ELSE 0 END FROM rc AS c JOIN rmlong AS a ON a.s0 = c.symbol AND a.n = c.m)""",
-    "rp1 AS (SELECT candidate_id || '/' || period AS symbol, candidate_id, rule, period, ts, close, signal FROM rsig)",
-    f"rp2 AS (SELECT *, CAST(coalesce(lag(signal) OVER {O}, 0) AS DOUBLE) AS position, coalesce(close / lag(close) OVER {O} - 1, 0) AS r FROM rp1)",
-    f"rp3 AS (SELECT *, position * r - coalesce(abs(position - lag(position) OVER {O}), abs(position)) * {COST}e0 AS x FROM rp2)",
-    f"rpos AS (SELECT *, 10000 * product(1 + x) OVER {CUM} AS equity FROM rp3)",
-    *tp_sql("rpos", "rt"),
-    f"re1 AS (SELECT symbol, candidate_id, rule, period, ts, equity, CASE WHEN lag(equity) OVER {O} IS NULL THEN 0 ELSE x END AS ret, equity / MAX(equity) OVER {CUM} - 1 AS dd FROM rpos)",
-    "re2 AS (SELECT symbol, candidate_id, rule, period, COUNT(*) AS n, arg_max(equity, ts) AS f, MIN(dd) AS mdd, AVG((ret <> 0)::INT::DOUBLE) AS af FROM re1 GROUP BY 1, 2, 3, 4)",
-    "rtc AS (SELECT symbol, COUNT(*) AS t FROM rt GROUP BY 1)",
-    "re3 AS (SELECT re2.*, pow(f / 10000, 252e0 / n) - 1 AS cagr, coalesce(t, 0) / (n / 252e0) AS tpy FROM re2 LEFT JOIN rtc USING (symbol))",
+RULE_BASE = [*FEAT, "rsym AS (SELECT DISTINCT symbol FROM bars)", RB.grid_sql("rc", "rsym", SW.RULE_SPACE, SP.RULE_VALID)]
+RULE_SQL = [*RULE_BASE,
+    """rsp AS (SELECT symbol AS s0, symbol || CASE WHEN ts <= DATE '1998-12-31' THEN 'train' ELSE 'validation' END AS symbol, CASE WHEN ts <= DATE '1998-12-31' THEN 'train' ELSE 'validation' END AS period,
+       ts, close, """ + ", ".join(D.FEATURES) + " FROM daily_features WHERE ts <= DATE '2000-12-31')",
+    *RB.store_sql(RB.keys_of(SW.RULE_SPACE), "rsp", D.FEATURES), *RB.signal_sql("rc", "rsp"), *RB.equity_sql(COST),
+    f"re1 AS (SELECT *, CASE WHEN lag(equity) OVER {O} IS NOT NULL THEN step - 1 END AS ret, equity / MAX(equity) OVER {CUM} - 1 AS dd, CASE WHEN position <> 0 AND sign(position) <> sign(prev) THEN 1 ELSE 0 END AS entry FROM rpos)",
+    "re2 AS (SELECT candidate_id, period, COUNT(*) AS n, arg_max(equity, ts) AS f, MIN(dd) AS mdd, AVG((coalesce(ret, 0) <> 0)::INT::DOUBLE) AS af, SUM(entry) AS t FROM re1 GROUP BY 1, 2)",
+    "re3 AS (SELECT *, pow(f / 10000, 252e0 / n) - 1 AS cagr, t / (n / 252e0) AS tpy FROM re2)",
     "re4 AS (SELECT *, CASE WHEN mdd < 0 THEN cagr / abs(mdd) ELSE 0 END AS calmar FROM re3)",
     "rny AS (SELECT candidate_id, COUNT(*) FILTER (b < a) AS ny FROM (SELECT candidate_id, year(ts) AS y, arg_min(equity, ts) AS a, arg_max(equity, ts) AS b FROM rpos WHERE period = 'validation' GROUP BY 1, 2) GROUP BY 1)",
-    """rw AS (SELECT candidate_id, CASE WHEN MIN(rule) = 'ma_crossover' THEN 2 ELSE 1 END AS feature_count, """ + ", ".join(
-        f"MAX({c}) FILTER (period = '{p}') AS {p}_{n}" for p in ("train", "validation") for c, n in (("calmar", "calmar"), ("cagr", "cagr"), ("mdd", "mdd")))
-    + """, MAX(tpy) FILTER (period = 'train') AS trades_per_year, MAX(af) FILTER (period = 'train') AS long_fraction FROM re4 GROUP BY 1)""",
-    "rrow AS (SELECT rw.*, coalesce(ny, 0) AS validation_negative_years FROM rw LEFT JOIN rny USING (candidate_id))",
+    "rw AS (SELECT candidate_id, " + ", ".join(f"MAX({c}) FILTER (period = '{p}') AS {p}_{c}" for p in ("train", "validation") for c in ("calmar", "cagr", "mdd"))
+    + ", MAX(tpy) FILTER (period = 'train') AS trades_per_year, MAX(af) FILTER (period = 'train') AS long_fraction FROM re4 GROUP BY 1)",
+    "rrow AS (SELECT rw.*, rule, feature_count, coalesce(ny, 0) AS validation_negative_years FROM rw JOIN rc USING (candidate_id) LEFT JOIN rny USING (candidate_id))",
 ]
 GATE_CHECKS = [
     ("train_calmar", "train_calmar < 1.25"), ("validation_calmar", "validation_calmar < 1.25"), ("train_calmar_too_high", "train_calmar > 8"),
@@ -324,38 +313,27 @@ def gate_sql(src):
           - greatest(0, abs(train_mdd) - 0.3) * 3 - greatest(0, abs(validation_mdd) - 0.3) * 3 - validation_negative_years * 0.8 AS survival_score FROM gt1)"""]
 
 
-GATE_OUT = "s:candidate_id f:train_calmar f:validation_calmar f:train_cagr f:validation_cagr f:train_mdd f:validation_mdd f:trades_per_year f:long_fraction i:validation_negative_years i:feature_count i:robust_passes i:robust_total s:rejection_reason b:accepted f:survival_score"
+GATE_OUT = "s:candidate_id s:rule f:train_calmar f:validation_calmar f:train_cagr f:validation_cagr f:train_mdd f:validation_mdd f:trades_per_year f:long_fraction i:validation_negative_years i:feature_count i:robust_passes i:robust_total s:rejection_reason b:accepted f:survival_score"
 GATE_COLS = [x.split(":")[1] for x in GATE_OUT.split()]
 
 
 @query("eval_rule_candidates", oracle(GATE_OUT, RULE_SQL, gate_sql("rrow"), "SELECT * FROM gt"))
 def eval_rule_candidates(spark, d):
-    """Rule sweep of every symbol in one job."""
-    return SW.evaluate_rules(I.bars(spark, d), SW.rule_candidates(spark, d), COST).select(GATE_COLS)
-
-
-@query("grid_sweep", oracle("s:candidate_id f:total_return_pct f:max_drawdown_pct f:sharpe f:score", [*I.BARS, RULE_SQL[2], RULE_SQL[3],
-    "gin AS (SELECT symbol AS s0, symbol, ts, close, " + ", ".join(f"{G('AVG(close) {w}', 'close', n)} AS s{n}" for n in SW.rule_windows()[0]) + " FROM bars)",
-    "glong AS (" + " UNION ALL ".join(f"SELECT s0, ts, {n} AS n, s{n} AS v FROM gin" for n in SW.rule_windows()[0]) + ")",
-    "g1 AS (SELECT c.candidate_id AS symbol, a.ts, x.close, CASE WHEN a.v > b.v THEN 1 ELSE 0 END AS signal FROM rc AS c JOIN glong AS a ON a.s0 = c.symbol AND a.n = c.f JOIN glong AS b ON b.s0 = c.symbol AND b.n = c.s AND b.ts = a.ts JOIN gin AS x ON x.s0 = c.symbol AND x.ts = a.ts WHERE c.rule = 'ma_crossover')",
-    f"g2 AS (SELECT *, coalesce(lag(signal) OVER {O}, 0) AS position, lead(ts) OVER {O} IS NULL AS fin FROM g1)",
-    f"g3 AS (SELECT *, coalesce(lag(position) OVER {O}, 0) AS prev, close / lag(close) OVER {O} AS mv FROM g2)",
-    f"g4 AS (SELECT *, (CASE WHEN position = 1 AND prev = 0 THEN 1 / (1 + {COST}e0) WHEN position = 1 THEN mv WHEN prev = 1 THEN mv * (1 - {COST}e0) ELSE 1e0 END) * (CASE WHEN fin AND position = 1 THEN 1 - {COST}e0 ELSE 1e0 END) AS step FROM g3)",
-    f"g5 AS (SELECT *, 10000 * product(step) OVER {CUM} AS equity FROM g4)",
-    f"g6 AS (SELECT *, equity / lag(equity) OVER {O} - 1 AS ret, equity / MAX(equity) OVER {CUM} - 1 AS dd FROM g5)"],
-    "g7 AS (SELECT symbol AS candidate_id, (arg_max(equity, ts) / 10000 - 1) * 100 AS total_return_pct, MIN(dd) * 100 AS max_drawdown_pct, CASE WHEN stddev_pop(ret) > 1e-15 THEN AVG(ret) / stddev_pop(ret) * sqrt(252e0) ELSE 0 END AS sharpe FROM g6 GROUP BY 1)",
+    """Sweep over all rule families and symbols in one job."""
+    return SW.evaluate_rules(D.featured(spark, d, None), SW.rule_candidates(spark, d), COST).select(GATE_COLS)
+
+
+@query("grid_sweep", oracle("s:candidate_id s:rule f:total_return_pct f:max_drawdown_pct f:sharpe f:score", [*RULE_BASE,
+    f"rsp AS (SELECT symbol AS s0, symbol, 'all' AS period, ts, close, {', '.join(D.FEATURES)} FROM daily_features)",
+    *RB.store_sql(RB.keys_of(SW.RULE_SPACE), "rsp", D.FEATURES), *RB.signal_sql("rc", "rsp"), *RB.equity_sql(COST),
+    f"g6 AS (SELECT *, equity / lag(equity) OVER {O} - 1 AS ret, equity / MAX(equity) OVER {CUM} - 1 AS dd FROM rpos)"],
+    "g7 AS (SELECT candidate_id, rule, (arg_max(equity, ts) / 10000 - 1) * 100 AS total_return_pct, MIN(dd) * 100 AS max_drawdown_pct, CASE WHEN stddev_pop(ret) > 1e-15 THEN AVG(ret) / stddev_pop(ret) * sqrt(252e0) ELSE 0 END AS sharpe FROM g6 GROUP BY 1, 2)",
     "SELECT *, total_return_pct + max_drawdown_pct + sharpe AS score FROM g7"))
 def grid_sweep(spark, d):
-    """Every crossover parameter row backtested on its symbol's bars in one job."""
-    b = I.bars(spark, d)
-    cands = SW.rule_candidates(spark, d).where("rule = 'ma_crossover'")
-    wins, _ = SW.rule_windows()
-    sma = F.create_map(*[x for n in wins for x in (F.lit(n), F.col(f"_s{n}"))])
-    ind = b.withColumns({f"_s{n}": R.mean("close", n) for n in wins}).select("symbol", "ts", "close", sma.alias("sma"))
-    j = S.on_series(cands, ind).select("candidate_id", "ts", "close", SG.on(F.col("sma")[F.col("fast_window")] > F.col("sma")[F.col("slow_window")]).alias("signal"))
-    by = ("candidate_id",)
-    run = B.long_cash(j, "signal", COST, by)
-    return B.metrics_equity(run, by).select("candidate_id", "total_return_pct", "max_drawdown_pct", "sharpe", "score")
+    """Every parameter row of every rule backtested on its symbol's bars in one job."""
+    rows = RB.signal_rows(D.featured(spark, d, None).withColumn("period", F.lit("all")), SW.rule_candidates(spark, d))
+    run = RB.equity_rows(rows, COST)
+    return B.metrics_equity(run, ("candidate_id", "rule")).select("candidate_id", "rule", "total_return_pct", "max_drawdown_pct", "sharpe", "score")
 
 
 ANN_EV = ["acm AS (" + CONF_AGG + ")",

@@ -14,6 +14,7 @@ from barlab.operators import specs as SP
 from barlab.operators import votes as V
 from barlab.plans import decisions as D
 from barlab.plans import inputs as I
+from barlab.plans import rulebook as RB
 from barlab.plans import strategies as S
 
 SELECTORS = ("mom_4", "mom_13", "mom_26", "mom_52", "low_vol_13w")
@@ -134,54 +135,40 @@ def evaluate_positions(pos: DataFrame, ppy: float, floor: float = 0.10) -> DataF
 
 # --- daily rule sweep -------------------------------------------------------------------------
 
+#: Parameter lists of the daily rules.
+RULE_SPACE: dict[str, tuple] = {
+    "fast_window": (3, 5, 8, 10, 12, 15, 18, 20), "slow_window": (10, 20, 30, 40, 60, 90, 120, 150),
+    "momentum_window": (5, 10, 20, 60), "threshold": (-0.02, 0.0, 0.02, 0.05),
+    "reversion_window": (10, 20, 60), "entry_zscore": (0.5, 1.0, 1.5), "exit_zscore": (0.0, 0.5),
+    "rsi_window": (7, 14), "rsi_buy": (25.0, 35.0), "rsi_sell": (55.0, 65.0),
+    "breakout_window": (20, 55, 120), "exit_window": (10, 20, 60),
+    "volatility_window": (20, 60), "volatility_quantile": (0.5, 0.7),
+    "fast_return_window": (5, 20), "slow_return_window": (60, 120), "risk_window": (20, 60), "score_threshold": (0.0, 1.0),
+    "feature_name": D.FEATURES, "feature_threshold": (0.0, 0.02), "feature_z_window": (60, 252), "feature_z_threshold": (0.31, 1.05),
+}
+
+
 def rule_space() -> dict[str, Column]:
-    return {
-        "fast_window": SP.ints((3, 5, 8, 10, 12, 15, 18, 20)), "slow_window": SP.ints((10, 20, 30, 40, 60, 90, 120, 150)),
-        "momentum_window": SP.ints((5, 10, 20, 60)), "threshold": SP.floats((-0.02, 0.0, 0.02, 0.05)),
-    }
+    kinds = {int: SP.ints, float: SP.floats, str: lambda v: F.array(*[F.lit(x) for x in v])}
+    return {k: kinds[type(v[0])](v) for k, v in RULE_SPACE.items()}
 
 
 def rule_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Moving-average and momentum grids per symbol of the bar table."""
+    """The grid of every rule family for each symbol of the bar table."""
     sym = I.bars(spark, sf_dir).select("symbol").distinct()
-    g = SP.rule_grid(sym, {k: v for k, v in rule_space().items()})
-    g = g.where("rule IN ('ma_crossover', 'momentum_threshold')")
-    ident = F.concat_ws("_", "symbol", F.when(F.col("rule") == "ma_crossover", "ma").otherwise("mom"),
-                        F.coalesce("fast_window", "momentum_window").cast("string"),
-                        F.coalesce(F.col("slow_window").cast("string"), F.round(F.col("threshold") * 100).cast("int").cast("string")))
-    return g.withColumn("candidate_id", ident).select("candidate_id", "symbol", "rule", "fast_window", "slow_window", "momentum_window", "threshold")
+    g = SP.rule_grid(sym, rule_space())
+    return RB.with_keys(g).withColumn("candidate_id", RB.identity(g)).select("candidate_id", "symbol", "rule", "feature_count", *RB.SLOTS, "p", "q")
 
 
-def rule_signal_rows(bars: DataFrame, cands: DataFrame, windows, moms) -> DataFrame:
-    """Signals of every candidate per split period.
+def evaluate_rules(bars: DataFrame, cands: DataFrame, cost: float = 0.0002) -> DataFrame:
+    """One leaderboard row per rule candidate: train and validation metrics, gates and score.
 
-    Indicators for the distinct windows are computed once per symbol and period (indicators restart at
-    the split), then looked up by each candidate through a map.
+    ``bars`` hold close and the feature columns that candidates name; indicators restart at the split.
     """
-    by = ("symbol", "period")
-    split = S.split_periods(bars)
-    sma = F.create_map(*[x for n in windows for x in (F.lit(n), F.col(f"_s{n}"))])
-    mom = F.create_map(*[x for n in moms for x in (F.lit(n), F.col(f"_m{n}"))])
-    ind = split.withColumns({f"_s{n}": R.mean("close", n, by=by) for n in windows} | {f"_m{n}": R.pct_change("close", n, by) for n in moms})
-    ind = ind.select("symbol", "period", "ts", "close", sma.alias("sma"), mom.alias("mom"))
-    j = S.on_series(cands, ind)
-    up = F.when(F.col("rule") == "ma_crossover", F.col("sma")[F.col("fast_window")] > F.col("sma")[F.col("slow_window")]).otherwise(
-        F.col("mom")[F.col("momentum_window")] > F.col("threshold"))
-    return j.select("candidate_id", "symbol", "rule", "period", "ts", "close", SG.on(up).alias("signal"))
-
-
-def rule_windows() -> tuple[list[int], list[int]]:
-    return sorted({3, 5, 8, 10, 12, 15, 18, 20, 30, 40, 60, 90, 120, 150}), [5, 10, 20, 60]
-
-
-def evaluate_rules(bars: DataFrame, cands: DataFrame, cost: float = 0.0002) -> DataFrame:
-    """One leaderboard row per rule candidate: train and validation metrics, gates and score."""
     from barlab.operators import gates as GT
 
-    rows = rule_signal_rows(bars, cands, *rule_windows())
-    run = B.returns_backtest(rows, cost=cost, by=("candidate_id", "period"))
-    m = rule_metrics(run).join(cands.select("candidate_id", "rule"), "candidate_id")
-    m = m.withColumn("feature_count", F.when(F.col("rule") == "ma_crossover", 2).otherwise(1))
+    run = RB.equity_rows(RB.signal_rows(S.split_periods(bars), cands), cost)
+    m = rule_metrics(run).join(cands.select("candidate_id", "rule", "feature_count"), "candidate_id")
     return GT.survival_gate(m)
 
 
