@@ -12,6 +12,7 @@ from barlab.operators import quality as Q
 from barlab.operators import search as SE
 from barlab.operators import specs as SP
 from barlab.plans import boards as BD
+from barlab.plans import daily as DL
 from barlab.plans import decisions as D
 from barlab.plans import inputs as I
 from barlab.plans import rounds as RD
@@ -199,16 +200,32 @@ def candidate_stream(spark, d):
     return SE.daily_candidates(cat, 300, 41)
 
 
+def daily_study(spark, d):
+    return DL.Study(D.featured(spark, d), D.FEATURES)
+
+
 @query("two_wave_adaptive")
 def two_wave_adaptive(spark, d):
-    """A quarter of the budget unguided, then the rest with spec weights learned from its scores."""
-    long = Q.melt(D.featured(spark, d).where("ts <= DATE'1998-12-31'"), ["ts"], D.FEATURES)
-    cat = SP.daily_catalog(long).select("spec", TX.daily_family(F.col("feature")).alias("family"))
-    first = SE.daily_candidates(cat, 100, 43)
-    parts = F.filter(F.flatten(F.array(*[F.split(F.coalesce(c, F.lit("")), ";") for c in ("feature_specs", "long_specs", "short_specs")])), lambda s: s != "")
-    rows = first.withColumns({"specs": parts, "candidate_id": F.sha1(F.concat_ws("/", "feature_specs", "long_specs", "short_specs")), "score": F.col("min_hold_days") * 1.0 - F.col("combo_size")})
-    learned = SE.spec_rewards(rows, cat, "score", 25, 25.0)
-    return first.unionByName(SE.daily_candidates(cat, 300, 47, learned))
+    """Walk-forward backtests of a first wave, then of a second with spec weights learned from its scores."""
+    return DL.adaptive(daily_study(spark, d), 120, 43).select(*DL.BOARD)
+
+
+@query("daily_bayesian")
+def daily_bayesian(spark, d):
+    """Expected improvement over pools of daily candidates, in rounds of backtests."""
+    return DL.bayesian(daily_study(spark, d), 100, 120_000).select(*DL.BOARD)
+
+
+@query("daily_bandit")
+def daily_bandit(spark, d):
+    """Batches of single-family candidates, allocated by upper confidence bounds."""
+    return DL.bandit(daily_study(spark, d), 120, 130_000).select(*DL.BOARD, "allocated_family")
+
+
+@query("daily_genetic")
+def daily_genetic(spark, d):
+    """Generations of daily candidates bred from the best backtests."""
+    return DL.genetic(daily_study(spark, d), 96, 140_000).select(*DL.BOARD)
 
 
 @query("ml_candidate_grid")

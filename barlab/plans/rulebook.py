@@ -127,19 +127,26 @@ def store(bars: DataFrame, keys: list[str]) -> DataFrame:
     return g.select(*BY, F.col("rows.ts").alias("days"), F.col("rows.close").alias("closes"), values.alias("values"))
 
 
-def signal_rows(bars: DataFrame, cands: DataFrame) -> DataFrame:
-    """(candidate_id, rule, period, ts, close, signal) of every candidate; ``cands`` come from ``with_keys``.
+def series_rows(bars: DataFrame, cands: DataFrame, slots) -> DataFrame:
+    """The rows of its symbol for every candidate: its own columns, period, ts, close and the indicators named by its ``slots``.
 
-    The keys that candidates name are values of the parameter lists, so they are few however many candidates there are.
+    The keys that candidates name are values of the parameter lists, so they are few however many candidates there are. A slot
+    without a key reads the close.
     """
-    keys = [r[0] for r in cands.select(F.explode(F.array_compact(F.array(*SLOTS))).alias("k")).distinct().orderBy("k").collect()]
+    keys = [r[0] for r in cands.select(F.explode(F.array_compact(F.array(*slots))).alias("k")).distinct().orderBy("k").collect()]
     sizes = cands.groupBy("symbol").agg(F.ceil(F.count("*") / PER_TASK).cast("int").alias("_salts"))
-    c = cands.select("candidate_id", "symbol", "rule", *SLOTS, "p", "q").join(sizes, "symbol").withColumn("_salt", F.pmod(F.xxhash64("candidate_id"), F.col("_salts")).cast("int"))
+    c = cands.join(sizes, "symbol").withColumn("_salt", F.pmod(F.xxhash64("candidate_id"), F.col("_salts")).cast("int"))
     s = store(bars, keys).join(sizes, "symbol").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.col("_salts") - 1)))
-    taken = [F.coalesce(F.element_at("values", F.col(k)), "closes").alias(k) for k in SLOTS]
+    own = [x for x in cands.columns if x not in (*slots, "symbol")]
+    taken = [F.coalesce(F.element_at("values", F.col(k)), "closes").alias(k) for k in slots]
     j = c.drop("_salts").join(s.drop("_salts"), ["symbol", "_salt"])
-    j = j.select("candidate_id", "rule", "period", "p", "q", F.arrays_zip(F.col("days").alias("ts"), F.col("closes").alias("close"), *taken).alias("rows"))
-    rows = j.repartition("candidate_id", "period").select("candidate_id", "rule", "period", "p", "q", F.inline("rows").alias("ts", "close", *SLOTS))
+    j = j.select(*own, "period", F.arrays_zip(F.col("days").alias("ts"), F.col("closes").alias("close"), *taken).alias("rows"))
+    return j.repartition("candidate_id", "period").select(*own, "period", F.inline("rows").alias("ts", "close", *slots))
+
+
+def signal_rows(bars: DataFrame, cands: DataFrame) -> DataFrame:
+    """(candidate_id, rule, period, ts, close, signal) of every candidate; ``cands`` come from ``with_keys``."""
+    rows = series_rows(bars, cands.select("candidate_id", "symbol", "rule", *SLOTS, "p", "q"), SLOTS)
     mark = F.lit(None).cast("int")
     for name, rule in RULES.items():
         on = F.expr(rule.on)
