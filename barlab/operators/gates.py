@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import math
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -315,43 +318,62 @@ def single_asset_guard(df: DataFrame, rules=("spy_long_short_always", "spy_long_
     return df.where(ok)
 
 
+#: Rows of one run that a task holds against the accepted rows; weights of the behaviour distance (fixed values).
+RUN_ROWS, TRADES_SCALE, NAV_SCALE = 100_000, 150.0, 5.0
+_DIVERSE = ("features", "long_fraction", "trades_per_year", "final_nav", "signature")
+
+
+def _alike(left: str, right: str, min_distance: float, min_behavior: float) -> dict[str, Column]:
+    """Why the row ``left`` may not stand beside the accepted row ``right``; both are struct columns."""
+    a, b = c(left), c(right)
+    both = F.size(F.array_intersect(a["features"], b["features"]))
+    far = 1.0 - both / F.greatest(F.lit(1), F.size(F.array_union(a["features"], b["features"])))
+    nav = lambda x: F.ln(F.greatest(x["final_nav"], F.lit(1e-9)))
+    gap = F.abs(a["long_fraction"] - b["long_fraction"]) + F.abs(a["trades_per_year"] - b["trades_per_year"]) / TRADES_SCALE + F.abs(nav(a) - nav(b)) / NAV_SCALE
+    return {
+        "feature_duplicate": F.coalesce(far < min_distance, F.lit(False)),
+        "feature_family_duplicate": a["_family"].eqNullSafe(b["_family"]),
+        "behavior_duplicate": a["signature"].eqNullSafe(b["signature"]) | F.coalesce(gap < min_behavior, F.lit(False)),
+    }
+
+
 def diversity(df: DataFrame, min_distance: float = 0.15, min_behavior: float = 0.02, by=("run",)) -> DataFrame:
     """Greedy pick in score order: enough feature distance, a new family signature and new behaviour.
 
-    The pass is order dependent, so each run's accepted-gate survivors go through one sequential task;
-    callers reduce to survivors first (gates), and runs are independent groups.
+    Rounds of local winners: the best open row of every family signature is a winner; the winners of a run are accepted in order up
+    to the first that conflicts with one before it, and open rows that conflict with accepted ones leave. A run accepts one row for
+    a signature at most, so its winners and accepted rows are few however many candidates it has; its rows are dealt over
+    tasks by count. Every verdict follows from the accepted rows before it. Ties go by candidate_id, then by row.
     """
-    import pandas as pd
-
-    schema = T.StructType([*df.schema.fields, T.StructField("verdict", T.StringType())])
-
-    def greedy(pdf: pd.DataFrame) -> pd.DataFrame:
-        import math
-
-        pdf = pdf.sort_values(["score", "candidate_id"], ascending=[False, True])
-        kept, verdicts = [], []
-        for r in pdf.itertuples():
-            feats, fam = frozenset(r.features), tuple(sorted(set(r.families)))
-            verdict = "accepted"
-            for f2, fam2, b2, s2 in kept:
-                if 1.0 - len(feats & f2) / max(1, len(feats | f2)) < min_distance:
-                    verdict = "feature_duplicate"
-                    break
-            if verdict == "accepted" and any(fam == fam2 for _, fam2, _, _ in kept):
-                verdict = "feature_family_duplicate"
-            if verdict == "accepted":
-                b = (r.long_fraction, r.trades_per_year, r.final_nav)
-                for _, _, b2, s2 in kept:
-                    nav = abs(math.log(max(b[2], 1e-9)) - math.log(max(b2[2], 1e-9))) / 5.0
-                    if r.signature == s2 or abs(b[0] - b2[0]) + abs(b[1] - b2[1]) / 150.0 + nav < min_behavior:
-                        verdict = "behavior_duplicate"
-                        break
-            if verdict == "accepted":
-                kept.append((feats, fam, (r.long_fraction, r.trades_per_year, r.final_nav), r.signature))
-            verdicts.append(verdict)
-        return pdf.assign(verdict=verdicts)
-
-    return df.groupBy(*by).applyInPandas(greedy, schema)
+    from barlab.session import checkpoint
+
+    by = list(by)
+    fields = [*_DIVERSE, "_family", "_row"]
+    order = F.struct(F.coalesce(-F.col("score").cast("double"), F.lit(math.inf)).alias("s"), F.col("candidate_id").cast("string").alias("i"), F.col("_row").alias("r"))
+    x = df.withColumns({"_row": F.monotonically_increasing_id(), "_family": F.array_join(F.array_sort(F.array_distinct("families")), ",")})
+    sizes = df.groupBy(*by).agg(F.ceil(F.count("*") / RUN_ROWS).cast("int").alias("_salts"))
+    x = checkpoint(x.withColumn("_order", order).join(sizes, by).withColumn("_salt", F.pmod(F.xxhash64("_row"), F.col("_salts")).cast("int")))
+    rows = x.select(*by, "_salts", "_salt", "_order", F.struct(*fields).alias("_one"))
+    whys = lambda one, two: _alike(one, two, min_distance, min_behavior)
+    clash = lambda one, two: reduce(lambda p, q: p | q, whys(one, two).values())
+    spread = lambda a: a.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.col("_salts") - 1))).select(*by, "_salt", F.col("_order").alias("_before"), F.col("_one").alias("_other"))
+    accepted, left = None, rows
+    while True:
+        best = left.groupBy(*by, F.col("_one._family").alias("_f")).agg(F.min_by(F.struct("_salts", "_salt", "_order", "_one"), "_order").alias("b")).select(*by, "b.*")
+        best = checkpoint(best.withColumn("_rank", F.row_number().over(Window.partitionBy(*by).orderBy("_order"))))
+        pairs = best.select(*by, "_rank", "_one").join(best.select(*by, F.col("_rank").alias("_earlier"), F.col("_one").alias("_other")), by).where("_earlier < _rank")
+        first = pairs.where(clash("_one", "_other")).groupBy(*by).agg(F.min("_rank").alias("_stop"))
+        fresh = checkpoint(best.join(first, by, "left").where(F.col("_stop").isNull() | (F.col("_rank") < F.col("_stop"))).select(*rows.columns))
+        if fresh.isEmpty():
+            break
+        accepted = fresh if accepted is None else accepted.unionByName(fresh)
+        left = checkpoint(left.join(spread(fresh), [*by, "_salt"], "left").groupBy("_one._row").agg(F.bool_or(F.coalesce(clash("_one", "_other"), F.lit(False))).alias("_gone"), F.any_value(F.struct(*rows.columns)).alias("_all")).where("NOT _gone").select("_all.*"))
+    if accepted is None:
+        return df.withColumn("verdict", F.lit(None).cast("string"))
+    seen = rows.join(spread(accepted).where("_other IS NOT NULL"), [*by, "_salt"], "left").withColumn("_after", F.coalesce(F.col("_before") < F.col("_order"), F.lit(False)))
+    flags = seen.groupBy(F.col("_one._row").alias("_row")).agg(*[F.bool_or(F.col("_after") & w).alias(n) for n, w in whys("_one", "_other").items()])
+    verdict = F.when(F.col("feature_duplicate"), "feature_duplicate").when(F.col("feature_family_duplicate"), "feature_family_duplicate").when(F.col("behavior_duplicate"), "behavior_duplicate").otherwise("accepted")
+    return x.join(flags, "_row").select(*df.columns, verdict.alias("verdict"))
 
 
 def best_by(df: DataFrame, *order: str) -> DataFrame:

@@ -307,6 +307,119 @@ def test_diversity_keeps_the_first_of_equals(spark):
     assert got == {"a": "accepted", "b": "feature_duplicate", "c": "accepted"}
 
 
+def plain_diversity(rows, min_distance=0.15, min_behavior=0.02):
+    """One loop over the rows of each run in score order."""
+    kept, out = {}, {}
+    for run, i, _, feats, fams, share, trades, nav, sig in sorted(rows, key=lambda r: (r[0], -r[2], r[1])):
+        mine, feats, fam, why = kept.setdefault(run, []), set(feats), tuple(sorted(set(fams))), "accepted"
+        if any(1 - len(feats & f) / max(1, len(feats | f)) < min_distance for f, *_ in mine):
+            why = "feature_duplicate"
+        elif any(fam == g for _, g, *_ in mine):
+            why = "feature_family_duplicate"
+        elif any(sig == t or abs(share - a) + abs(trades - b) / 150 + abs(math.log(nav) - math.log(n)) / 5 < min_behavior for _, _, a, b, n, t in mine):
+            why = "behavior_duplicate"
+        else:
+            mine.append((feats, fam, share, trades, nav, sig))
+        out[i] = why
+    return out
+
+
+def test_diversity_equals_a_plain_loop(spark, monkeypatch):
+    from barlab.operators import gates as GT
+
+    monkeypatch.setattr(GT, "RUN_ROWS", 60)
+    rng = np.random.default_rng(4)
+    rows = []
+    for k in range(500):
+        feats = sorted(rng.choice(list("abcdefgh"), rng.integers(1, 5), replace=False).tolist())
+        fams = sorted({"xyzw"["abcdefgh".index(f) % 4] for f in feats})
+        rows.append(("big" if k % 3 else f"run{k % 4}", f"c{k:03d}", float(rng.integers(0, 60)), feats, fams, float(rng.integers(0, 20)) / 20, float(rng.integers(1, 8) * 15), float(rng.integers(1, 5)), str(rng.integers(0, 40))))
+    df = spark.createDataFrame(rows, "run string, candidate_id string, score double, features array<string>, families array<string>, long_fraction double, trades_per_year double, final_nav double, signature string")
+    out = GT.diversity(df)
+    assert out.columns == [*df.columns, "verdict"]
+    got = {r.candidate_id: r.verdict for r in out.collect()}
+    assert got == plain_diversity(rows) and len(set(got.values())) == 4
+    assert GT.diversity(df.limit(0)).count() == 0
+
+
+def test_recursions_equal_pandas(spark):
+    """Long series, slow and fast decays, leading gaps, and a decay for each series."""
+    rng = np.random.default_rng(9)
+    n = 3000
+    pdf = pd.concat([pd.DataFrame({"symbol": s, "ts": pd.bdate_range("2000-01-03", periods=n), "close": 50 * np.exp(np.cumsum(rng.normal(0, 0.02, n))), "a": a}) for s, a in (("x", 0.9), ("y", 0.0), ("z", 0.05))])
+    df = spark.createDataFrame(pdf)
+    for span in (2, 20, 500):
+        got = RC.ema(df, "close", span, out="e").orderBy("symbol", "ts").toPandas()["e"]
+        want = pdf.groupby("symbol")["close"].transform(lambda v: v.ewm(span=span, adjust=False, min_periods=span).mean())  # noqa: B023
+        np.testing.assert_allclose(got, want, rtol=1e-9)
+    got = RC.ewma_vol(df.withColumn("r", R.pct_change("close")), "r", 20).orderBy("symbol", "ts").toPandas()["ewma_vol_20"]
+    want = pdf.groupby("symbol")["close"].transform(lambda v: v.pct_change().ewm(span=20, adjust=False, min_periods=20).std())
+    np.testing.assert_allclose(got, want, rtol=1e-7)
+    got = RC.exposure_smoothing(df.withColumn("v", F.sin("close")), "v", "a", ("symbol",)).orderBy("symbol", "ts").toPandas()["smoothed"]
+    want = []
+    for _, g in pdf.groupby("symbol"):
+        s = None
+        for x, a in zip(np.sin(g["close"]), g["a"]):
+            s = x if s is None else a * s + (1 - a) * x
+            want.append(min(1.0, max(-1.0, s)))
+    np.testing.assert_allclose(got, want, rtol=1e-9, atol=1e-12)
+
+
+def test_daily_scores_equal_plain_backtests(spark):
+    """Walk-forward rows of the search against a row-by-row walk in pandas."""
+    from barlab.plans import daily as DL
+
+    rng = np.random.default_rng(12)
+    ts = pd.bdate_range("1995-01-02", "2000-12-29")
+    pdf = pd.DataFrame({"symbol": "N", "ts": ts, "close": 50 * np.exp(np.cumsum(rng.normal(0.0025, 0.01, len(ts)))), "f1": rng.normal(size=len(ts)).cumsum() / 9, "f2": rng.normal(size=len(ts))})
+    study = DL.Study(spark.createDataFrame(pdf), ("f1", "f2"))
+    rows = [("spy_long_short_score", 2, 2, 5, "f1|zscore|0.00000000|60|-1;f2|threshold|0.10000000|0|1", 0.25, None, None, None, None),
+            ("spy_long_short_always", 2, 1, 3, None, None, "f1|threshold|0.20000000|0|1", "f2|zscore|0.50000000|20|1", 1, 1),
+            ("spy_long_short_always", 3, 3, 10, None, None, "f1|threshold|-0.10000000|0|-1", "f2|zscore|-0.50000000|20|-1;f1|zscore|0.00000000|60|1", 1, 1)]
+    types = "rule string, combo_size int, confirm_days int, min_hold_days int, feature_specs string, score_threshold double, long_specs string, short_specs string, long_min_votes int, short_min_votes int"
+    got = {(r.rule, r.combo_size): r for r in study.evaluate(spark.createDataFrame(rows, types)).collect()}
+
+    def z(v, w):
+        roll = v.rolling(w, min_periods=max(20, w // 4))
+        return (v - roll.mean()) / roll.std(ddof=0).replace(0, np.nan)
+
+    def votes(data, specs):
+        out = 0
+        for name, kind, level, w, way in (x.split("|") for x in specs.split(";")):
+            v = data[name] if kind == "threshold" else z(data[name], int(w))
+            out = out + ((v > float(level)) if int(way) > 0 else (v < float(level))).astype(int)
+        return out
+
+    def walk(data, r):
+        if r[0] == "spy_long_short_score":
+            parts = [x.split("|") for x in r[4].split(";")]
+            score = sum(int(p[4]) * z(data[p[0]], int(p[3]) or 120) for p in parts) / math.sqrt(len(parts))
+            want = np.where(score < -abs(r[5]), -1, 1)
+        else:
+            want = np.where((votes(data, r[7]) >= r[9]) & ~(votes(data, r[6]) >= r[8]), -1, 1)
+        side = pd.Series(RC.remember(want, r[2], r[3]), index=data.index).shift(1).fillna(1)
+        x = side * data["close"].pct_change().fillna(0) - side.diff().abs().fillna(side.abs()) * 0.0002
+        nav = (1 + x).cumprod()
+        mdd, years = (nav / nav.cummax() - 1).min(), len(data) / 252
+        cagr = nav.iloc[-1] ** (1 / years) - 1
+        return {"cagr": cagr, "mdd": mdd, "calmar": cagr / abs(mdd) if mdd < 0 else 0.0, "trades": (1 + (side.diff().abs() > 0).sum()) / years, "long": (side > 0).mean()}
+
+    parts = {"train": pdf[pdf.ts <= "1998-12-31"], "validation": pdf[pdf.ts >= "1999-01-01"]}
+    ran = 0
+    for r in rows:
+        row, m = got[r[0], r[1]], {p: walk(x.set_index("ts"), r) for p, x in parts.items()}
+        for p in parts:
+            assert [row[f"{p}_{c}"] for c in ("calmar", "cagr", "mdd")] == pytest.approx([m[p][c] for c in ("calmar", "cagr", "mdd")])
+        assert (row.trades_per_year, row.long_fraction) == pytest.approx((m["train"]["trades"], m["train"]["long"]))
+        early = m["train"]["calmar"] < 0.5 or m["train"]["mdd"] < -0.45 or not 4 <= m["train"]["trades"] <= 150
+        low = {p: -999.0 if early else min(walk(x.iloc[k].set_index("ts"), r)["calmar"] for k in np.array_split(np.arange(len(x)), 6)) for p, x in parts.items()}
+        ran += not early
+        assert [row[f"{p}_block_min_calmar"] for p in parts] == pytest.approx(list(low.values()))
+        want = 3 * m["train"]["calmar"] + m["validation"]["calmar"] + 0.8 * low["train"] + 0.4 * low["validation"] + row.robust_passes
+        assert row.score == pytest.approx(want)
+    assert ran
+
+
 def test_ridge_matches_numpy(spark):
     from barlab.operators import ml as M
 
