@@ -48,10 +48,10 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def written(df: DataFrame) -> DataFrame:
+def written(df: DataFrame, codec: str | None = None) -> DataFrame:
     """``df`` as a Parquet table in the shared folder: cuts lineage, survives lost executors and is compressed."""
     path = f"{shared_dir(df.sparkSession)}/table-{uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression=codec)
     return read_back(df, path)
 
 

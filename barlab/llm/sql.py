@@ -52,27 +52,41 @@ FROM counted
 LINES = """
 WITH docs AS (SELECT row_number() OVER () AS rid, doc_id, text, coalesce(doc_id, 9223372036854775807) AS ord, concat_ws('|', coalesce(CAST(doc_id AS VARCHAR), '-'), md5(text)) AS doc, string_split(text, chr(10)) AS ls FROM documents),
 split AS (
-  SELECT rid, doc, ord, i, list_transform(regexp_extract_all(ls[i], '[^ \t\n\x0B\f\r]+'), lambda t: CASE WHEN regexp_matches(t, '[0-9]') THEN '<*>' ELSE t END) AS toks
+  SELECT rid, doc, ord, i, ls[i] AS raw, list_transform(regexp_extract_all(ls[i], '[^ \t\n\x0B\f\r]+'), lambda t: CASE WHEN regexp_matches(t, '[0-9]') THEN '<*>' ELSE t END) AS toks
   FROM docs, unnest(range(1, len(ls) + 1)) AS t(i)
 ),
-lines AS (SELECT *, len(toks) AS n, array_to_string(toks[1:3], ' ') AS head, array_to_string(toks, ' ') AS line, len(list_filter(toks, lambda t: t = '<*>')) AS fields FROM split WHERE len(toks) >= 3),
-dist AS (SELECT n, head, line, any_value(fields) AS fields, any_value(toks) AS toks, min(doc) AS low, max(doc) AS high, min(ord) AS first FROM lines GROUP BY n, head, line),
-leaves AS (SELECT n, head, count(*) AS m FROM dist WHERE n >= 8 GROUP BY n, head HAVING count(*) > 1 AND min(low) <> max(high)),
+lines AS (SELECT *, len(toks) AS n, array_to_string(toks[1:3], ' ') AS head, array_to_string(toks, ' ') AS line, len(list_filter(toks, lambda t: t = '<*>')) AS fields FROM split WHERE len(toks) >= 1),
+same AS (SELECT raw, min(ord) AS first FROM lines GROUP BY raw HAVING min(doc) <> max(doc)),
+dist AS (SELECT n, head, line, any_value(fields) AS fields, any_value(toks) AS toks, min(doc) AS low, max(doc) AS high, min(ord) AS first FROM lines WHERE n >= 3 GROUP BY n, head, line),
+leaves AS (SELECT n, head, count(*) AS m FROM dist GROUP BY n, head HAVING count(*) > 1 AND min(low) <> max(high)),
 cells AS (SELECT dist.*, m, unnest(range(1, n + 1)) AS pos FROM dist JOIN leaves USING (n, head)),
-const AS (SELECT n, head, pos, toks[pos] AS token FROM cells WHERE toks[pos] <> '<*>' GROUP BY n, head, pos, toks[pos] HAVING 2 * count(*) > max(m)),
-shaped AS (
-  SELECT c.n, c.head, c.line, min(c.low) AS low, max(c.high) AS high, min(c.first) AS first
-  FROM cells AS c LEFT JOIN const AS k ON c.n = k.n AND c.head = k.head AND c.pos = k.pos AND c.toks[c.pos] = k.token
-  GROUP BY c.n, c.head, c.line HAVING 100 * count(k.token) >= 80 * (c.n - max(c.fields)) AND 2 * count(k.token) >= c.n
+const AS (SELECT n, head, pos, toks[pos] AS token, 2 * count(*) > max(m) AS common, min(low) <> max(high) AS supported FROM cells WHERE toks[pos] <> '<*>' GROUP BY n, head, pos, toks[pos] HAVING 2 * count(*) > max(m) OR min(low) <> max(high)),
+known AS (
+  SELECT c.n, c.head, c.line, min(c.low) AS low, max(c.high) AS high, min(c.first) AS first, c.n - max(c.fields) AS plain, count(*) FILTER (k.common) AS kept,
+         coalesce(list(c.pos || ':' || k.token ORDER BY c.pos) FILTER (k.supported), []) AS held
+  FROM cells AS c JOIN const AS k ON c.n = k.n AND c.head = k.head AND c.pos = k.pos AND c.toks[c.pos] = k.token GROUP BY c.n, c.head, c.line
 ),
+shaped AS (SELECT * FROM known WHERE 100 * kept >= 80 * plain AND 2 * kept >= n),
 shared AS (SELECT n, head, min(first) AS first FROM shaped GROUP BY n, head HAVING min(low) <> max(high)),
+keys AS (
+  SELECT n, head, line, low, high, first, array_to_string(held, ' ') AS key FROM known WHERE 100 * len(held) >= 80 * plain AND 2 * len(held) >= n
+  UNION ALL SELECT n, head, line, low, high, first, array_to_string(list_filter(held, lambda h: h <> held[j]), ' ') AS key
+  FROM known, unnest(range(1, len(held) + 1)) AS t(j) WHERE 100 * (len(held) - 1) >= 80 * plain AND 2 * (len(held) - 1) >= n
+),
+several AS (SELECT n, head, key, min(first) AS first FROM keys GROUP BY n, head, key HAVING min(low) <> max(high)),
 gone AS (
   SELECT n, head, line, min(first) AS first FROM (
     SELECT n, head, line, first FROM dist WHERE low <> high AND 2 * (n - fields) >= n
     UNION ALL SELECT s.n, s.head, s.line, h.first FROM shaped AS s JOIN shared AS h ON s.n = h.n AND s.head = h.head
+    UNION ALL SELECT k.n, k.head, k.line, s.first FROM keys AS k JOIN several AS s ON k.n = s.n AND k.head = s.head AND k.key = s.key
   ) AS u GROUP BY n, head, line
 ),
-lost AS (SELECT l.rid, list(l.i) AS nos FROM lines AS l JOIN gone AS g ON l.n = g.n AND l.head = g.head AND l.line = g.line WHERE l.ord <> g.first GROUP BY l.rid)
+lost AS (
+  SELECT rid, list(DISTINCT i) AS nos FROM (
+    SELECT l.rid, l.i FROM lines AS l JOIN gone AS g ON l.n = g.n AND l.head = g.head AND l.line = g.line WHERE l.ord <> g.first
+    UNION ALL SELECT l.rid, l.i FROM lines AS l JOIN same AS s ON l.raw = s.raw WHERE l.ord <> s.first AND (l.n < 3 OR 2 * (l.n - l.fields) < l.n)
+  ) AS u GROUP BY rid
+)
 SELECT doc_id, new AS text, CAST(length(new) AS BIGINT) AS n_chars, n_lines, n_dropped FROM (
   SELECT doc_id, CASE WHEN nos IS NULL THEN text ELSE array_to_string(list_transform(list_filter(range(1, len(ls) + 1), lambda i: NOT list_contains(nos, i)), lambda i: ls[i]), chr(10)) END AS new,
          CAST(coalesce(len(ls), 0) AS BIGINT) AS n_lines, CAST(coalesce(len(nos), 0) AS BIGINT) AS n_dropped
