@@ -62,3 +62,20 @@ def test_all_that_is_left_is_packed(spark, steps):
         got[r.doc_id] += r.length
     assert got == want
     assert P.run(spark, SF).count() == steps[5].count()
+
+
+ODD = [(1, None), (2, ""), (None, "alpha beta gamma delta epsilon zeta eta"), (4, "one two"), (4, "one two"), (4, "other text here"), (None, None), (5, "a line\n" * 3000)]
+
+
+@pytest.mark.parametrize("rows", [ODD, []])
+def test_stages_on_odd_rows(spark, rows):
+    """Nulls, repeated rows, ids that are shared, a long text, clashing names and an empty table go through every stage."""
+    docs = spark.createDataFrame([(i, t, "x", 7, 8, "y") for i, t in rows], "doc_id long, text string, whole string, n_lines int, n_dropped int, _row string")
+    for _, stage in P.STAGES[:-1]:
+        out = P.written(stage(spark, docs, SF))
+        assert out.columns == docs.columns and [f.dataType for f in out.schema] == [f.dataType for f in docs.schema]
+        got = Counter((r.doc_id, r.text) for r in out.collect())
+        assert {i for i, _ in got} <= {i for i, _ in rows} and {(r.whole, r.n_lines, r.n_dropped, r._row) for r in out.collect()} <= {("x", 7, 8, "y")}
+        docs = out
+    packed = P.STAGES[-1][1](spark, docs, SF)
+    assert packed.select("doc_id").distinct().count() == docs.select("doc_id").distinct().count()
