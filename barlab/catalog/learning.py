@@ -19,7 +19,7 @@ from barlab.plans import sweeps as SW
 from barlab.registry import oracle
 from barlab.registry import sharing_query as query
 
-COLS = D.FEATURES[:5]
+COLS = D.FEATURES
 
 
 def xy(spark, d):
@@ -119,11 +119,22 @@ def sweep(spark, d, n=60):
 
 @query("ml_sweep_eval")
 def ml_sweep_eval(spark, d):
-    """Many linear specs at once: one Gram matrix, per-spec solves, metrics and gates."""
-    m = M.sweep_metrics(sweep(spark, d))
+    """Many linear specs at once: one Gram matrix, per-spec solves, metrics, statistics and gates."""
+    scored = sweep(spark, d)
+    m = M.sweep_metrics(scored)
     w = SW.period_wide(m.withColumn("tpy", F.col("trades") / (F.col("periods") / 252.0)), "spec_id", ["calmar", "cagr", "mdd", "sharpe", "long_fraction", "tpy"])
-    w = w.withColumns({"long_fraction": F.col("train_long_fraction"), "trades_per_year": F.col("train_tpy"), "excess_pvalue": F.lit(0.0), "bootstrap_calmar_p05": F.lit(0.0)})
-    return GT.learning_gates(w).select("spec_id", "train_calmar", "validation_calmar", "train_sharpe", "validation_sharpe", "long_fraction", "trades_per_year", "rejection_reason")
+    w = w.withColumns({"long_fraction": F.col("train_long_fraction"), "trades_per_year": F.col("train_tpy")}).join(M.sweep_statistics(scored), "spec_id")
+    return GT.learning_gates(w).select("excess_pvalue", "bootstrap_calmar_p05", "spec_id", "train_calmar", "validation_calmar", "train_sharpe", "validation_sharpe", "long_fraction", "trades_per_year", "rejection_reason")
+
+
+@query("forest_classifier")
+def forest_classifier(spark, d):
+    return M.fit_classifier(xy(spark, d), COLS, "next_return", train(), "random_forest", n_estimators=16, max_depth=3, seed=7).select("ts", "score")
+
+
+@query("boosting_classifier")
+def boosting_classifier(spark, d):
+    return M.fit_classifier(xy(spark, d), COLS, "next_return", train(), "gradient_boosting", iterations=5, max_depth=2, seed=7).select("ts", "score")
 
 
 @query("feature_importance")

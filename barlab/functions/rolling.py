@@ -176,22 +176,18 @@ def prefix_sums(df: DataFrame, columns, n: int, powers=(1, 2), by=SERIES, order=
 
 
 def zscores(df: DataFrame, columns, n: int, mp: int | None = None, ddof: int = 0, by=SERIES, order="ts") -> DataFrame:
-    """Replace many columns by their rolling z-scores in linear time.
-
-    Columns become rows first, so the work spreads over series x columns and one small expression
-    serves them all; the result pivots back to the wide layout.
-    """
-    keys = [c for c in df.columns if c not in columns]
-    pairs = F.array(*[F.struct(F.lit(c).alias("_f"), F.col(c).cast("double").alias("_v")) for c in columns])
-    x = prefix_sums(df.select(*keys, F.inline(pairs)), ["_v"], n, (1, 2), (*by, "_f"), order)
-    k, s1, s2 = F.col("_n__v").cast("double"), F.col("_p1__v"), F.col("_p2__v")
-    mu = s1 / F.nullif(k, F.lit(0.0))
-    var = (s2 - s1 * mu) / F.when(k > ddof, k - ddof)
-    # a variance at the level of rounding noise counts as zero
-    sd = F.when(var > F.greatest(F.lit(1e-24), 1e-13 * s2 / F.nullif(k, F.lit(0.0))), F.sqrt(var))
-    z = F.when(k >= (n if mp is None else mp), (F.col("_v") - F.col("_c__v") - mu) / sd)
-    long = x.select(*keys, "_f", z.alias("_z"))
-    return long.groupBy(*keys).agg(*[F.max(F.when(F.col("_f") == c, F.col("_z"))).alias(c) for c in columns])
+    """Replace many columns by their rolling z-scores in linear time: running sums of all of them over one sort of each series."""
+    x = prefix_sums(df.withColumns({c: F.col(c).cast("double") for c in columns}), columns, n, (1, 2), by, order)
+
+    def z(c: str) -> Column:
+        k, s1, s2 = F.col(f"_n_{c}").cast("double"), F.col(f"_p1_{c}"), F.col(f"_p2_{c}")
+        mu = s1 / F.nullif(k, F.lit(0.0))
+        var = (s2 - s1 * mu) / F.when(k > ddof, k - ddof)
+        # a variance at the level of rounding noise counts as zero
+        sd = F.when(var > F.greatest(F.lit(1e-24), 1e-13 * s2 / F.nullif(k, F.lit(0.0))), F.sqrt(var))
+        return F.when(k >= (n if mp is None else mp), (F.col(c) - F.col(f"_c_{c}") - mu) / sd)
+
+    return x.select(*[z(c).alias(c) if c in columns else F.col(c) for c in df.columns])
 
 
 def bars_since(cond: Column, by=SERIES, order="ts", rn="rn") -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
@@ -130,6 +130,23 @@ def logistic(df: DataFrame, columns, y: str, train: Column, reg: float = 1.0) ->
     return out.withColumn("score", vector_to_array("_p")[1] - 0.5).drop("_x", "_p", "_hat", "_raw", "_label")
 
 
+CLASSIFIERS = {
+    "random_forest": lambda p: RandomForestClassifier(numTrees=int(p.get("n_estimators", 80)), maxDepth=int(p.get("max_depth", 3)), minInstancesPerNode=int(p.get("min_samples_leaf", 20)), seed=int(p.get("seed", 0))),
+    "gradient_boosting": lambda p: GBTClassifier(maxIter=int(p.get("iterations", 20)), maxDepth=int(p.get("max_depth", 3)), stepSize=float(p.get("learning_rate", 0.05)), seed=int(p.get("seed", 0))),
+}
+
+
+def fit_classifier(df: DataFrame, columns, y: str, train: Column, model: str, **params) -> DataFrame:
+    """Probability of a positive target minus one half from trees; a single class falls back to cosine weights."""
+    x = df.withColumn("_label", (F.col(y) > 0).cast("double"))
+    if x.where(train).agg(F.count_distinct("_label")).head()[0] < 2:
+        return corr_model(df, columns, y, train)
+    est = CLASSIFIERS[model](params).setFeaturesCol("_x").setLabelCol("_label").setProbabilityCol("_p").setPredictionCol("_hat").setRawPredictionCol("_raw")
+    v = _vector(x, columns)
+    out = est.fit(v.where(train & F.col(y).isNotNull())).transform(v)
+    return out.withColumn("score", vector_to_array("_p")[1] - 0.5).drop("_x", "_p", "_hat", "_raw", "_label")
+
+
 def importance(spark, fitted, columns) -> DataFrame:
     """Absolute importances or coefficients, normalised to one."""
     raw = fitted.featureImportances.toArray() if hasattr(fitted, "featureImportances") else fitted.coefficients.toArray()
@@ -180,6 +197,18 @@ def linear_sweep(xy: DataFrame, specs: DataFrame, columns, parts: int = 8) -> Da
     return w.join(rows, "_s").select("spec_id", "ts", dot.alias("score"), "next_return", "train")
 
 
+def sweep_statistics(scored: DataFrame, samples: int = 300, threshold: float = 0.0) -> DataFrame:
+    """(spec_id, excess_pvalue, bootstrap_calmar_p05) of the validation rows: the one-sided test of the mean excess over
+    the benchmark, and the fifth percentile of the Calmar over block resamples."""
+    from barlab.operators import robust as RB
+
+    pos = F.when(F.col("score") >= threshold, 1.0).otherwise(-1.0)
+    x = scored.where("period = 'validation'").withColumn("strategy_return", pos * F.col("next_return")).withColumn("excess", F.col("strategy_return") - F.col("next_return"))
+    boot = RB.bootstrap_samples(x.select(F.col("spec_id").alias("candidate_id"), F.col("ts").alias("timestamp"), F.lit("daily").alias("frequency"), "strategy_return"), samples)
+    low = boot.groupBy(F.col("candidate_id").alias("spec_id")).agg(F.percentile("calmar", 0.05).alias("bootstrap_calmar_p05"))
+    return RB.mean_pvalue(x, "excess", ("spec_id",)).withColumnRenamed("mean_pvalue", "excess_pvalue").join(low, "spec_id")
+
+
 def sweep_metrics(scored: DataFrame, by=("spec_id", "period"), threshold: float = 0.0) -> DataFrame:
     pos = F.when(F.col("score") >= threshold, 1.0).otherwise(-1.0)
     return B.metrics_next_returns(scored.withColumn("position", pos), "position", "next_return", list(by))

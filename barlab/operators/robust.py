@@ -345,13 +345,13 @@ def grouped_calmar(df: DataFrame, x: str, by, order: str) -> DataFrame:
     return g.select(*by, series_calmar(F.col("_f"), F.col("_n"), F.col("_d")).alias("calmar"))
 
 
-def shuffle_order(seed: int, shuffle: int, n: int) -> np.ndarray:
-    """Permutation of n rows: the order of integer keys mixed from row and shuffle number; shuffle 0 changes nothing."""
-    if shuffle == 0:
-        return np.arange(n)
-    x = (np.arange(1, n + 1, dtype=np.int64) * 7919 + shuffle * 104729 + seed * 1299709) % 2147483647
+def shuffle_orders(seed: int, shuffles: np.ndarray, n: int) -> np.ndarray:
+    """(shuffles x n) permutations: the order of integer keys mixed from row and shuffle number; shuffle 0 changes nothing."""
+    x = (np.arange(1, n + 1, dtype=np.int64) * 7919 + shuffles[:, None].astype(np.int64) * 104729 + seed * 1299709) % 2147483647
     x = (x * 48271) % 2147483647
-    return np.argsort((x * 48271) % 2147483647, kind="stable")
+    out = np.argsort((x * 48271) % 2147483647, axis=1, kind="stable")
+    out[shuffles == 0] = np.arange(n)
+    return out
 
 
 def row_calmar(paths: np.ndarray) -> np.ndarray:
@@ -365,9 +365,9 @@ def row_calmar(paths: np.ndarray) -> np.ndarray:
 
 
 def shuffled(df: DataFrame, shuffles: int, by, order: str, score, schema: str, batch: int = 50) -> DataFrame:
-    """``score(shuffle, positions, returns)`` for each series and shuffle number 0..shuffles.
+    """``score(shuffle numbers, positions, returns)`` for each series and batch of the numbers 0..shuffles.
 
-    A series (one row per period, bounded by the calendar) travels once per batch of shuffles; permuting is matrix work
+    A series (one row per period, bounded by the calendar) travels once per batch; the shuffles of a batch are one matrix
     inside the task, so nothing of size series x shuffles x rows is shuffled.
     """
     row = F.struct(order, F.coalesce("position", F.lit(0.0)).cast("double").alias("p"), F.coalesce("next_return", F.lit(0.0)).cast("double").alias("r"))
@@ -379,7 +379,7 @@ def shuffled(df: DataFrame, shuffles: int, by, order: str, score, schema: str, b
         for pdf in frames:
             for job in pdf.itertuples():
                 p, r = np.asarray(job.p, dtype=float), np.asarray(job.r, dtype=float)
-                out = pd.concat([score(k, p, r) for k in range(job.b0, min(job.b0 + batch, shuffles + 1))])
+                out = score(np.arange(job.b0, min(job.b0 + batch, shuffles + 1)), p, r)
                 for c in by:
                     out[c] = job.key[c]
                 yield out
@@ -390,8 +390,8 @@ def shuffled(df: DataFrame, shuffles: int, by, order: str, score, schema: str, b
 def permutation_pvalue(df: DataFrame, k: int = 300, seed: int = 101, by=("candidate_id",), order: str = "timestamp") -> DataFrame:
     """(shuffles at least as good + 1) / (k + 1) on Calmar."""
 
-    def score(shuffle: int, p: np.ndarray, r: np.ndarray) -> pd.DataFrame:
-        return pd.DataFrame({"shuffle": [shuffle], "calmar": row_calmar((p[shuffle_order(seed, shuffle, len(p))] * r)[None, :])})
+    def score(ks: np.ndarray, p: np.ndarray, r: np.ndarray) -> pd.DataFrame:
+        return pd.DataFrame({"shuffle": ks, "calmar": row_calmar(p[shuffle_orders(seed, ks, len(p))] * r)})
 
     c = shuffled(df, k, by, order, score, "shuffle int, calmar double")
     base = c.where("shuffle = 0").select(*by, F.col("calmar").alias("base"))
@@ -408,12 +408,11 @@ def pbo(df: DataFrame, shuffles: int = 300, splits: int = 8, seed: int = 202, by
     """
     splits += splits % 2
 
-    def score(shuffle: int, p: np.ndarray, r: np.ndarray) -> pd.DataFrame:
-        blocks = np.array_split(p[shuffle_order(seed, shuffle, len(p))] * r, splits)
+    def score(ks: np.ndarray, p: np.ndarray, r: np.ndarray) -> pd.DataFrame:
+        x, blocks, half = p[shuffle_orders(seed, ks, len(p))] * r, np.array_split(np.arange(len(p)), splits), splits // 2
+        side = lambda parts: row_calmar(x[:, np.concatenate(parts)]) if sum(map(len, parts)) else np.full(len(ks), np.nan)
         turned = [blocks[t:] + blocks[:t] for t in range(splits)]
-        side = lambda parts: row_calmar(np.concatenate(parts)[None, :])[0] if sum(map(len, parts)) else np.nan
-        half = splits // 2
-        return pd.DataFrame({"shuffle": shuffle, "rotation": range(splits), "i": [side(b[:half]) for b in turned], "o": [side(b[half:]) for b in turned]})
+        return pd.concat([pd.DataFrame({"shuffle": ks, "rotation": t, "i": side(b[:half]), "o": side(b[half:])}) for t, b in enumerate(turned)])
 
     w = shuffled(df, shuffles, by, order, score, "shuffle int, rotation int, i double, o double")
     w = w.withColumns({c: F.round(F.when(~F.isnan(c), F.col(c)), 9) for c in ("i", "o")})

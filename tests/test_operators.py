@@ -420,6 +420,44 @@ def test_daily_scores_equal_plain_backtests(spark):
     assert ran
 
 
+def test_audit_by_shuffles_equals_plain_loops(spark):
+    """Permutation test, overfitting share and bootstrap summary of daily rows, one shuffle or sample at a time."""
+    rng = np.random.default_rng(6)
+    n, k = 260, 12
+    pdf = pd.concat([pd.DataFrame({"candidate_id": c, "timestamp": pd.bdate_range("2000-01-03", periods=n), "position": rng.choice([-1.0, 0.0, 1.0], n), "next_return": rng.normal(0.001, 0.01, n)}) for c in "ab"])
+    pdf["strategy_return"], pdf["frequency"] = pdf.position * pdf.next_return, "daily"
+    df = spark.createDataFrame(pdf)
+
+    def calmar(x):
+        nav = np.cumprod(1 + x)
+        mdd = min(0.0, (nav / np.maximum.accumulate(nav) - 1).min())
+        return (nav[-1] ** (252 / len(x)) - 1) / abs(mdd) if mdd < -1e-12 else 999.0 if nav[-1] > 1 else 0.0
+
+    def order(seed, j):
+        keys = [((i * 7919 + j * 104729 + seed * 1299709) % 2147483647) * 48271 % 2147483647 * 48271 % 2147483647 for i in range(1, n + 1)]
+        return sorted(range(n), key=lambda i: (keys[i], i)) if j else range(n)
+
+    for c, g in pdf.groupby("candidate_id"):
+        p, r = g.position.to_numpy(), g.next_return.to_numpy()
+        scores = [round(calmar(p[list(order(101, j))] * r), 9) for j in range(k + 1)]
+        got = RB.permutation_pvalue(df, k, 101).where(F.col("candidate_id") == c).head()
+        assert got.pvalue == pytest.approx((sum(s >= scores[0] for s in scores[1:]) + 1) / (k + 1))
+        lost = []
+        for t in range(4):
+            sides = []
+            for j in range(k + 1):
+                b = np.array_split(p[list(order(202, j))] * r, 4)
+                b = b[t:] + b[:t]
+                sides.append((round(calmar(np.concatenate(b[:2])), 9), round(calmar(np.concatenate(b[2:])), 9)))
+            best = max(range(k + 1), key=lambda j: (sides[j][0], -j))
+            lost.append(np.mean([o <= sides[best][1] for _, o in sides]) <= 0.5)
+        assert RB.pbo(df, k, 4, 202).where(F.col("candidate_id") == c).head().pbo == pytest.approx(np.mean(lost))
+    samples = RB.bootstrap_samples(df, 30, batch=7).toPandas()
+    got = RB.bootstrap_summary(RB.bootstrap_samples(df, 30, batch=7)).toPandas().set_index("candidate_id")
+    for c, g in samples.groupby("candidate_id"):
+        assert got.loc[c, "bootstrap_cagr_p05"] == pytest.approx(np.quantile(g.cagr, 0.05)) and got.loc[c, "bootstrap_prob_cagr_positive"] == pytest.approx((g.cagr > 0).mean())
+
+
 def test_ridge_matches_numpy(spark):
     from barlab.operators import ml as M
 
