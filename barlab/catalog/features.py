@@ -429,10 +429,12 @@ def score_smooth(spark, d):
     return X.score_smooth(I.returns(I.bars(spark, d)), "r", 10).select("symbol", "ts", "r_smooth")
 
 
-PANEL_N = (5, 21, 63)
+PANEL_N, PAIR_N = X.FEATURE_WINDOWS, (21, 63, 126)
+PANEL_PAIRS = (("r_a", "R", "A"), ("a_n", "A", "N"))
 MP_COLS = ["range_high_low", "gap_overnight", "calendar_month", "calendar_turn_of_month"] + [
     f"{a}_{k}" for a in ("a", "r") for k in ["close_ratio", "ret_1"] + [f"{m}_{n}" for m in ("ret", "vol") for n in PANEL_N]] + [
-    f"base_vs_{a}_ret_{n}" for a in ("a", "r") for n in PANEL_N] + [f"base_{m}_{n}" for m in ("ret", "vol", "drawdown") for n in PANEL_N]
+    f"base_vs_{a}_ret_{n}" for a in ("a", "r") for n in PANEL_N] + [f"base_{m}_{n}" for m in ("ret", "vol", "drawdown") for n in PANEL_N] + [
+    f"{p}_{k}" for p, _, _ in PANEL_PAIRS for k in ["level", *[f"ret_{n}" for n in PAIR_N]]] + ["macro_value", "macro_change_63"]
 
 
 def _mp_asset(a):
@@ -448,15 +450,20 @@ def _mp_asset(a):
     """px AS (SELECT b.symbol, b.ts, q.open, q.high, q.low, q.close AS rc, b.close AS n, a.close AS a0, r.close AS r0
        FROM bars AS b JOIN raw_bars AS q ON q.symbol = b.symbol AND q.ts = b.ts
        LEFT JOIN bars AS a ON a.symbol = 'A' AND a.ts = b.ts LEFT JOIN bars AS r ON r.symbol = 'R' AND r.ts = b.ts WHERE b.symbol = 'N')""",
-    f"""pf AS (SELECT *, last_value(a0 IGNORE NULLS) OVER {CUM} AS a, last_value(r0 IGNORE NULLS) OVER {CUM} AS r FROM px)""",
-    f"""p1 AS (SELECT *, {PCT('a')} AS a1, {PCT('r')} AS r1, {PCT('n')} AS n1 FROM pf)""",
+    I.MACRO, """lagm AS (SELECT CAST(ts + INTERVAL 1 DAY * (CASE isodow(ts) WHEN 6 THEN 6 WHEN 7 THEN 5 ELSE 7 END) AS DATE) AS ts, value FROM macro)""",
+    "lagm1 AS (SELECT ts, AVG(value) AS value FROM lagm GROUP BY 1)",
+    f"""pf AS (SELECT px.*, last_value(a0 IGNORE NULLS) OVER w AS a, last_value(r0 IGNORE NULLS) OVER w AS r, last_value(m.value IGNORE NULLS) OVER w AS macro_value FROM px LEFT JOIN lagm1 AS m ON m.ts = px.ts
+       WINDOW w AS (PARTITION BY px.symbol ORDER BY px.ts ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))""",
+    f"""p1 AS (SELECT *, {PCT('a')} AS a1, {PCT('r')} AS r1, {PCT('n')} AS n1, r / nullif(a, 0) AS r_a_level, a / nullif(n, 0) AS a_n_level FROM pf)""",
     f"""SELECT ts, high / low - 1 AS range_high_low, open / lag(rc) OVER {O} - 1 AS gap_overnight, month(ts) AS calendar_month,
       CASE WHEN day(ts) <= 3 OR day(ts) >= 28 THEN 1 ELSE 0 END AS calendar_turn_of_month, {_mp_asset('a')}, {_mp_asset('r')},
       """ + ", ".join(f"{PCT('n', n)} AS base_ret_{n}, {G('stddev_pop(n1) {w}', 'n1', n)} AS base_vol_{n}, n / ({G('MAX(n) {w}', 'n', n)}) - 1 AS base_drawdown_{n}"
-                      for n in PANEL_N) + " FROM p1"))
+                      for n in PANEL_N) + ", r_a_level, a_n_level, " + ", ".join(f"{PCT(p + '_level', n)} AS {p}_ret_{n}" for p, _, _ in PANEL_PAIRS for n in PAIR_N)
+    + f", macro_value, macro_value - lag(macro_value, 63) OVER {O} AS macro_change_63 FROM p1"))
 def market_panel(spark, d):
-    """Whole wide panel on the benchmark calendar: structure, calendar, per-asset and base columns."""
-    return P.market_panel(I.bars(spark, d), I.raw_bars(spark, d), I.BENCHMARK, ["A", "R"], PANEL_N).select("ts", *MP_COLS)
+    """Whole wide panel on the benchmark calendar: structure, calendar, per-asset, pair, macro and base columns."""
+    macro = A.dedupe_mean(A.publication_lag(I.macro_monthly(spark, d), 5))
+    return P.market_panel(I.bars(spark, d), I.raw_bars(spark, d), I.BENCHMARK, ["A", "R"], PANEL_PAIRS, macro, PANEL_N).select("ts", *MP_COLS)
 
 
 AP = "ret_252 rel_ret_252 macro_value hy_minus_ig ten_minus_two cap_to_gdp issuance_yield".split()

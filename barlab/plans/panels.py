@@ -51,31 +51,41 @@ def pair_ratios(bars: DataFrame, pairs, windows=(21, 63, 126)) -> DataFrame:
     return both.select("pair", "ts", "level", *[R.pct_change("level", n, ("pair",)).alias(f"ret_{n}") for n in windows])
 
 
-def market_panel(bars, raw_bars, benchmark: str, assets: list[str], windows=X.FEATURE_WINDOWS) -> DataFrame:
-    """One row per benchmark day: structure, calendar, asset and base columns."""
-    base = bars.where(F.col("symbol") == benchmark).select("ts", F.col("close").alias("base"))
-    shape = X.bar_structure(raw_bars.where(F.col("symbol") == benchmark)).drop("open", "high", "low", "close", "volume")
-    wide = bars.where(F.col("symbol").isin(assets)).groupBy("ts").pivot("symbol", assets).agg(F.max("close"))
-    joined = shape.join(base, "ts").join(wide, "ts", "left")
-    filled = joined.withColumns({a: R.forward_fill(a) for a in assets})
-    daily = filled.withColumns({f"_r_{a}": R.pct_change(a) for a in [*assets, "base"]})
-    out = {}
-    for a in assets:
-        p = a.lower()
-        out |= {f"{p}_close_ratio": R.ratio(a, "base"), f"{p}_ret_1": F.col(f"_r_{a}")}
-        for n in windows:
-            out |= {
-                f"{p}_ret_{n}": R.pct_change(a, n),
-                f"{p}_vol_{n}": R.std(f"_r_{a}", n),
-                f"base_vs_{p}_ret_{n}": R.pct_change("base", n) - R.pct_change(a, n),
-            }
+def filled_series(bars: DataFrame, benchmark: str, assets: list[str]) -> DataFrame:
+    """(ts, symbol, close, base): every asset on every benchmark day, its last close carried on, beside the benchmark's close."""
+    days = bars.where(F.col("symbol") == benchmark).select("ts", F.col("close").alias("base"))
+    spine = days.withColumn("symbol", F.explode(F.array(*[F.lit(a) for a in assets])))
+    x = spine.join(bars.select("symbol", "ts", "close"), ["symbol", "ts"], "left")
+    return x.withColumn("close", R.forward_fill("close"))
+
+
+def market_panel(bars, raw_bars, benchmark: str, assets: list[str], pairs=(), macro: DataFrame | None = None, windows=X.FEATURE_WINDOWS) -> DataFrame:
+    """One row per benchmark day: structure, calendar, asset, pair, macro and base columns.
+
+    Windows run in long form, per (asset, day), so assets spread over tasks with one sort each; the columns are pivoted last.
+    ``macro`` has ts, already lagged to its publication, and value.
+    """
+    shape = X.calendar(X.bar_structure(raw_bars.where(F.col("symbol") == benchmark)).drop("open", "high", "low", "close", "volume"))
+    long = filled_series(bars, benchmark, [*assets, benchmark])
+    x = long.withColumn("_r", R.pct_change("close"))
+    one = {"close_ratio": R.ratio("close", "base"), "ret_1": F.col("_r")}
     for n in windows:
-        out |= {
-            f"base_ret_{n}": R.pct_change("base", n),
-            f"base_vol_{n}": R.std("_r_base", n),
-            f"base_drawdown_{n}": R.drawdown("base", n),
-        }
-    return X.calendar(daily.withColumns(out)).drop(*[f"_r_{a}" for a in [*assets, "base"]])
+        one |= {f"ret_{n}": R.pct_change("close", n), f"vol_{n}": R.std("_r", n), f"base_ret_{n}": R.pct_change("base", n) - R.pct_change("close", n), f"drawdown_{n}": R.drawdown("close", n)}
+    x = x.withColumns(one)
+    wide = x.groupBy("ts").pivot("symbol", [*assets, benchmark]).agg(*[F.max(k).alias(k) for k in one])
+    named = {}
+    for a in assets:
+        named |= {f"{a.lower()}_{k}": f"{a}_{k}" for k in ("close_ratio", "ret_1", *[f"{m}_{n}" for m in ("ret", "vol") for n in windows])}
+        named |= {f"base_vs_{a.lower()}_ret_{n}": f"{a}_base_ret_{n}" for n in windows}
+    named |= {f"base_{m}_{n}": f"{benchmark}_{m}_{n}" for m in ("ret", "vol", "drawdown") for n in windows}
+    out = shape.join(wide.select("ts", *[F.col(f"`{old}`").alias(new) for new, old in named.items()]), "ts")
+    if pairs:
+        p = pair_ratios(long, pairs)
+        p = p.groupBy("ts").pivot("pair", [n for n, _, _ in pairs]).agg(*[F.max(c).alias(c) for c in p.columns if c not in ("pair", "ts")])
+        out = out.join(p, "ts", "left")
+    if macro is not None:
+        out = A.align_ffill(out, macro.select("ts", F.col("value").alias("macro_value")), ["macro_value"]).withColumn("macro_change_63", R.diff("macro_value", 63))
+    return out
 
 
 def annual_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
