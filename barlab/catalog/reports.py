@@ -75,12 +75,12 @@ def candidates_evaluated(spark, d):
     return LB.candidates_evaluated(BD.board(spark, d), "stage", "feature_count", ("wave",))
 
 
-@query("stage_inventory", oracle("s:method i:wave i:found i:expected b:complete", BD.BOARD, "f AS (SELECT DISTINCT method, wave, stage FROM board WHERE row_id % 17 <> 0)", "SELECT method, wave, COUNT(*) AS found, 16 AS expected, COUNT(*) = 16 AS complete FROM f GROUP BY 1, 2"))
+@query("stage_inventory", oracle("s:method i:wave i:found i:expected b:complete", BD.BOARD, "f AS (SELECT DISTINCT replace(method, ' ', '-') AS method, wave, stage FROM board)", "SELECT method, wave, COUNT(*) AS found, 16 AS expected, COUNT(*) = 16 AS complete FROM f GROUP BY 1, 2"))
 def stage_inventory(spark, d):
     """Method, wave and stage read from file names, found against expected."""
-    b = BD.board(spark, d).where("row_id % 17 <> 0")
-    files = b.select(F.concat(F.lit("out/"), F.replace("method", F.lit(" "), F.lit("-")), F.lit("/wave_"), F.col("wave").cast("string"), F.lit("_stage_"), F.col("stage").cast("string"), F.lit(".csv")).alias("file"), "method")
-    p = files.select("method", F.regexp_extract("file", r"wave_(\d+)", 1).cast("int").alias("wave"), F.regexp_extract("file", r"stage_(\d+)", 1).cast("int").alias("stage"))
+    b = BD.board(spark, d)
+    files = b.select(F.concat(F.lit("out/"), F.replace("method", F.lit(" "), F.lit("-")), F.lit("/wave_"), F.col("wave").cast("string"), F.lit("_stage_"), F.col("stage").cast("string"), F.lit(".csv")).alias("file"))
+    p = files.select(F.regexp_extract("file", "^out/([^/]+)/", 1).alias("method"), F.regexp_extract("file", r"wave_(\d+)", 1).cast("int").alias("wave"), F.regexp_extract("file", r"stage_(\d+)", 1).cast("int").alias("stage"))
     g = p.groupBy("method", "wave").agg(F.count_distinct("stage").alias("found"))
     return g.withColumn("expected", F.lit(16)).withColumn("complete", F.col("found") == F.col("expected"))
 

@@ -48,11 +48,11 @@ FL = "[" + ", ".join(f"'{x}'" for x in D.SPEC_FEATURES) + "]"
 SB = ["sb0 AS (SELECT *, round(train_calmar * 1000, 6) AS points FROM board)",
     "sb1 AS (SELECT * FROM sb0 QUALIFY row_number() OVER (PARTITION BY candidate_id ORDER BY points DESC, row_id DESC) = 1)",
     f"sb AS (SELECT candidate_id, points, row_id, method, list_transform([1, 3, 5], lambda i: {FL}[row_id * i % 8 + 1] || '|threshold|' || row_id * i % 5 || '|1|1') AS specs FROM sb1)",
-    "scat AS (SELECT DISTINCT unnest(specs) AS spec FROM sb WHERE row_id % 3 > 0)"]
+    "scat AS (SELECT DISTINCT unnest(specs) AS spec FROM sb)"]
 
 
 def spec_catalog(b):
-    return b.where("row_id % 3 > 0").select(F.explode("specs").alias("spec")).distinct()
+    return b.select(F.explode("specs").alias("spec")).distinct()
 
 
 @query("seed_candidates")
@@ -118,7 +118,7 @@ def adaptive_family_weights(spark, d):
 
 @query("anti_overfit_penalty", oracle("i:candidate_id f:penalty", BD.BOARD, SB,
     "c AS (SELECT candidate_id, method AS model, 'fam' || row_id % 4 AS family, list_distinct(list_transform(specs, lambda s: split_part(s, '|', 1))) AS fs FROM sb)",
-    "p AS (SELECT row_id AS pid, method AS model, 'fam' || row_id % 3 AS family, row_id % 5 = 0 AS fl, list_distinct(list_transform(specs, lambda s: split_part(s, '|', 1))) AS ps FROM sb WHERE row_id % 101 = 0)",
+    "p AS (SELECT DISTINCT method AS model, 'fam' || row_id % 3 AS family, row_id % 5 = 0 AS fl, list_sort(list_distinct(list_transform(specs, lambda s: split_part(s, '|', 1)))) AS ps FROM sb)",
     "m AS (SELECT c.candidate_id, len(list_intersect(fs, ps)) / CAST(len(list_distinct(list_concat(fs, ps))) AS DOUBLE) AS j, c.model = p.model AS sm, c.family = p.family AS sf, fl FROM c, p)",
     "w AS (SELECT candidate_id, MAX(j + CASE WHEN sm THEN 0.25 ELSE 0 END + CASE WHEN sf THEN 0.25 ELSE 0 END + CASE WHEN fl THEN 0.5 ELSE 0 END) AS penalty FROM m WHERE j >= 0.5 GROUP BY 1)",
     "SELECT c.candidate_id, coalesce(penalty, 0) AS penalty FROM c LEFT JOIN w ON w.candidate_id = c.candidate_id"))
@@ -127,24 +127,25 @@ def anti_overfit_penalty(spark, d):
     feats = F.transform("specs", lambda s: F.substring_index(s, "|", 1))
     fam = lambda m: F.concat(F.lit("fam"), (F.col("row_id") % m).cast("string"))
     c = b.select("candidate_id", F.col("method").alias("model"), fam(4).alias("family"), feats.alias("features"))
-    # the ledger of past failures is the subset the rejection log names
-    led = b.where("row_id % 101 = 0").select(F.col("row_id").alias("pattern_id"), F.col("method").alias("model"), fam(3).alias("family"), (F.col("row_id") % 5 == 0).alias("failed_locked"), feats.alias("features"))
+    # the ledger has every pattern once, however many rows share it
+    led = b.select(F.col("method").alias("model"), fam(3).alias("family"), (F.col("row_id") % 5 == 0).alias("failed_locked"), F.array_sort(F.array_distinct(feats)).alias("features"), "row_id")
+    led = led.groupBy("model", "family", "failed_locked", "features").agg(F.min("row_id").alias("pattern_id"))
     return SE.overfit_penalty(c, led)
 
 
 @query("expected_improvement", oracle("i:candidate_id f:expected_improvement", BD.BOARD, SB,
     "w AS (SELECT spec, 1 + length(spec) / 100e0 AS weight FROM scat)", "x AS (SELECT candidate_id, unnest(specs) AS spec FROM sb)",
-    "tried AS (SELECT DISTINCT unnest(specs) AS spec FROM sb WHERE row_id % 2 = 0)",
+    "tried AS (SELECT DISTINCT unnest(specs) AS spec FROM sb WHERE points > 0)",
     "a AS (SELECT x.candidate_id, AVG(coalesce(w.weight, 1)) AS u, AVG(CASE WHEN t.spec IS NULL THEN 1e0 ELSE 0e0 END) AS n FROM x LEFT JOIN w ON w.spec = x.spec LEFT JOIN tried AS t ON t.spec = x.spec GROUP BY 1)",
     f"fm AS (SELECT DISTINCT candidate_id, {TX.classify_sql(TX.DAILY_FAMILIES, 'f', chr(39) + 'other' + chr(39))} AS fam FROM (SELECT DISTINCT candidate_id, split_part(spec, '|', 1) AS f FROM x))",
-    "b AS (SELECT candidate_id, AVG(CASE WHEN fam = 'rolling' THEN 1.4e0 WHEN fam = 'volatility' THEN 0.8e0 ELSE 1e0 END) AS f FROM fm GROUP BY 1)",
+    "b AS (SELECT candidate_id, AVG(CASE WHEN fam = 'rolling' THEN 1.4e0 WHEN fam = 'volatility' THEN 0.8e0 ELSE 1 + length(fam) / 100e0 END) AS f FROM fm GROUP BY 1)",
     "SELECT candidate_id, u + 0.6 * f + 0.4 * n AS expected_improvement FROM a JOIN b USING (candidate_id)"))
 def expected_improvement(spark, d):
     b = spec_board(spark, d)
     w = spec_catalog(b).select("spec", (1.0 + F.length("spec") / 100.0).alias("weight"))
     fams = spec_catalog(b).select(TX.daily_family(F.substring_index("spec", "|", 1)).alias("family")).distinct()
-    fams = fams.where("family IN ('rolling', 'volatility')").select("family", F.when(F.col("family") == "rolling", 1.4).otherwise(0.8).alias("reward"))
-    tried = b.where("row_id % 2 = 0").select(F.explode("specs").alias("spec"))
+    fams = fams.select("family", F.when(F.col("family") == "rolling", 1.4).when(F.col("family") == "volatility", 0.8).otherwise(1.0 + F.length("family") / 100.0).alias("reward"))
+    tried = b.where("points > 0").select(F.explode("specs").alias("spec"))
     return SE.expected_improvement(b, w, fams, tried)
 
 
