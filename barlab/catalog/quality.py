@@ -189,13 +189,15 @@ MANIFEST_SQL = [f"""manifest AS (SELECT DISTINCT CASE n WHEN 0 THEN '{D.FEATURES
    FROM (SELECT p_brand, CAST(regexp_extract(p_brand, '(\\d+)', 1) AS INTEGER) % 8 AS n FROM part))"""]
 AN_LONG = ["an_long AS (" + " UNION ALL ".join(
     f"SELECT target_year, '{c}' AS feature, CAST({c} AS DOUBLE) AS value FROM annual WHERE symbol = 'N'" for c in D.FEATURES) + ")"]
+# training values and different ones from which an annual feature is usable (fixed values)
+LEAST_VALUES, LEAST_DISTINCT = 8, 4
 AUDIT_SQL = ["""audit AS (SELECT m.feature, m.source, m.free, COUNT(a.value) AS non_null_years, COUNT(a.value) / CAST((SELECT COUNT(*) FROM annual WHERE symbol = 'N') AS DOUBLE) AS coverage,
    MIN(a.target_year) FILTER (a.value IS NOT NULL) AS first_year, MAX(a.target_year) FILTER (a.value IS NOT NULL) AS last_year,
    COUNT(a.value) FILTER (a.target_year <= 1998) AS train_n, COUNT(a.value) FILTER (a.target_year IN (1999, 2000)) AS validation_n,
    COUNT(DISTINCT a.value) FILTER (a.target_year <= 1998) AS unique_train FROM manifest AS m LEFT JOIN an_long AS a ON a.feature = m.feature GROUP BY 1, 2, 3)""",
    """audit_q AS (SELECT *, CASE WHEN non_null_years = 0 THEN CASE WHEN source LIKE '%no free public series%' THEN 'sin_datos_publicos_fiables' ELSE 'sin_datos' END
    WHEN free LIKE '%proxy%' THEN 'proxy' WHEN free LIKE '%no%' OR first_year > 1996 THEN 'parcial' ELSE 'buena' END AS quality,
-   train_n >= 2 AND unique_train >= 2 AS usable FROM audit)"""]
+   train_n >= 8 AND unique_train >= 4 AS usable FROM audit)"""]
 
 
 def feature_audit(spark, d):
@@ -213,7 +215,7 @@ def feature_audit(spark, d):
         "feature", F.col("n").alias("non_null_years"), F.coalesce(F.col("n") / F.col("total"), F.lit(0.0)).alias("coverage"),
         "first_year", "last_year", "train_n", "validation_n", "unique_train",
         Q.feature_quality(F.col("n"), F.col("first_year"), F.col("free"), F.col("note"), F.col("source"), 1996).alias("quality"),
-        ((F.col("train_n") >= 2) & (F.col("unique_train") >= 2)).alias("usable"))
+        ((F.col("train_n") >= LEAST_VALUES) & (F.col("unique_train") >= LEAST_DISTINCT)).alias("usable"))
 
 
 @query("feature_coverage_audit", oracle("s:feature i:non_null_years f:coverage i:first_year i:last_year i:train_n i:validation_n i:unique_train s:quality b:usable",
