@@ -313,14 +313,14 @@ def gate_sql(src):
           - greatest(0, abs(train_mdd) - 0.3) * 3 - greatest(0, abs(validation_mdd) - 0.3) * 3 - validation_negative_years * 0.8 AS survival_score FROM gt1)"""]
 
 
-GATE_OUT = "s:candidate_id s:rule f:train_calmar f:validation_calmar f:train_cagr f:validation_cagr f:train_mdd f:validation_mdd f:trades_per_year f:long_fraction i:validation_negative_years i:feature_count i:robust_passes i:robust_total s:rejection_reason b:accepted f:survival_score"
+GATE_OUT = "s:candidate_id f:train_calmar f:validation_calmar f:train_cagr f:validation_cagr f:train_mdd f:validation_mdd f:trades_per_year f:long_fraction i:validation_negative_years i:feature_count i:robust_passes i:robust_total s:rejection_reason b:accepted f:survival_score"
 GATE_COLS = [x.split(":")[1] for x in GATE_OUT.split()]
 
 
-@query("eval_rule_candidates", oracle(GATE_OUT, RULE_SQL, gate_sql("rrow"), "SELECT * FROM gt"))
+@query("eval_rule_candidates", oracle("s:rule " + GATE_OUT, RULE_SQL, gate_sql("rrow"), "SELECT * FROM gt"))
 def eval_rule_candidates(spark, d):
     """Sweep over all rule families and symbols in one job."""
-    return SW.evaluate_rules(D.featured(spark, d, None), SW.rule_candidates(spark, d), COST).select(GATE_COLS)
+    return SW.evaluate_rules(D.featured(spark, d, None), SW.rule_candidates(spark, d), COST).select("rule", *GATE_COLS)
 
 
 @query("grid_sweep", oracle("s:candidate_id s:rule f:total_return_pct f:max_drawdown_pct f:sharpe f:score", [*RULE_BASE,
