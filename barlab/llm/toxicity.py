@@ -2,7 +2,8 @@
 
 Features say that a hashed character n-gram occurs at least once, twice or three times. Documents that hold a feature are
 counted by class over the training rows; r = log((pos + a) / (P + 2a)) - log((neg + a) / (N + 2a)). Those whose ratio stands clear of its sampling error are kept, a
-document's feature value is the ratio itself, and logistic regression with a ridge penalty weighs them.
+document's feature value is the ratio itself, and logistic regression with a ridge penalty weighs them. Its gradients are summed
+in the tasks: the weights go out, one sum comes back.
 """
 
 from __future__ import annotations
@@ -14,19 +15,19 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from barlab.llm.common import BATCH_ROWS, hold_out, map_rows
+from barlab.llm.common import BATCH_ROWS, hold_out, map_rows, written
 
 GRAMS = (3, 4, 5, 6, 7)
 HASH_BITS = 19
 #: A feature is an n-gram bucket and one of these least numbers of occurrences.
 LEVELS = (1, 2, 3)
-#: Bound of the labelled sample that the classifier is fitted on, and of its features.
+#: Bound of the labelled sample that the classifier is fitted on.
 MAX_LABELLED = 8_000
-MAX_FEATURES = 4_000
 MIN_Z = 3.0
 SMOOTH = 1.0
 RIDGE = 2e-4
-STEPS = 200
+#: The fit ends when a step gains less than this share of the loss, or after so many steps.
+TOLERANCE, STEPS = 1e-6, 300
 THRESHOLD = 0.3
 FOLDS, HELD_FOLD = 4, 2
 WIDTH = len(LEVELS) << HASH_BITS
@@ -77,54 +78,50 @@ def labelled_sample(labels: DataFrame, most: int = MAX_LABELLED) -> DataFrame:
     return rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
 
 
+def training_rows(docs: DataFrame, known: DataFrame) -> DataFrame:
+    """(label, text, times): every different text of a sampled document once, with the number of its rows."""
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return docs.join(F.broadcast(known), "doc_id").groupBy("doc_id", "label", "text").agg(F.count("*").alias("times")).drop("doc_id")
+
+
 def ratios(train: DataFrame) -> DataFrame:
     """(feature, pos, neg): training documents of each class that hold the feature."""
 
     def count(batches):
         pos, neg = np.zeros(WIDTH, np.int64), np.zeros(WIDTH, np.int64)
         for b in batches:
-            for text, label in zip(b["text"].to_pylist(), b["label"].to_pylist(), strict=True):
-                (pos if label else neg)[features(grams(text))] += 1
+            for text, label, times in zip(*(b[c].to_pylist() for c in ("text", "label", "times")), strict=True):
+                (pos if label else neg)[features(grams(text))] += times
         at = np.flatnonzero(pos + neg)
         yield {"feature": at, "pos": pos[at], "neg": neg[at]}
 
     return map_rows(train, count, "feature long, pos long, neg long").groupBy("feature").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
 
 
-def logistic(rows: np.ndarray, cols: np.ndarray, values: np.ndarray, y: np.ndarray, width: int) -> tuple[np.ndarray, float]:
-    """Accelerated gradient descent on the mean log-loss with a ridge penalty.
+def regression(rows: DataFrame, ratio: np.ndarray) -> tuple[np.ndarray, float]:
+    """Coefficients and intercept from rows (label, times, held: columns of ``ratio``); the intercept is not penalised."""
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.linalg import Vectors, VectorUDT
 
-    The intercept is the last coordinate and not penalised. Steps are scaled by coordinate: the curvature of the loss
-    is at most the diagonal matrix of mean(|x_ij| * sum_k |x_ik|) / 4, whatever the lengths of the documents.
-    """
-    n = len(y)
-    rows, cols, values = np.append(rows, np.arange(n)), np.append(cols, np.full(n, width)), np.append(values, np.ones(n))
-    penalty = np.append(np.full(width, RIDGE), 0.0)
-    size = np.bincount(rows, weights=np.abs(values), minlength=n)
-    curve = np.bincount(cols, weights=np.abs(values) * size[rows], minlength=width + 1) / (4 * n) + penalty + 1e-12
-    rate = np.clip(y.mean(), 1 / (n + 1), n / (n + 1))
-    w = np.append(np.zeros(width), np.log(rate / (1 - rate)))
-    last = w
-    for step in range(STEPS):
-        at = w + step / (step + 3) * (w - last)
-        z = np.bincount(rows, weights=values * at[cols], minlength=n)
-        g = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) / n
-        last, w = w, at - (np.bincount(cols, weights=values * g[rows], minlength=width + 1) + penalty * at) / curve
-    return w[:-1], float(w[-1])
+    shared = rows.sparkSession.sparkContext.broadcast(ratio)
+    vector = F.udf(lambda held: Vectors.sparse(len(shared.value), held, shared.value[held]), VectorUDT())
+    data = rows.select(F.when(F.col("label") != 0, 1.0).otherwise(0.0).alias("label"), F.col("times").cast("double").alias("times"), vector("held").alias("features"))
+    model = LogisticRegression(regParam=RIDGE, elasticNetParam=0.0, standardization=False, weightCol="times", maxIter=STEPS, tol=TOLERANCE, aggregationDepth=2).fit(data)
+    return model.coefficients.toArray(), float(model.intercept)
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> Model:
     """Fit on a bounded, hash-ordered sample of labelled documents.
 
-    Texts stay with the executors: the driver gets the labels' ids, the ratios of at most ``MAX_FEATURES`` features and,
-    for each sampled document, which of them it holds. Without two classes the model is the base rate (0.5 without labels).
+    Rows stay with the executors, however many share a doc_id: the driver gets the labels' ids, the ratios of the features
+    that are clear of their error (at most one for each hash bucket and level) and sums of gradients.
+    Without two classes the model is the base rate (0.5 without labels).
     """
     sample = labelled_sample(labels, max_labelled).collect()
     spark = docs.sparkSession
-    known = F.broadcast(spark.createDataFrame([(r["doc_id"], r["label"]) for r in sample], "doc_id long, label int"))
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    train = docs.join(known, "doc_id")
-    totals = {r["label"]: r["n"] for r in train.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    known = spark.createDataFrame([(r["doc_id"], r["label"]) for r in sample], "doc_id long, label int")
+    train = written(training_rows(docs, known))
+    totals = {r["label"]: r["n"] for r in train.groupBy("label").agg(F.sum("times").alias("n")).collect()}
     p, n = sum(v for k, v in totals.items() if k), totals.get(0, 0)
     weights, unused = np.zeros(WIDTH), np.zeros(1 << HASH_BITS, bool)
     if not p or not n:
@@ -133,26 +130,23 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) ->
     a = F.lit(SMOOTH)
     r = F.log((F.col("pos") + a) / F.lit(p + 2 * SMOOTH)) - F.log((F.col("neg") + a) / F.lit(n + 2 * SMOOTH))
     counted = ratios(train).withColumn("r", r).withColumn("z", F.abs("r") / F.sqrt(1 / (F.col("pos") + a) + 1 / (F.col("neg") + a)))
-    chosen = counted.filter(F.col("z") >= MIN_Z).orderBy(F.desc("z"), "feature").limit(MAX_FEATURES).select("feature", "r").collect()
-    if not chosen:
+    chosen = counted.filter(F.col("z") >= MIN_Z).select("feature", "r").toPandas().sort_values("feature")
+    if chosen.empty:
         return Model(weights, unused, float(np.log(p / n)))
+    kept, ratio = chosen["feature"].to_numpy(), chosen["r"].to_numpy()
     column = np.full(WIDTH, -1, np.int32)
-    column[[c["feature"] for c in chosen]] = np.arange(len(chosen), dtype=np.int32)
+    column[kept] = np.arange(len(kept), dtype=np.int32)
     shared = spark.sparkContext.broadcast(column)
 
     def held(batches):
         for b in batches:
-            found = [np.unique(c[c >= 0]).astype("<i4").tobytes() for c in (shared.value[features(grams(t))] for t in b["text"].to_pylist())]
-            yield {"label": b["label"].to_pylist(), "features": found}
-
-    rows = map_rows(train, held, "label int, features binary").collect()
-    ratio = np.array([c["r"] for c in chosen])
-    each = [np.frombuffer(x["features"], "<i4") for x in rows]
-    cols = np.concatenate(each)
-    at = np.repeat(np.arange(len(rows)), [len(e) for e in each])
-    w, bias = logistic(at, cols, ratio[cols], np.array([float(bool(x["label"])) for x in rows]), len(chosen))
-    weights[[c["feature"] for c in chosen]] = w * ratio
-    return Model(weights, (weights.reshape(len(LEVELS), -1) != 0).any(axis=0), float(bias))
+            found = [np.unique(c[c >= 0]) for c in (shared.value[features(grams(t))] for t in b["text"].to_pylist())]
+            yield {"label": b["label"], "times": b["times"], "held": found}
+
+    rows = written(map_rows(train, held, "label int, times long, held array<int>"))
+    w, bias = regression(rows, ratio)
+    weights[kept] = w * ratio
+    return Model(weights, (weights.reshape(len(LEVELS), -1) != 0).any(axis=0), bias)
 
 
 def scorer(docs: DataFrame, model: Model) -> Column:
