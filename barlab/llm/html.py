@@ -7,10 +7,11 @@ damped by a logarithm that grows with the share of link text:
 
 with LCb and Cb of the body, and zeros counted as one. The density sum of a node adds the densities of its children. The
 node with the greatest sum is the core of the article; the least density on the path from the body to it is the
-threshold. The text is that of an article element on this path, or else of the highest node in which a part that holds the
-core has a dense neighbour; there, nodes below the threshold that consist of links are left out. Elements that are no
-article by their tag or name are set aside before anything is measured; a name counts for nothing on an element with most
-of the page's text outside links, unless an article element stands elsewhere.
+threshold. The text is that of the highest node in which a part that holds the core has a neighbour with a node over the
+threshold; an article element with most of the page's text outside links is as far up as it goes. In the node, parts below the
+threshold that consist of links are left out. Elements that are no article by their tag or name are set aside before anything is
+measured; tag and name count for nothing on an element with most of the page's text outside links, unless an article element stands
+elsewhere, and names that also occur in prose count for nothing on an element with prose.
 """
 
 from __future__ import annotations
@@ -38,6 +39,10 @@ CLOSED_BY_PEER = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": (
 CHROME_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising banner sponsor sponsored promo promotion nav navbar navigation menu menubar breadcrumb breadcrumbs pagination pager header masthead topbar footer bottombar sidebar aside rail widget related recommended recommendations share sharing social newsletter subscribe subscription signup login cookie cookies consent gdpr notice notices alert popup modal overlay comment comments disqus replies respond form search toolbar complementary contentinfo skip".split()
 )
+#: Those of them that also name parts of articles.
+WEAK_WORDS = frozenset("share sharing social search form rail widget promotion header banner alert replies related menu".split())
+#: Characters outside links from which an element has prose.
+PROSE = 140
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
 ARTICLE_TAGS = frozenset("article main body html".split())
 _NAME = re.compile(r"[^a-z0-9]+|(?<=[a-z])(?=[0-9])")
@@ -46,19 +51,16 @@ _SPACE = re.compile(r"\s+")
 
 
 class Node:
-    __slots__ = ("tag", "chrome", "named", "children", "parent", "chars", "tags", "link_chars", "link_tags", "density", "total")
+    __slots__ = ("tag", "chrome", "named", "weak", "children", "parent", "chars", "tags", "link_chars", "link_tags", "density", "total")
 
-    def __init__(self, tag: str, chrome: bool, parent: Node | None, named: bool = False):
-        self.tag, self.chrome, self.parent, self.named = tag, chrome or named, parent, named
+    def __init__(self, tag: str, hidden: bool, parent: Node | None, named: bool = False, weak: bool = False):
+        self.tag, self.chrome, self.parent, self.named, self.weak = tag, hidden or named, parent, named, weak
         self.children: list[Node | str] = []
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.total = 0.0
 
 
-def is_chrome(tag: str, attrs: list[tuple[str, str | None]]) -> bool:
-    """Whether an element is no part of an article by its tag, or hidden."""
-    if tag in CHROME:
-        return True
+def is_hidden(tag: str, attrs: list[tuple[str, str | None]]) -> bool:
     if tag in ARTICLE_TAGS:
         return False
     for key, value in attrs:
@@ -69,20 +71,22 @@ def is_chrome(tag: str, attrs: list[tuple[str, str | None]]) -> bool:
     return False
 
 
-def is_named_chrome(tag: str, attrs: list[tuple[str, str | None]]) -> bool:
-    """Whether a word of its class, id or role says that an element is no part of an article."""
+def chrome_names(tag: str, attrs: list[tuple[str, str | None]]) -> set[str]:
+    """Its tag, and the words of its class, id and role, that say that an element is no part of an article."""
     if tag in ARTICLE_TAGS:
-        return False
-    return any(key in ("class", "id", "role") and value and not CHROME_WORDS.isdisjoint(_NAME.split(value.lower())) for key, value in attrs)
+        return set()
+    words = {w for key, value in attrs if key in ("class", "id", "role") and value for w in _NAME.split(value.lower())}
+    return (words & CHROME_WORDS) | ({tag} & CHROME)
 
 
 class Tree(HTMLParser):
-    """Builds the tree of one page; closes what HTML lets authors leave open."""
+    """Builds the tree of one page; closes what HTML lets authors leave open. ``through``: names to skip whose tags alone go."""
 
-    def __init__(self) -> None:
+    def __init__(self, through: frozenset[str] = frozenset()) -> None:
         super().__init__(convert_charrefs=True)
         self.root = self.at = Node("html", False, None)
         self.skip: str | None = None
+        self.through = through
         self.depth = 0
         self.any_named = False
         self.opened: Counter[str] = Counter()
@@ -92,7 +96,7 @@ class Tree(HTMLParser):
             self.depth += tag == self.skip
             return
         if tag in SKIPPED:
-            if tag not in VOID:
+            if tag not in VOID and tag not in self.through:
                 self.skip, self.depth = tag, 1
             return
         if tag in ("html", "head", "body"):
@@ -110,8 +114,8 @@ class Tree(HTMLParser):
             self.open(tag, attrs)
 
     def open(self, tag: str, attrs) -> None:
-        chrome = is_chrome(tag, attrs)
-        node = Node(tag, chrome, self.at, not chrome and is_named_chrome(tag, attrs))
+        hidden, names = is_hidden(tag, attrs), chrome_names(tag, attrs)
+        node = Node(tag, hidden, self.at, bool(names) and not hidden, bool(names) and names <= WEAK_WORDS and tag not in CHROME)
         self.any_named |= node.named
         self.at.children.append(node)
         self.at = node
@@ -161,9 +165,9 @@ def in_order(root: Node) -> list[Node]:
 
 
 def spare(root: Node) -> None:
-    """Named chrome with most of the text outside links is none, unless an article element with text stands elsewhere."""
-    if any(n.tag in ("article", "main") and any(isinstance(c, Node) or c.strip() for c in n.children) for n in in_order(root)):
-        return
+    """Takes names off elements with most of the text outside links, and tags too if that is prose, unless an article element with
+    text stands elsewhere; and weak names off elements with prose."""
+    clear = not any(n.tag in ("article", "main") and any(isinstance(c, Node) or c.strip() for c in n.children) for n in in_order(root))
     nodes, todo = [], [root]
     while todo:
         node = todo.pop()
@@ -173,7 +177,8 @@ def spare(root: Node) -> None:
     for node in reversed(nodes):
         size[id(node)] = sum(sum(map(len, c.split())) if isinstance(c, str) else size.get(id(c), 0) for c in node.children)
     for node in nodes:
-        if node.named and 2 * size[id(node)] > size[id(root)]:
+        prose = size[id(node)] >= PROSE
+        if node.named and (clear and 2 * size[id(node)] > size[id(root)] and (prose or node.tag not in CHROME) or node.weak and prose):
             node.chrome = False
 
 
@@ -206,14 +211,14 @@ def main_node(root: Node) -> tuple[Node, float]:
     while path[-1].parent is not None:
         path.append(path[-1].parent)
     least = min(n.density for n in path)
-    # From the body down: the first node whose own tag says article, else the highest one in which dense text stands beside the core's part.
-    for node in reversed(path):
-        if node.tag in ("article", "main"):
-            return node, 0.0
+    dense: dict[int, bool] = {}
+    for n in reversed(nodes):
+        dense[id(n)] = n.link_chars * 2 < n.chars and (n.density >= least or n.tag in HEADINGS or any(isinstance(c, Node) and dense.get(id(c), False) for c in n.children))
     top = core
     for part in path[:-1]:
-        peers = [c for c in part.parent.children if isinstance(c, Node) and not c.chrome and c is not part]
-        if any(p.link_chars * 2 < p.chars and (p.density >= least or p.tag in HEADINGS) for p in peers) or any(isinstance(c, str) and c.strip() for c in part.parent.children):
+        if part.tag in ("article", "main") and 2 * (part.chars - part.link_chars) > root.chars - root.link_chars:
+            break
+        if any(isinstance(c, Node) and not c.chrome and c is not part and dense[id(c)] or isinstance(c, str) and c.strip() for c in part.parent.children):
             top = part.parent
     return top, least
 
@@ -238,10 +243,14 @@ def main_text(html: str | None) -> str:
     """Main text of one page; a null or empty page, or one without text, gives an empty string."""
     if not html:
         return ""
-    tree = Tree()
     cut = _OPEN_TAG.search(html, html.rfind(">") + 1)  # a tag that never ends is none, and the parser would try it again and again
-    tree.feed(html[: cut.start()] if cut else html)
-    tree.close()
+    tree = Tree()
+    while True:
+        tree.feed(html[: cut.start()] if cut else html)
+        tree.close()
+        if not tree.skip or tree.skip in tree.through:
+            break
+        tree = Tree(tree.through | {tree.skip})  # an element that never ends holds nothing back
     if tree.any_named:
         spare(tree.root)
     node, least = main_node(tree.root)
