@@ -4,8 +4,8 @@ A document is a sparse vector over the terms of the queries, an item a sparse ve
 product in whole numbers. The texts are read once: each task counts terms, and the vectors are written as a table
 with document frequencies and lengths summed beside it. Document vectors are then dealt into groups by their weightiest term, so that
 documents that share rare terms lie together, and every group of bounded size becomes a tree of balls with a centroid and a
-radius. For an item q, no document of a ball scores more than q.c + |q| r; sums in doubles are widened by more than their
-rounding, so the bound is safe. Subtrees are visited best first and dropped when their bound is under the
+radius. For an item q, no document of a ball scores more than q.c + |q| r, with |q| over the terms that the ball's documents hold;
+sums in doubles are widened by more than their rounding, so the bound is safe. Subtrees are visited best first and dropped when their bound is under the
 score that the item's last place has already; the leaves are scored exactly.
 """
 
@@ -130,8 +130,9 @@ class Trees:
 
     def bounds(self, queries: np.ndarray) -> np.ndarray:
         """(items x nodes) scores that no document of a node exceeds."""
-        length = np.sqrt((queries * queries).sum(axis=1))
-        most = queries @ np.array(self.centres).T + length[:, None] * np.array(self.radii)
+        centres = np.array(self.centres).T
+        length = np.sqrt((queries * queries) @ (centres > 0))  # only terms of the ball's documents count
+        most = queries @ centres + length * np.array(self.radii)
         return most * (1 + SLACK) + 1
 
     def scores(self, node: int, weights: np.ndarray) -> np.ndarray:
