@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import functions as F
 
 from barlab.catalog.backtests import GATE_OUT, gate_sql
@@ -14,6 +17,7 @@ from barlab.plans import boards as BD
 from barlab.plans import inputs as I
 from barlab.registry import oracle
 from barlab.registry import sharing_query as query
+from barlab.session import checkpoint
 
 G_OUT = GATE_OUT.replace("s:candidate_id", "i:row_id")
 
@@ -241,25 +245,25 @@ def _topic_sql():
     "f AS (SELECT DISTINCT k.doc_id, d.name FROM (SELECT DISTINCT tok FROM tk) AS u JOIN d ON contains(d.name, u.tok) JOIN tk AS k ON k.tok = u.tok)", "SELECT doc_id, COUNT(*) AS features, string_agg(name, ',' ORDER BY name) AS names FROM f GROUP BY 1"))
 def literature_groups(spark, d):
     """Features each idea text points to: topic words to tokens, tokens to names."""
-    t = F.lower("text")
-    sets, hits = [], []
-    for a, toks in TX.IDEA_TOPICS:
-        hit = F.lit(False)
-        for w in a:
-            hit = hit | t.contains(w)
-        hits.append(hit)
-        sets.append(F.when(hit, F.array(*[F.lit(x) for x in toks])).otherwise(F.array().cast("array<string>")))
-    toks = F.array_distinct(F.flatten(F.array(*sets)))
-    toks = F.when(F.size(toks) == 0, F.array(*[F.lit(x) for x in TX.DEFAULT_IDEA_TOKENS])).otherwise(toks)
-    ideas = I.table(spark, d, "documents").select("doc_id", F.array_sort(toks).alias("toks"))
-    # names resolve once per distinct token set, of which there are at most 2^8
-    every = sorted({x for _, s in TX.IDEA_TOPICS for x in s} | set(TX.DEFAULT_IDEA_TOKENS))
+    # a text is lowered once and read once; what is kept of it is one bit per topic, or the last bit if it has none
+    texts = I.table(spark, d, "documents").where("text IS NOT NULL").select("doc_id", F.lower("text").alias("t"))
+    bits = F.lit(0)
+    for k, (words, _) in enumerate(TX.IDEA_TOPICS):
+        bits = bits + F.when(reduce(or_, [F.col("t").contains(w) for w in words]), 1 << k).otherwise(0)
+    token_sets = [*(toks for _, toks in TX.IDEA_TOPICS), TX.DEFAULT_IDEA_TOKENS]
+    ideas = texts.select("doc_id", bits.alias("topics")).groupBy("doc_id").agg(
+        F.bit_or(F.when(F.col("topics") == 0, 1 << len(TX.IDEA_TOPICS)).otherwise(F.col("topics"))).alias("topics"))
+    ideas = checkpoint(ideas)
+    # names resolve once per distinct topic set, of which there are at most 2^9, and their list is written out once
+    every = sorted({x for s in token_sets for x in s})
     n = F.col("name")
-    tagged = names(spark, d).select("name", F.array_compact(F.array(*[F.when(n.contains(x), F.lit(x)) for x in every])).alias("have"))
-    kinds = ideas.select("toks").distinct().withColumn("tok", F.explode("toks"))
-    per = kinds.join(tagged.select("name", F.explode("have").alias("tok")), "tok").groupBy("toks").agg(F.array_sort(F.collect_set("name")).alias("names"))
-    # at most 2^8 token sets exist, so the side with the names is bounded by the feature list and never meets a hot key in a shuffle
-    return ideas.join(F.broadcast(per), "toks").select("doc_id", F.size("names").alias("features"), F.array_join("names", ",").alias("names")).where("features > 0")
+    tagged = names(spark, d).select("name", F.explode(F.array_compact(F.array(*[F.when(n.contains(x), F.lit(x)) for x in every]))).alias("tok"))
+    sets = F.array(*[F.when(F.col("topics").bitwiseAND(1 << k) != 0, F.array(*[F.lit(x) for x in toks])) for k, toks in enumerate(token_sets)])
+    kinds = ideas.select("topics").distinct().select("topics", F.explode(F.array_distinct(F.flatten(F.array_compact(sets)))).alias("tok"))
+    per = kinds.join(tagged, "tok").groupBy("topics").agg(F.array_sort(F.collect_set("name")).alias("names"))
+    per = per.select("topics", F.size("names").alias("features"), F.array_join("names", ",").alias("names"))
+    # the side with the names is bounded by the feature list and never meets a hot key in a shuffle
+    return ideas.join(F.broadcast(per), "topics").select("doc_id", "features", "names")
 
 
 @query("rate_to_decimal", oracle("d:ts s:series f:rate", "o AS (SELECT CAST(o_orderdate AS DATE) AS ts, o_orderpriority AS series, MAX(o_totalprice) / 100 AS rate FROM orders GROUP BY 1, 2)", "SELECT * FROM o"))
