@@ -36,12 +36,17 @@ def study(spark, d):
 
 
 def spec_board(spark, d):
-    """Evaluated rows over orders with three specs each; one row per candidate."""
+    """Evaluated rows over orders with three specs each; one row per candidate. Only what the searches read goes
+    through the choice of the best row, and a row's specs are made after it, since its id decides them."""
+
+    def build():
+        b = BD.board(spark, d).select("candidate_id", "row_id", "method", "stage", F.round(F.col("train_calmar") * 1000, 6).alias("points"))
+        return LB.best_per(b, ["candidate_id"], [F.col("points"), F.col("row_id")])
+
     k = F.col("row_id")
     f = F.array(*[F.lit(x) for x in D.SPEC_FEATURES])
     spec = lambda i: F.concat(F.get(f, ((k * i) % 8).cast("int")), F.lit("|threshold|"), (k * i % 5).cast("string"), F.lit("|1|1"))
-    b = BD.board(spark, d).withColumns({"specs": F.array(spec(1), spec(3), spec(5)), "points": F.round(F.col("train_calmar") * 1000, 6)})
-    return LB.best_per(b, ["candidate_id"], [F.col("points"), F.col("row_id")])
+    return I.shared(f"spec_board:{d}", build).withColumn("specs", F.array(spec(1), spec(3), spec(5)))
 
 
 FL = "[" + ", ".join(f"'{x}'" for x in D.SPEC_FEATURES) + "]"

@@ -295,21 +295,26 @@ def family_reward(reason: Column, has_validation: Column, train_calmar: Column,
 def overfit_penalty(cands: DataFrame, ledger: DataFrame, floor: float = 0.50) -> DataFrame:
     """Worst similarity of each candidate with a failed pattern.
 
-    Candidate and pattern must share at least one feature to overlap, so they meet by an equality join
-    on features (and a count), not as a cross product.
+    Candidates with one model, family and feature set are of one kind and have one penalty, so only kinds meet the ledger.
+    Kind and pattern must share at least one feature to overlap, so they meet by an equality join on features (and a count),
+    not as a cross product. A candidate without an id has no penalty.
     """
-    size_c = cands.select("candidate_id", "model", "family", F.array_distinct("features").alias("fs")).withColumn("nc", F.size("fs"))
+    kind = ("model", "family", "fs")
+    own = cands.select("candidate_id", "model", "family", F.array_sort(F.array_distinct("features")).alias("fs"))
+    kinds = own.select(*kind).distinct().withColumn("nc", F.size("fs"))
     size_l = ledger.select("pattern_id", F.col("model").alias("pm"), F.col("family").alias("pf"), "failed_locked", F.array_distinct("features").alias("ps")).withColumn("np", F.size("ps"))
     hits = (
-        size_c.select("candidate_id", "model", "family", "nc", F.explode("fs").alias("f"))
+        kinds.select(*kind, "nc", F.explode("fs").alias("f"))
         .join(size_l.select("pattern_id", "pm", "pf", "failed_locked", "np", F.explode("ps").alias("f")), "f")
-        .groupBy("candidate_id", "pattern_id", "model", "family", "nc", "pm", "pf", "failed_locked", "np").agg(F.count(F.lit(1)).alias("shared"))
+        .groupBy(*kind, "pattern_id", "nc", "pm", "pf", "failed_locked", "np").agg(F.count(F.lit(1)).alias("shared"))
     )
     j = F.col("shared") / (F.col("nc") + F.col("np") - F.col("shared"))
     one = lambda cond, v: F.when(cond, v).otherwise(0.0)
     local = j + one(F.col("pm") == F.col("model"), 0.25) + one(F.col("pf") == F.col("family"), 0.25) + one(F.col("failed_locked"), 0.5)
-    worst = hits.where(j >= floor).groupBy("candidate_id").agg(F.max(local).alias("penalty"))
-    return cands.select("candidate_id").join(worst, "candidate_id", "left").fillna(0.0, ["penalty"])
+    worst = hits.where(j >= floor).groupBy(*[F.col(c).alias(f"_{c}") for c in kind]).agg(F.max(local).alias("penalty"))
+    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in kind]
+    penalty = F.when(F.col("candidate_id").isNotNull(), F.col("penalty"))
+    return own.join(worst, same, "left").select("candidate_id", F.coalesce(penalty, F.lit(0.0)).alias("penalty"))
 
 
 def expected_improvement(cands: DataFrame, weights: DataFrame, families: DataFrame, tried: DataFrame) -> DataFrame:

@@ -6,6 +6,8 @@ import pyarrow.parquet as pq
 import pytest
 
 from barlab.catalog import load_all
+from barlab.catalog.search_q import spec_board
+from barlab.operators import search as SE
 from barlab.registry import ORACLES, QUERIES
 from check import TABLES, compare, connect
 
@@ -36,3 +38,27 @@ def test_literature_groups_odd_rows(spark, folder, capfd):
     capfd.readouterr()
     got.explain(True)
     assert "lower(text" not in capfd.readouterr().out  # texts are read once, before the plan of the result
+
+
+def test_overfit_penalty_by_kind(spark, capfd):
+    """Equal candidates are judged once, and repeated rows of a candidate do not add up."""
+    cands = [(1, "m", "f", ["a", "b"]), (1, "m", "f", ["a", "b"]), (2, "m", "f", ["b", "a", "a"]), (3, "n", None, ["c", "a"]), (4, "m", "g", None), (5, None, "g", ["d", "e"]), (None, "n", "g", ["c"])]
+    ledger = [(1, "m", "g", False, ["a", "c"]), (2, "n", "f", True, ["d", "e", "f", "g"]), (3, "m", "f", False, ["a", "x", "b"])]
+    df = spark.createDataFrame(cands, "candidate_id long, model string, family string, features array<string>")
+    got = SE.overfit_penalty(df, spark.createDataFrame(ledger, "pattern_id long, model string, family string, failed_locked boolean, features array<string>"))
+    want = []
+    for c, model, family, fs in cands:
+        best = 0.0
+        for _, pm, pf, locked, ps in ledger:
+            j = len({*(fs or ())} & {*ps}) / len({*(fs or ())} | {*ps})
+            if c is not None and j >= 0.5:
+                best = max(best, j + 0.25 * (model == pm) + 0.25 * (family == pf) + 0.5 * locked)
+        want.append((c, best))
+    assert sorted(((r.candidate_id, r.penalty) for r in got.collect()), key=str) == sorted(want, key=str)
+    capfd.readouterr()
+    got.explain()
+    assert "keys=[candidate_id" not in capfd.readouterr().out
+
+
+def test_board_of_searches_is_narrow(spark, folder):
+    assert set(spec_board(spark, str(folder)).columns) == {"candidate_id", "row_id", "method", "stage", "points", "specs"}
