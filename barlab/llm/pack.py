@@ -28,8 +28,8 @@ END_ID = 0
 CLASSES, PARTS = 128, 3
 #: Rows of one length that are ranked together.
 RANK_ROWS = 20_000
-#: Words that a worker keeps the ids of.
-CACHE_WORDS = 400_000
+#: A worker keeps the ids of the words it saw last, in two generations of at most this many.
+CACHE_WORDS = 300_000
 Pattern = tuple[int, ...]
 
 # ---- tokens ----
@@ -37,8 +37,19 @@ Pattern = tuple[int, ...]
 # Letters, numbers and white space below U+0250 as the tokenizer's own split pattern sees them, lower case.
 _LETTER, _NUMBER, _BLANK = "a-zªµºß-öø-ɏ", "0-9²³¹¼-¾", "\\t-\\r \\x85\\xa0"
 _PIECE = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[{_NUMBER}]|[^{_BLANK}{_LETTER}{_NUMBER}]+")
-#: Texts with other characters (or the capital that lower-cases to two) go through the tokenizer whole.
-_OTHER = re.compile("[^\\x00-\\u024f]|İ|<\\|(?:start|end)oftext\\|>")
+#: Texts with other characters (or capitals that lower-case to two or to another one) go through the tokenizer whole.
+_OTHER = re.compile("[^\\x00-\\u024f]|[İȺȾ]|<\\|(?:start|end)oftext\\|>")
+#: White space to ``str.split`` only.
+_CONTROLS = "\x1c\x1d\x1e\x1f"
+
+
+def whole(text: str) -> bool:
+    """True for texts that only the tokenizer itself splits rightly."""
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return _OTHER.search(text) is not None
+    return "<|" in text and _OTHER.search(text) is not None
 
 
 class Encoder:
@@ -52,36 +63,47 @@ class Encoder:
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
         self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
         self.known: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
 
     def plain(self, text: str) -> bytes:
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def learn(self, words: list[str]) -> None:
-        """Encodes new words in one call and splits the ids where words end."""
-        if len(self.known) + len(words) > CACHE_WORDS:
-            self.known.clear()
-        for k in range(0, len(words), 2000):
-            part = words[k : k + 2000]
+    def learn_pieces(self, pieces: list[str]) -> None:
+        """Encodes new pieces in one call and splits the ids where words end."""
+        for k in range(0, len(pieces), 2000):
+            part = pieces[k : k + 2000]
             ids = np.asarray(self.tokenizer.encode(" ".join(part), add_special_tokens=False).ids, "<u4")
-            cuts = np.flatnonzero(self.ends[ids]) + 1
+            cuts = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
             if len(cuts) == len(part):
-                self.known.update(zip(part, (x.tobytes() for x in np.split(ids, cuts[:-1])), strict=True))
+                raw = ids.tobytes()
+                self.known.update(zip(part, [raw[i:j] for i, j in zip([0, *cuts], cuts)], strict=True))
             else:
                 self.known.update((w, self.plain(w)) for w in part)
 
+    def learn(self, words: set[str]) -> None:
+        """Takes new words from the generation before, or makes their ids out of those of their pieces."""
+        before, known = self.before, self.known
+        known.update([(w, before[w]) for w in words if w in before])
+        split = {w: _PIECE.findall(w) for w in words.difference(known)}
+        self.learn_pieces(list({x for pieces in split.values() for x in pieces}.difference(known)))
+        known.update((w, b"".join([known[x] for x in pieces])) for w, pieces in split.items() if len(pieces) > 1)
+
     def encode(self, text: str) -> bytes:
         """Little-endian 32-bit ids."""
-        if _OTHER.search(text):
+        if whole(text):
             return self.plain(text)
-        pieces = _PIECE.findall(text.lower())
-        new = [w for w in set(pieces) if w not in self.known]
+        text = text.lower()
+        # no piece crosses white space, so most words are looked up without being taken apart
+        words = _PIECE.findall(text) if any(c in text for c in _CONTROLS) else text.split()
+        new = set(words).difference(self.known)
         if new:
-            if len(new) > CACHE_WORDS // 2:
+            if len(new) > CACHE_WORDS // 4:
                 return self.plain(text)
             if len(self.known) + len(new) > CACHE_WORDS:
-                new = list(set(pieces))
+                self.known, self.before = {}, self.known
+                new = set(words)
             self.learn(new)
-        return b"".join(map(self.known.__getitem__, pieces))
+        return b"".join(map(self.known.__getitem__, words))
 
 
 _ENCODERS: dict[str, Encoder] = {}

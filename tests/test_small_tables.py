@@ -1,5 +1,6 @@
 """Queries on small tables with odd rows, against their SQL."""
 
+import random
 import shutil
 
 import pyarrow.parquet as pq
@@ -7,6 +8,7 @@ import pytest
 
 from barlab.catalog import load_all
 from barlab.catalog.search_q import spec_board
+from barlab.llm import pack, queries
 from barlab.operators import search as SE
 from barlab.registry import ORACLES, QUERIES
 from check import TABLES, compare, connect
@@ -62,3 +64,19 @@ def test_overfit_penalty_by_kind(spark, capfd):
 
 def test_board_of_searches_is_narrow(spark, folder):
     assert set(spec_board(spark, str(folder)).columns) == {"candidate_id", "row_id", "method", "stage", "points", "specs"}
+
+
+def test_encoder_looks_up_words_and_keeps_the_last_seen(monkeypatch):
+    monkeypatch.setattr(pack, "CACHE_WORDS", 60)
+    e, taken = pack.Encoder(queries.tokenizer_path()), []
+    rng = random.Random(5)
+    for _ in range(600):
+        text = " ".join("".join(rng.choice("aBé's.,1Ⱥ\x1c\x85<") for _ in range(rng.randrange(1, 5))) for _ in range(rng.randrange(0, 9)))
+        assert e.encode(text) == e.plain(text), text
+        assert len(e.known) < 300 and len(e.before) < 300
+    e = pack.Encoder(queries.tokenizer_path())
+    e.encode("first, second")
+    learn = e.learn_pieces
+    monkeypatch.setattr(e, "learn_pieces", lambda pieces: (taken.extend(pieces), learn(pieces)))
+    assert e.encode("Second first, second,") == e.plain("Second first, second,")
+    assert taken == []  # all pieces were known
