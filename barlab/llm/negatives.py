@@ -3,8 +3,9 @@
 Candidates are ordered by label and by their place on a Hilbert curve through the leading principal axes, and written as
 Parquet in blocks of one label with the least and greatest value of every dimension. A query is a window of scores of an
 anchor. Interval arithmetic over a block's zone map bounds every score in it from both sides, and a block is read for
-a window only if some score could fall inside. The blocks with the highest bounds are searched first; the scores
-found there are floors for the second pass, which therefore hands on little more than the answers.
+a window only if some score could fall inside. Every window is first searched in the blocks with its highest bounds; the
+scores found there are floors for the second pass, which therefore hands on little more than the answers. A block is
+multiplied once by every anchor that needs it; only scores that reach a floor are looked at window by window.
 
 Positives are the windows without bounds over an anchor's own label; their scores span the windows of the negatives over
 the other labels. Anchors are dealt into slices of a bounded size, one broadcast and one search each.
@@ -13,9 +14,11 @@ the other labels. Anchors are dealt into slices of a bounded size, one broadcast
 from __future__ import annotations
 
 from functools import reduce
+from itertools import pairwise
 from uuid import uuid4
 
 import numpy as np
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,8 +35,8 @@ AXES, BITS, SAMPLE_ROWS = 8, 7, 4096
 SLICE = 8192
 #: Blocks that give the first floors of a window; ranges of blocks that one scan is told to read.
 PROBES, RANGES = 2, 32
-#: Anchors whose scores against a block are held at once.
-CHUNK = 256
+#: Windows whose scores against a block are held at once.
+CHUNK = 1024
 NEAR, FAR = 80, 100
 
 _BLOCK = "block long, label int, n int, low binary, high binary, ids binary, rows binary"
@@ -48,11 +51,10 @@ def usable(vectors: DataFrame, every: int = 7, classes: int = 10) -> DataFrame:
     return vectors.filter(fine).select(F.col("vec_id").cast("long").alias("vec_id"), label.cast("int").alias("label"), q.alias("q")).distinct()
 
 
-def matrix(column, dims: int) -> np.ndarray:
+def matrix(column, dims: int, kind=float) -> np.ndarray:
     """Rows of an Arrow list column; shorter ones are filled up with zeros."""
-    out = np.zeros((len(column), dims))
-    for k, row in enumerate(column.to_pylist()):
-        out[k, : len(row)] = row
+    out = np.zeros((len(column), dims), kind)
+    out[np.arange(dims) < pc.list_value_length(column).to_numpy()[:, None]] = pc.list_flatten(column).to_numpy()
     return out
 
 
@@ -108,26 +110,29 @@ def blocks(rows: DataFrame, dims: int, block_rows: int = BLOCK_ROWS) -> DataFram
         from pyspark import TaskContext
 
         number = TaskContext.get().partitionId() << 32
-        held: list[tuple] = []
-
-        def block():
-            nonlocal number
-            held.sort(key=lambda r: r[1])
-            q = np.zeros((len(held), dims), np.int64)
-            for k, r in enumerate(held):
-                q[k, : len(r[2])] = r[2]
+        label, ids, q = None, np.zeros(0, np.int64), np.zeros((0, dims), np.int64)
+
+        def block(rows: int):
+            nonlocal number, ids, q
             number += 1
-            ids = np.array([r[1] for r in held], np.int64)
-            return {"block": [number], "label": [held[0][0]], "n": [len(held)], "low": [q.min(axis=0).tobytes()], "high": [q.max(axis=0).tobytes()], "ids": [ids.tobytes()], "rows": [q.tobytes()]}
+            order = np.argsort(ids[:rows], kind="stable")
+            body = q[order]
+            out = {"block": [number], "label": [label], "n": [len(order)], "low": [body.min(axis=0).tobytes()], "high": [body.max(axis=0).tobytes()], "ids": [ids[order].tobytes()], "rows": [body.tobytes()]}
+            ids, q = ids[rows:], q[rows:]
+            return out
 
         for b in batches:
-            for r in zip(b["label"].to_pylist(), b["vec_id"].to_pylist(), b["q"].to_pylist(), strict=True):
-                if held and (len(held) == block_rows or held[0][0] != r[0]):
-                    yield block()
-                    held.clear()
-                held.append(r)
-        if held:
-            yield block()
+            if not b.num_rows:
+                continue
+            labels, more_ids, more_q = b["label"].to_numpy(), b["vec_id"].to_numpy(), matrix(b["q"], dims, np.int64)
+            for start, end in pairwise([0, *(np.flatnonzero(np.diff(labels)) + 1).tolist(), len(labels)]):
+                if len(ids) and labels[start] != label:
+                    yield block(block_rows)
+                label, ids, q = int(labels[start]), np.concatenate([ids, more_ids[start:end]]), np.concatenate([q, more_q[start:end]])
+                while len(ids) >= block_rows:
+                    yield block(block_rows)
+        if len(ids):
+            yield block(block_rows)
 
     keys = ["label", "place", "vec_id"]
     parts = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
@@ -151,7 +156,7 @@ def bounds(anchors: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.n
 class Windows:
     """Score windows of some anchors: ``low <= score <= high`` among rows of the anchor's label, or of all others.
 
-    ``floor`` is a score that enough rows of the window reach.
+    ``floor`` is a score that enough rows of the window reach. The windows of an anchor follow each other.
     """
 
     def __init__(self, vec_id, label, q, anchor, same: bool, low, high, tags=None):
@@ -182,8 +187,8 @@ def within(table: DataFrame, spans: list[tuple[int, int]]) -> DataFrame:
     return table.filter(reduce(lambda a, b: a | b, (F.col("block").between(x, y) for x, y in spans), F.lit(False)))
 
 
-def probed(table: DataFrame, shared, dims: int) -> np.ndarray:
-    """Numbers of the blocks with the highest bounds of some window: PROBES a window at most."""
+def probed(table: DataFrame, shared, dims: int) -> dict[int, np.ndarray]:
+    """The windows, ascending, that have a block among their PROBES highest bounds, by block."""
 
     def run(batches):
         w = shared.value
@@ -200,8 +205,8 @@ def probed(table: DataFrame, shared, dims: int) -> np.ndarray:
 
     found = map_rows(table.select("block", "label", "low", "high"), run, "w int, block long, most double")
     first = F.row_number().over(Window.partitionBy("w").orderBy(F.desc("most"), "block"))
-    chosen = found.withColumn("_k", first).filter(F.col("_k") <= PROBES).select("block").distinct()
-    return np.array([r[0] for r in chosen.collect()], np.int64)
+    pairs = found.withColumn("_k", first).filter(F.col("_k") <= PROBES).groupBy("block").agg(F.sort_array(F.collect_list("w")).alias("w"))
+    return {r.block: np.array(r.w) for r in pairs.collect()}
 
 
 def chosen(table: DataFrame, shared, dims: int) -> list[tuple[int, int]]:
@@ -224,54 +229,84 @@ def chosen(table: DataFrame, shared, dims: int) -> list[tuple[int, int]]:
     return spans
 
 
-def searched(table: DataFrame, shared, dims: int, k: int) -> DataFrame:
-    """(w, rank, score, vec_id and the tags of the window): the first ``k`` rows of every window in the blocks of ``table``."""
+class First:
+    """The first ``k`` rows seen of every window, by score and then by id."""
+
+    def __init__(self, windows: Windows, k: int):
+        self.windows, self.k = windows, k
+        self.score = np.full((len(windows.anchor), k), -np.inf)
+        self.id = np.zeros((len(windows.anchor), k), np.int64)
+
+    def least(self, own: np.ndarray) -> np.ndarray:
+        """Scores that a row must reach to be among the first of the windows ``own``."""
+        return np.maximum(self.score[own, -1], self.windows.floor[own])
+
+    def search(self, own: np.ndarray, ids: np.ndarray, vectors: np.ndarray) -> None:
+        """Searches a block for the windows ``own``, ascending."""
+        w = self.windows
+        begin = np.flatnonzero(np.diff(w.anchor[own], prepend=-1))
+        least, high = self.least(own), w.high[own]
+        scores = w.q[w.anchor[own[begin]]] @ vectors.T
+        fits = (scores >= np.minimum.reduceat(least, begin)[:, None]) & (scores <= np.maximum.reduceat(high, begin)[:, None])
+        cells = np.flatnonzero(fits)
+        # Each score meets the windows of its anchor.
+        size = np.diff(begin, append=len(own))[cells // len(ids)]
+        at = np.repeat(begin[cells // len(ids)] - np.cumsum(size) + size, size) + np.arange(size.sum())
+        score, row = np.repeat(scores.ravel()[cells], size), np.repeat(ids[cells % len(ids)], size)
+        last = (score == self.score[own, -1][at]) & (row > self.id[own, -1][at])
+        inside = (score >= least[at]) & (score <= high[at]) & (row != w.vec_id[w.anchor[own[at]]]) & ~last
+        self._add(own[at[inside]], score[inside], row[inside])
+
+    def _add(self, window: np.ndarray, score: np.ndarray, row: np.ndarray) -> None:
+        own = np.unique(window)
+        window = np.concatenate([np.repeat(own, self.k), window])
+        score = np.concatenate([self.score[own].ravel(), score])
+        row = np.concatenate([self.id[own].ravel(), row])
+        order = np.lexsort((row, -score, window))
+        place = np.arange(len(order)) - np.searchsorted(window[order], window[order])
+        order, place = order[place < self.k], place[place < self.k]
+        self.score[window[order], place], self.id[window[order], place] = score[order], row[order]
+
+
+def searched(table: DataFrame, shared, dims: int, k: int, probes=None) -> DataFrame:
+    """(w, rank, score, vec_id and the tags of the window): the first ``k`` rows of every window in the blocks of ``table``.
+
+    With ``probes``, a broadcast of windows by block, a block is searched only for its windows.
+    """
     names = list(shared.value.tags)
 
     def run(batches):
         w = shared.value
-        best = np.tile(w.floor[:, None], (1, k)).astype(float)  # scores to reach
-        found = np.zeros((0, 3), np.int64)  # window, score, id
-
-        def merged(more: np.ndarray) -> np.ndarray:
-            rows = np.concatenate([found, more])
-            rows = rows[np.lexsort((rows[:, 2], -rows[:, 1], rows[:, 0]))]
-            start = np.searchsorted(rows[:, 0], rows[:, 0])
-            place = np.arange(len(rows)) - start
-            rows, place = rows[place < k], place[place < k]
-            best[rows[:, 0], place] = np.maximum(rows[:, 1], w.floor[rows[:, 0]])
-            return rows
-
+        first = First(w, k)
+        everything = np.arange(len(w.anchor))
         for b in batches:
-            for label, low, high, ids, body in zip(*(b[c].to_pylist() for c in ("label", "low", "high", "ids", "rows")), strict=True):
+            for block, label, low, high, ids, body in zip(*(b[c].to_pylist() for c in ("block", "label", "low", "high", "ids", "rows")), strict=True):
                 low, high, vectors = (np.frombuffer(x, "<i8").reshape(-1, dims).astype(float) for x in (low, high, body))
-                ids = np.frombuffer(ids, "<i8")
-                may, most = w.possible(np.array([label]), low, high)
-                need = np.flatnonzero(may[:, 0] & (most[:, 0] >= best[:, -1]))
+                if probes:
+                    need = probes.value.get(block, everything[:0])
+                else:
+                    may, most = w.possible(np.array([label]), low, high)
+                    need = np.flatnonzero(may[:, 0] & (most[:, 0] >= first.least(everything)))
                 for c in range(0, len(need), CHUNK):
-                    own = need[c : c + CHUNK]
-                    score = w.q[w.anchor[own]] @ vectors.T
-                    fits = (score >= best[own, -1:]) & (score <= w.high[own, None]) & (ids != w.vec_id[w.anchor[own], None])
-                    if fits.shape[1] > k:  # no window needs more of a block than its first k and their ties
-                        least = np.partition(np.where(fits, score, -np.inf), -k, axis=1)[:, -k, None]
-                        fits &= score >= least
-                    i, j = np.nonzero(fits)
-                    if len(i):
-                        # Scores are whole; they are exact up to 2**53 and held in 63 bits beyond.
-                        found = merged(np.stack([own[i], np.clip(score[i, j], -(2.0**62), 2.0**62).astype(np.int64), ids[j]], axis=1))
-        yield {"w": found[:, 0], "score": found[:, 1], "vec_id": found[:, 2]} | {n: w.tags[n][found[:, 0]] for n in names}
+                    first.search(need[c : c + CHUNK], np.frombuffer(ids, "<i8"), vectors)
+        found, at = np.nonzero(first.score > -np.inf)
+        # Scores are whole; they are exact up to 2**53 and held in 63 bits beyond.
+        score = np.clip(first.score[found, at], -(2.0**62), 2.0**62).astype(np.int64)
+        yield {"w": found, "score": score, "vec_id": first.id[found, at]} | {n: w.tags[n][found] for n in names}
 
     tags = "".join(f", {n} long" for n in names)
-    rows = map_rows(table.select("label", "low", "high", "ids", "rows"), run, f"w int, score long, vec_id long{tags}")
-    first = Window.partitionBy("w").orderBy(F.desc("score"), "vec_id")
-    return rows.withColumn("rank", F.row_number().over(first)).filter(F.col("rank") <= k)
+    rows = map_rows(table.select("block", "label", "low", "high", "ids", "rows"), run, f"w int, score long, vec_id long{tags}")
+    best = Window.partitionBy("w").orderBy(F.desc("score"), "vec_id")
+    return rows.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
 
 
 def search(table: DataFrame, windows: Windows, dims: int, k: int) -> DataFrame:
     """The first ``k`` rows of every window, by score and then by vec_id."""
     sc = table.sparkSession.sparkContext
-    probes = ranges(probed(table, sc.broadcast(windows), dims))
-    reached = searched(within(table, probes), sc.broadcast(windows), dims, k).filter(F.col("rank") == k).select("w", "score").collect()
+    shared = sc.broadcast(windows)
+    probes = probed(table, shared, dims)
+    near = within(table, ranges(np.array(list(probes), np.int64)))
+    reached = searched(near, shared, dims, k, sc.broadcast(probes)).filter(F.col("rank") == k).select("w", "score").collect()
     for r in reached:
         windows.floor[r.w] = max(windows.floor[r.w], r.score)
     last = sc.broadcast(windows)
@@ -308,6 +343,7 @@ def mine(vectors: DataFrame, anchors_every: int = 100, k: int = 5, block_rows: i
         positives = search(table, Windows(*who, np.arange(n), True, np.full(n, -np.inf), np.full(n, np.inf)), dims, k)
         pairs = np.array([(r.w, r.score, r.vec_id) for r in positives.select("w", "score", "vec_id").collect()], np.int64).reshape(-1, 3)
         pairs = pairs[pairs[:, 1] >= 0]
+        pairs = pairs[np.argsort(pairs[:, 0], kind="stable")]
         if not len(pairs):
             continue
         tags = {"anchor_id": who[0][pairs[:, 0]], "positive_id": pairs[:, 2], "positive_score": pairs[:, 1]}

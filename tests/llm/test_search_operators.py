@@ -6,6 +6,7 @@ from collections import Counter, defaultdict
 from math import floor, inf, isfinite, log, nan
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from barlab.llm import negatives, ranked, vectors
@@ -90,6 +91,44 @@ def test_bounds_hold_and_blocks_are_left_out(spark):
     assert negatives.ranges(np.array([1, 2, 3, 9, 40, 41]), 2) == [(1, 9), (40, 41)] and negatives.ranges(np.array([4, 5, 4])) == [(4, 5)]
 
 
+def test_a_window_is_probed_only_in_its_own_blocks(spark):
+    rows = clusters(9, 300, 5, 3)
+    table = negatives.blocks(negatives.usable(frame(spark, rows)), 5, 10)
+    body = {r.block: (r.label, *(np.frombuffer(x, "<i8").astype(float) for x in (r.low, r.high))) for r in table.collect()}
+    q = np.array([[floor(256 * x) for x in rows[k][1]] for k in (0, 100, 200)], float)
+    n = 9
+    w = negatives.Windows(np.array([0, 100, 200]), np.array([0, 1, 2]), q, np.repeat(np.arange(3), 3), False, np.full(n, -np.inf), np.full(n, np.inf))
+    probes = negatives.probed(table, spark.sparkContext.broadcast(w), 5)
+    for k in range(n):
+        most = {b: negatives.bounds(q[[k // 3]], low[None], high[None])[1][0, 0] for b, (label, low, high) in body.items() if label != k // 3}
+        own = [b for b, windows in probes.items() if k in windows]
+        assert len(own) == negatives.PROBES and min(most[b] for b in own) >= sorted(most.values())[-negatives.PROBES]
+    assert all((np.diff(windows) > 0).all() for windows in probes.values())
+
+
+def test_windows_of_one_anchor_share_its_scores():
+    rng = np.random.default_rng(2)
+    body = rng.integers(-2, 3, (90, 4)).astype(float)  # few values: many equal scores
+    q = rng.integers(-2, 3, (6, 4)).astype(float)
+    ids, anchor, k = rng.permutation(90), np.array([0, 0, 0, 1, 3, 3, 4, 5]), 4
+    low, high = np.array([-2, 0, 1, -9, 2, -3, 50, 0.0]), np.array([3, 9, 1, 9, 5, 0, 60, np.inf])
+    w = negatives.Windows(ids[:6], np.zeros(6), q, anchor, False, low, high)
+    first = negatives.First(w, k)
+    for at in range(0, 90, 30):
+        for own in (np.arange(5), np.arange(5, 8)):
+            first.search(own, ids[at : at + 30], body[at : at + 30])
+    for n, a in enumerate(anchor):
+        scored = sorted((-float(q[a] @ v), int(i)) for i, v in zip(ids, body, strict=True) if i != ids[a] and low[n] <= q[a] @ v <= high[n])
+        got = first.score[n] > -np.inf
+        assert list(zip((-first.score[n][got]).tolist(), first.id[n][got].tolist(), strict=True)) == scored[:k]
+
+
+def test_matrix_of_lists_of_any_length():
+    lists = pa.chunked_array([pa.array([[1, 2, 3], [], [4]]), pa.array([[9, 9, 9], [5, 6]]).slice(1)])
+    assert negatives.matrix(lists, 3).tolist() == [[1, 2, 3], [0, 0, 0], [4, 0, 0], [5, 6, 0]]
+    assert negatives.matrix(lists.chunk(1), 3, np.int64).dtype == np.int64
+
+
 # ---- op12 ----
 
 
