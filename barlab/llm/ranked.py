@@ -5,8 +5,9 @@ product in whole numbers. The texts are read once: each task counts terms, and t
 with document frequencies and lengths summed beside it. Document vectors are then dealt into groups by their weightiest term, so that
 documents that share rare terms lie together, and every group of bounded size becomes a tree of balls with a centroid and a
 radius. For an item q, no document of a ball scores more than q.c + |q| r, with |q| over the terms that the ball's documents hold;
-sums in doubles are widened by more than their rounding, so the bound is safe. Subtrees are visited best first and dropped when their bound is under the
-score that the item's last place has already; the leaves are scored exactly.
+sums in doubles are widened by more than their rounding, so the bound is safe. A tree is visited once for all items, the subtree with the
+best bound of any item first; an item leaves a subtree when its bound there is under the score that its last place has already.
+The leaves are scored exactly, as one matrix product for the items that have come so far.
 """
 
 from __future__ import annotations
@@ -17,10 +18,12 @@ from collections.abc import Iterator
 from math import floor, log
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from barlab.llm.common import map_rows, words, written
+from barlab.llm.common import WORD_BYTES, map_rows, words, written
 
 TOP = 20
 #: Items of one search: their terms and weights are broadcast. More items make more searches over the same table.
@@ -50,22 +53,21 @@ def batches_of(items: DataFrame) -> Iterator[list[tuple]]:
 
 def counted(docs: DataFrame, terms: list[bytes]) -> DataFrame:
     """(doc_id, n, terms, tfs): length of every document with terms, and its counts of the given terms."""
-    shared = docs.sparkSession.sparkContext.broadcast({t: k for k, t in enumerate(terms)})
+    shared = docs.sparkSession.sparkContext.broadcast(terms)
 
     def run(batches):
-        number = shared.value
+        known = pa.array(shared.value, pa.binary())
         for b in batches:
-            out: dict[str, list] = {"doc_id": [], "n": [], "terms": [], "tfs": []}
-            for doc_id, text in zip(b["doc_id"].to_pylist(), b["text"].to_pylist(), strict=True):
-                ws = words(text)
-                if not ws:
-                    continue
-                own = sorted((number[w], c) for w, c in Counter(ws).items() if w in number)
-                out["doc_id"].append(doc_id)
-                out["n"].append(len(ws))
-                out["terms"].append([t for t, _ in own])
-                out["tfs"].append([c for _, c in own])
-            yield out
+            texts = [(t or "").encode("utf-8", "replace").translate(WORD_BYTES) for t in b["text"].to_pylist()]
+            split = pc.split_pattern(pa.array(texts, pa.binary()), b" ")  # a run of spaces leaves empty words
+            doc, word = pc.list_parent_indices(split).to_numpy(), pc.list_flatten(split)
+            n = np.bincount(doc[pc.binary_length(word).to_numpy() > 0], minlength=len(texts))
+            term = pc.index_in(word, value_set=known).fill_null(-1).to_numpy()
+            cell, tf = np.unique(doc[term >= 0] * len(known) + term[term >= 0], return_counts=True)
+            begin = np.searchsorted(cell, np.arange(len(texts) + 1) * len(known))
+            offsets = pa.array(np.append(begin[:-1][n > 0], begin[-1]), pa.int32())  # a document without words has no cells
+            lists = {c: pa.ListArray.from_arrays(offsets, pa.array(v, pa.int32())) for c, v in (("terms", cell % len(known)), ("tfs", tf))}
+            yield {"doc_id": b["doc_id"].filter(pa.array(n > 0)), "n": n[n > 0]} | lists
 
     return map_rows(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), run, "doc_id long, n long, terms array<int>, tfs array<int>")
 
@@ -135,47 +137,55 @@ class Trees:
         most = queries @ centres + length * np.array(self.radii)
         return most * (1 + SLACK) + 1
 
-    def scores(self, node: int, weights: np.ndarray) -> np.ndarray:
-        """Exact scores of a leaf's documents; ``weights`` are whole numbers by term."""
+    def scores(self, node: int, weights: np.ndarray, own=None) -> np.ndarray:
+        """Exact scores of a leaf's documents; ``weights`` are whole numbers by term, or by term and item, of which ``own`` are taken."""
         rows = self.members[node]
         cells, begin = self._cells(rows)
-        total = np.concatenate([np.zeros(1, np.int64), np.cumsum(weights[self.at[cells]] * self.v[cells])])
-        return total[begin[1:]] - total[begin[:-1]]
+        terms, at = np.unique(self.at[cells], return_inverse=True)
+        docs = np.zeros((len(rows), len(terms)), weights.dtype)
+        docs[np.repeat(np.arange(len(rows)), np.diff(begin)), at] = self.v[cells]
+        return docs @ (weights[terms] if own is None else weights[np.ix_(terms, own)])
 
 
 class Best:
-    """The first ``top`` (score, -doc_id) seen of every item."""
+    """The first ``top`` (score, -doc_id) seen of every item, and the scores to reach."""
 
     def __init__(self, items: int, top: int):
         self.top, self.rows = top, [[] for _ in range(items)]
+        self.floors = np.ones(items, np.int64)
 
-    def floor(self, k: int) -> int:
-        return self.rows[k][0][0] if len(self.rows[k]) == self.top else 1
-
-    def add(self, k: int, scores: np.ndarray, ids: np.ndarray) -> None:
-        rows = self.rows[k]
-        for j in np.flatnonzero(scores >= self.floor(k)):
-            entry = (int(scores[j]), -int(ids[j]))
+    def add(self, own: np.ndarray, scores: np.ndarray, ids: np.ndarray) -> None:
+        """Adds documents with their scores (documents x items) for the items ``own``."""
+        for j, i in zip(*np.nonzero(scores >= self.floors[own]), strict=True):
+            rows = self.rows[own[i]]
+            entry = (int(scores[j, i]), -int(ids[j]))
             if len(rows) < self.top:
                 heapq.heappush(rows, entry)
             elif entry > rows[0]:
                 heapq.heapreplace(rows, entry)
+            if len(rows) == self.top:
+                self.floors[own[i]] = rows[0][0]
+
 
+def visit(tree: Trees, items, bound: np.ndarray, weights: np.ndarray, ids: np.ndarray, best: Best) -> int:
+    """Visits the tree for some items of ``best``, best subtree first; returns the number of leaves that were scored.
 
-def visit(tree: Trees, k: int, bound: np.ndarray, weights: np.ndarray, ids: np.ndarray, best: Best) -> int:
-    """Visits the tree for one item, best subtree first; returns the number of leaves that were scored."""
-    queue, leaves = [(-bound[0], 0)], 0
+    ``bound`` has a row for each of the items, ``weights`` a column. Bounds of different items are compared as shares of the whole tree's.
+    """
+    items, bound, weights = np.atleast_1d(items), np.atleast_2d(bound), weights.reshape(len(weights), -1)
+    share = bound / bound[:, :1]
+    queue, leaves = [(-1.0, 0, np.arange(len(items)))], 0
     while queue:
-        most, node = heapq.heappop(queue)
-        if -most < best.floor(k):
-            break
+        _, node, own = heapq.heappop(queue)
+        own = own[bound[own, node] >= best.floors[items[own]]]
+        if not len(own):
+            continue
         if tree.children[node]:
             for c in tree.children[node]:
-                if bound[c] >= best.floor(k):
-                    heapq.heappush(queue, (-bound[c], c))
+                heapq.heappush(queue, (-share[own, c].max(), c, own))
         else:
             leaves += 1
-            best.add(k, tree.scores(node, weights), ids[tree.members[node]])
+            best.add(items[own], tree.scores(node, weights, own), ids[tree.members[node]])
     return leaves
 
 
@@ -215,6 +225,10 @@ def searched(vectors: DataFrame, items: list[tuple], number: dict[bytes, int], w
         whole.ravel()[where] = what
         scale = np.sqrt(w.astype(float))  # a term of weight 0 is in no score
         queries = whole / np.maximum(scale, 1)
+        # A document has at most UNIT / 1000 for a term. Sums of whole numbers under 2**53 are exact in doubles.
+        kind = float if int(whole.sum(axis=1).max()) * (UNIT // 1000) < 1 << 53 else np.int64
+        weights = np.ascontiguousarray(whole.T, kind)
+        del whole
         best = Best(len(names), top)
 
         def solve(rows: list[tuple]):
@@ -226,9 +240,7 @@ def searched(vectors: DataFrame, items: list[tuple], number: dict[bytes, int], w
             v = UNIT * tf // (1000 * tf + 12 * np.repeat(m, sizes))
             ids = np.array([_NO_ID if r[0] is None else r[0] for r in rows], np.int64)
             tree = Trees(start, at, v, scale)
-            bound = tree.bounds(queries)
-            for k in range(len(names)):
-                visit(tree, k, bound[k], whole[k], ids, best)
+            visit(tree, np.arange(len(names)), tree.bounds(queries), weights, ids, best)
 
         held, size = [], 0
         for b in batches:

@@ -255,3 +255,34 @@ def test_subtrees_are_left_out_and_bounds_hold():
         leaves = ranked.visit(tree, 0, bound[k], weights[k], np.arange(len(rows)), best)
         assert leaves < sum(c is None for c in tree.children) / 3
         assert sorted(s for s, _ in best.rows[0]) == sorted(exact[exact > 0])[-20:]
+
+
+def test_a_tree_is_visited_once_for_all_items(monkeypatch):
+    rng = np.random.default_rng(6)
+    rows = [np.unique(rng.integers(0, rng.choice([8, 60]), rng.integers(1, 9))) for _ in range(400)]
+    start = np.concatenate([[0], np.cumsum([len(r) for r in rows])])
+    at, w, ids = np.concatenate(rows), rng.integers(100, 5000, 60), rng.permutation(400)
+    v = rng.choice([10, 1000, 10**6], len(at))  # few values: equal scores
+    weights = np.where(rng.random((60, 25)) < 0.1, w[:, None], 0)
+    tree = ranked.Trees(start, at, v, np.sqrt(w))
+    scored, scores = [], ranked.Trees.scores
+    monkeypatch.setattr(ranked.Trees, "scores", lambda self, node, *rest: scored.append(node) or scores(self, node, *rest))
+    for kind in (np.int64, float):
+        scored.clear()
+        best = ranked.Best(25, 7)
+        leaves = ranked.visit(tree, np.arange(25), tree.bounds(weights.T / np.sqrt(w)), weights.astype(kind), ids, best)
+        assert leaves == len(scored) == len(set(scored)) <= sum(c is None for c in tree.children)
+        for k in range(25):
+            exact = [(int((weights[at[a:b], k] * v[a:b]).sum()), -int(i)) for i, a, b in zip(ids, start, start[1:], strict=False)]
+            assert sorted(best.rows[k]) == sorted(x for x in exact if x[0] > 0)[-7:]
+
+
+def test_leaf_scores_beyond_doubles_are_whole():
+    tree = ranked.Trees(np.array([0, 2, 3]), np.array([0, 1, 1]), np.array([3, 7, 5]), np.ones(2))
+    assert tree.scores(0, np.array([(1 << 58) + 1, 1])).tolist() == [3 * (1 << 58) + 10, 5]
+
+
+def test_counts_of_query_terms(spark):
+    docs = [(1, " b  a,B\n"), (2, None), (3, ""), (4, "other words"), (None, "aé a\x00a"), (5, "..."), (6, "éTÉ a")]
+    got = ranked.counted(tables(spark, docs, [(1, "a")])[0].coalesce(1), ["a".encode(), "b".encode(), "étÉ".encode()]).collect()
+    assert [(r.doc_id, r.n, dict(zip(r.terms, r.tfs, strict=True))) for r in got] == [(1, 3, {0: 1, 1: 2}), (4, 2, {}), (None, 3, {0: 2}), (6, 2, {0: 1, 2: 1})]
