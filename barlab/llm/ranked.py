@@ -209,6 +209,21 @@ def grouped(vectors: DataFrame, w: np.ndarray) -> DataFrame:
     return keyed.repartitionByRange(parts, "_lead", "_hash", "_source").drop("_lead", "_hash", "_source")
 
 
+def forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The documents in tables of at most TREE_ROWS rows and TREE_TERMS terms, or of one row."""
+    held, rows, terms = [], 0, 0
+    for b in batches:
+        start = 0
+        for k, size in enumerate(pc.list_value_length(b["terms"]).to_pylist()):
+            if rows and (rows == TREE_ROWS or terms + size > TREE_TERMS):
+                yield pa.Table.from_batches([*held, b.slice(start, k - start)])
+                held, start, rows, terms = [], k, 0, 0
+            rows, terms = rows + 1, terms + size
+        held.append(b.slice(start))
+    if rows:
+        yield pa.Table.from_batches(held)
+
+
 def searched(vectors: DataFrame, items: list[tuple], number: dict[bytes, int], w: np.ndarray, total: int, length: int, top: int) -> DataFrame:
     """(item, item_id, rank, doc_id, score) of a batch of items."""
     whole = np.zeros((len(items), len(number)), np.int64)
@@ -231,27 +246,13 @@ def searched(vectors: DataFrame, items: list[tuple], number: dict[bytes, int], w
         del whole
         best = Best(len(names), top)
 
-        def solve(rows: list[tuple]):
-            sizes = np.array([len(r[2]) for r in rows])
-            start = np.concatenate([[0], np.cumsum(sizes)])
-            at = np.fromiter((t for r in rows for t in r[2]), np.int64, start[-1])
-            tf = np.fromiter((c for r in rows for c in r[3]), np.int64, start[-1])
-            m = BASE - SLOPE + np.array([SLOPE * r[1] * total // length for r in rows], np.int64)
+        for docs in forest(batches):
+            sizes = pc.list_value_length(docs["terms"]).to_numpy()
+            at, tf = (pc.list_flatten(docs[c]).to_numpy().astype(np.int64) for c in ("terms", "tfs"))
+            m = BASE - SLOPE + np.array([SLOPE * n * total // length for n in docs["n"].to_pylist()], np.int64)
             v = UNIT * tf // (1000 * tf + 12 * np.repeat(m, sizes))
-            ids = np.array([_NO_ID if r[0] is None else r[0] for r in rows], np.int64)
-            tree = Trees(start, at, v, scale)
-            visit(tree, np.arange(len(names)), tree.bounds(queries), weights, ids, best)
-
-        held, size = [], 0
-        for b in batches:
-            for r in zip(*(b[c].to_pylist() for c in ("doc_id", "n", "terms", "tfs")), strict=True):
-                if held and (len(held) == TREE_ROWS or size + len(r[2]) > TREE_TERMS):
-                    solve(held)
-                    held, size = [], 0
-                held.append(r)
-                size += len(r[2])
-        if held:
-            solve(held)
+            tree = Trees(np.concatenate([[0], np.cumsum(sizes)]), at, v, scale)
+            visit(tree, np.arange(len(names)), tree.bounds(queries), weights, docs["doc_id"].fill_null(_NO_ID).to_numpy(), best)
         found = [(numbers[k], names[k], None if -i == _NO_ID else -i, s) for k, rows in enumerate(best.rows) for s, i in rows]
         yield {c: [r[j] for r in found] for j, c in enumerate(("item", "item_id", "doc_id", "score"))}
 

@@ -286,3 +286,13 @@ def test_counts_of_query_terms(spark):
     docs = [(1, " b  a,B\n"), (2, None), (3, ""), (4, "other words"), (None, "aé a\x00a"), (5, "..."), (6, "éTÉ a")]
     got = ranked.counted(tables(spark, docs, [(1, "a")])[0].coalesce(1), ["a".encode(), "b".encode(), "étÉ".encode()]).collect()
     assert [(r.doc_id, r.n, dict(zip(r.terms, r.tfs, strict=True))) for r in got] == [(1, 3, {0: 1, 1: 2}), (4, 2, {}), (None, 3, {0: 2}), (6, 2, {0: 1, 2: 1})]
+
+
+def test_forest_keeps_all_documents_in_order(monkeypatch):
+    monkeypatch.setattr(ranked, "TREE_ROWS", 3)
+    monkeypatch.setattr(ranked, "TREE_TERMS", 10)
+    sizes = [1, 2, 3, 4, 30, 1, 0, 0, 0, 0, 9, 2]
+    docs = pa.RecordBatch.from_pydict({"doc_id": pa.array(range(12)), "terms": pa.array([[0] * n for n in sizes], pa.list_(pa.int32()))})
+    tables = list(ranked.forest(iter([docs.slice(0, 5), docs.slice(5, 0), docs.slice(5)])))
+    assert [t["doc_id"].to_pylist() for t in tables] == [[0, 1, 2], [3], [4], [5, 6, 7], [8, 9, 10], [11]]
+    assert list(ranked.forest(iter([docs.slice(0, 0)]))) == []
