@@ -239,11 +239,11 @@ def searched(vectors: DataFrame, items: list[tuple], number: dict[bytes, int], w
         whole = np.zeros(shape, np.int64)
         whole.ravel()[where] = what
         scale = np.sqrt(w.astype(float))  # a term of weight 0 is in no score
-        queries = whole / np.maximum(scale, 1)
         # A document has at most UNIT / 1000 for a term. Sums of whole numbers under 2**53 are exact in doubles.
         kind = float if int(whole.sum(axis=1).max()) * (UNIT // 1000) < 1 << 53 else np.int64
         weights = np.ascontiguousarray(whole.T, kind)
         del whole
+        queries = weights.T / np.maximum(scale, 1)
         best = Best(len(names), top)
 
         for docs in forest(batches):
