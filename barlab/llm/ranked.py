@@ -58,18 +58,19 @@ def counted(docs: DataFrame, terms: list[bytes]) -> DataFrame:
     def run(batches):
         known = pa.array(shared.value, pa.binary())
         for b in batches:
-            texts = [(t or "").encode("utf-8", "replace").translate(WORD_BYTES) for t in b["text"].to_pylist()]
+            texts = [(t or b"").translate(WORD_BYTES) for t in b["text"].to_pylist()]
             split = pc.split_pattern(pa.array(texts, pa.binary()), b" ")  # a run of spaces leaves empty words
             doc, word = pc.list_parent_indices(split).to_numpy(), pc.list_flatten(split)
             n = np.bincount(doc[pc.binary_length(word).to_numpy() > 0], minlength=len(texts))
             term = pc.index_in(word, value_set=known).fill_null(-1).to_numpy()
-            cell, tf = np.unique(doc[term >= 0] * len(known) + term[term >= 0], return_counts=True)
+            hit = np.flatnonzero(term >= 0)
+            cell, tf = np.unique(doc[hit] * len(known) + term[hit], return_counts=True)
             begin = np.searchsorted(cell, np.arange(len(texts) + 1) * len(known))
             offsets = pa.array(np.append(begin[:-1][n > 0], begin[-1]), pa.int32())  # a document without words has no cells
             lists = {c: pa.ListArray.from_arrays(offsets, pa.array(v, pa.int32())) for c, v in (("terms", cell % len(known)), ("tfs", tf))}
             yield {"doc_id": b["doc_id"].filter(pa.array(n > 0)), "n": n[n > 0]} | lists
 
-    return map_rows(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), run, "doc_id long, n long, terms array<int>, tfs array<int>")
+    return map_rows(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("text")), run, "doc_id long, n long, terms array<int>, tfs array<int>")
 
 
 def weight(df: int, n: int) -> int:
