@@ -36,7 +36,7 @@ SLICE = 8192
 #: Blocks that give the first floors of a window; ranges of blocks that one scan is told to read.
 PROBES, RANGES = 2, 32
 #: Windows whose scores against a block are held at once.
-CHUNK = 1024
+CHUNK = 256
 NEAR, FAR = 80, 100
 
 _BLOCK = "block long, label int, n int, low binary, high binary, ids binary, rows binary"
